@@ -35,6 +35,8 @@ CUT = 0.5
 MIN_AT_LIMIT, EXCESS = 3, 10.0
 #: A closing line is a cut of another if that one is this many times as frequent.
 RATIO = 3
+#: Dots close a text only as a phrase that recurs so often; else they stand for what was cut.
+RECURS = 2
 KEY_CHARS = 80
 
 _STOP = re.compile(r"[.!?。！？][\"'”’»)\]*_`]*$")
@@ -136,32 +138,39 @@ def source_fits(measured: DataFrame) -> DataFrame:
     return hist.groupBy("source").applyInPandas(fit_source, _FIT)
 
 
+#: How sure an ending alone is that the text is cut: the prior of the EM. A full stop or a closed
+#: block is an end even where the text fills its field to the last character.
+SURE = {"broken": 0.99, "open_block": 0.98, "open": 0.97, "closing_cut": 0.95, "dots": 0.9, "closing": 0.01, "stop": 1e-5, "block": 1e-5, "empty": 1e-9}
+#: Weight of that prior against the texts themselves.
+STRENGTH = 4.0
+
+
 def ending_weights(counts: list[tuple[str, float, int]]) -> tuple[dict[str, float], float]:
     """(likelihood ratio cut : whole of each ending, share of cut texts off the limits), by EM.
 
     counts: (ending, censoring posterior, number of texts). A handful of rows whatever the input.
+    The prior counts as STRENGTH times the texts of an ending, so that an ending keeps its
+    meaning while its weight follows the data.
     """
-    start = {"broken": 0.98, "open_block": 0.95, "open": 0.9, "closing_cut": 0.9, "closing": 0.05, "stop": 0.02, "block": 0.02, "empty": 0.0}
-    resp = {(e, c): c + (1 - c) * start[e] for e, c, _ in counts}
     ratio: dict[str, float] = {}
     base = 0.05
+    resp = {(e, c): c + (1 - c) * SURE[e] if SURE[e] > 1e-3 else SURE[e] for e, c, _ in counts}
     for _ in range(20):
-        cut, whole = dict.fromkeys(start, 0.5), dict.fromkeys(start, 0.5)
-        off_cut = off_all = 1.0
+        cut, whole = dict.fromkeys(SURE, 0.0), dict.fromkeys(SURE, 0.0)
+        off_cut, off_all = 0.5, 10.0
         for e, c, n in counts:
-            # the kind of ending keeps its meaning: mid-word endings are no whole texts, however many there are
-            r = min(max(resp[e, c], c), 1.0)
-            cut[e] += n * r
-            whole[e] += n * (1 - r)
+            r = resp[e, c]
+            cut[e] += n * (r + STRENGTH * SURE[e]) / (1 + STRENGTH)
+            whole[e] += n * (1 - r + STRENGTH * (1 - SURE[e])) / (1 + STRENGTH)
             if c < CUT:
                 off_cut, off_all = off_cut + n * r, off_all + n
-        zc, zw = sum(cut.values()), sum(whole.values())
-        ratio = {e: (cut[e] / zc) / (whole[e] / zw) for e in start}
-        base = off_cut / (off_all + 1)
+        zc, zw = sum(cut.values()) + 1, sum(whole.values()) + 1
+        ratio = {e: ((cut[e] + SURE[e]) / zc) / ((whole[e] + 1 - SURE[e]) / zw) for e in SURE}
+        base = off_cut / off_all
         for e, c, _ in counts:
             prior = c + (1 - c) * base
             odds = prior / max(1e-9, 1 - prior) * ratio[e]
-            resp[e, c] = odds / (1 + odds)
+            resp[e, c] = odds / (1 + odds) if SURE[e] > 1e-3 else SURE[e]
     return ratio, base
 
 
@@ -174,17 +183,18 @@ def judged(documents: DataFrame) -> DataFrame:
     # closing lines that begin a much more frequent one; both sides combine to distinct lines before they move
     keys = measured.where("ending = 'closing'").groupBy("key").agg(F.count("*").alias("n"))
     longer = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.col("key").substr(F.lit(1), i))).alias("key"), F.col("n").alias("m"), F.length("key").alias("len"))
-    cut_keys = (
-        keys.join(longer.where("length(key) < len").groupBy("key").agg(F.max("m").alias("m")), "key").where(F.col("m") >= RATIO * F.col("n")).select("key", F.lit(True).alias("is_cut"))
-    )
+    longer = longer.where("length(key) < len").groupBy("key").agg(F.max("m").alias("m"))
+    is_cut, dots = F.col("m") >= RATIO * F.col("n"), F.col("key").endswith("...") | F.col("key").endswith("…")
+    verdict = F.when(dots & (F.col("n") < RECURS), "dots").when(is_cut, "closing_cut")
+    odd_keys = keys.join(longer, "key", "left").select("key", verdict.alias("verdict")).where(F.col("verdict").isNotNull())
     own = F.coalesce("source", F.lit(""))
     fits = source_fits(measured).withColumnRenamed("source", "_source")
     length = F.when(F.col("unit") == "bytes", F.col("bytes")).otherwise(F.col("chars"))
     # a cut may have lost the white space, or the part of a character, that stood at the limit
     slack = F.when(F.col("unit") == "bytes", 3).otherwise(0)
-    rows = measured.join(cut_keys, "key", "left").join(fits, own == F.col("_source"), "left").select(
+    rows = measured.join(odd_keys, "key", "left").join(fits, own == F.col("_source"), "left").select(
         "doc_id", "source", "chars", "limit", "unit",
-        F.when((F.col("ending") == "closing") & F.col("is_cut"), "closing_cut").otherwise(F.col("ending")).alias("ending"),
+        F.when(F.col("ending") == "closing", F.coalesce("verdict", "ending")).otherwise(F.col("ending")).alias("ending"),
         F.when(length >= F.col("limit"), F.col("at_limit")).when(length >= F.col("limit") - slack, F.col("at_limit") / 2).otherwise(0.0).alias("censored"),
     )
     rows = stored(rows, "judged")
