@@ -85,7 +85,7 @@ def problems(fields: Column, bad_ipv6: Column) -> Column:
 def oversized(layers: Column, limits: Limits) -> Column:
     """Notes of text values over the byte limit; the values stay."""
     size = lambda e: F.octet_length(_text(e["v"]))
-    big = F.filter(layers, lambda e: (F.schema_of_variant(e["v"]) == "STRING") & (size(e) > limits.max_field_bytes))
+    big = F.filter(layers, lambda e: (size(e) > limits.max_field_bytes) & (F.schema_of_variant(e["v"]) == "STRING"))
     return F.transform(big, lambda e: F.concat(F.lit("FIELD_LIMIT_EXCEEDED:"), e["k"], F.lit(":"), size(e).cast("string"), F.lit(f">{limits.max_field_bytes}")))
 
 

@@ -13,7 +13,8 @@ SYSLOG = ("rfc5424", "rfc3164")
 
 
 def _all_filled(text: Column, sep: str) -> Column:
-    return F.forall(F.split(text, sep), lambda p: F.trim(p) != "")
+    """No part between separators is blank."""
+    return ~text.rlike(rf"(?:^|{sep})\s*(?:{sep}|\z)")
 
 
 def detect(text: Column) -> Column:
@@ -30,8 +31,7 @@ def detect(text: Column) -> Column:
         .when(
             F.contains(text, F.lit("\t"))
             | (F.contains(text, F.lit(";")) & _all_filled(text, ";"))
-            | (F.contains(text, F.lit(",")) & ~F.contains(text, F.lit(" ")) & ~F.contains(text, F.lit(";")) & _all_filled(text, ","))
-            | (F.contains(text, F.lit(",")) & ~F.contains(text, F.lit(" ")) & F.contains(text, F.lit(";")) & ~_all_filled(text, ";") & _all_filled(text, ",")),
+            | (F.contains(text, F.lit(",")) & ~F.contains(text, F.lit(" ")) & _all_filled(text, ",")),
             "csv",
         )
         .otherwise("plain_text")

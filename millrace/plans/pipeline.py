@@ -26,15 +26,6 @@ def with_meta(raw: DataFrame, at: float | None = None) -> DataFrame:
     return raw.withColumns({"ingested_at_unix_utc": F.coalesce("ingested_at_unix_utc", now), "event_id": F.coalesce("event_id", F.left(F.sha2(place, 256), F.lit(32)))})
 
 
-def fenced(df: DataFrame, name: str, c: Column) -> DataFrame:
-    """Adds a column that a Python UDF will read, behind a generator of one row a row.
-
-    The optimiser inlines whatever a UDF's input is made of, all the way down and as often as it
-    is used; it does not inline through a generator.
-    """
-    return df.select("*", F.explode(F.array(c)).alias(name))
-
-
 def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.Parser] | None = None, at: float | None = None) -> DataFrame:
     """raw_message (and any of META, and columns of the caller's own) to events.
 
@@ -57,7 +48,7 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
 
     # what is inside a syslog envelope
     inner = F.when(F.col("_p1").isin(*detect.SYSLOG), X.blank_to_null(F.col("_r1")["message"]))
-    df = fenced(df, "_inner", inner).withColumn("_ifmt", F.when(F.col("_inner").isNotNull(), detect.detect(F.col("_inner"))))
+    df = parsers.fenced(df, "_inner", inner).withColumn("_ifmt", F.when(F.col("_inner").isNotNull(), detect.detect(F.col("_inner"))))
     df = df.withColumn("_behind", F.when(F.col("_ifmt").isin(*detect.SYSLOG), detect.behind_syslog(F.col("_inner"), F.col("_ifmt"))))
     df = df.withColumn("_sub", F.when(F.col("_behind").isNotNull(), detect.detect(F.col("_behind"))))
     df = df.withColumn("_ifmt", detect.inner_format(F.col("_inner"), F.col("_ifmt"), F.coalesce("_sub", F.lit(""))))
@@ -89,7 +80,7 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
 
     # limits, identity, checks
     extracted = F.concat("_normalized", "_vendor", "_unknown")
-    df = df.withColumn("_big", checks.oversized(extracted, cfg.limits)).withColumn("_many", checks.too_many(F.size("_normalized") + F.size("_vendor") + F.size("_unknown"), cfg.limits))
+    df = df.withColumn("_big", F.when(F.octet_length(text) > cfg.limits.max_field_bytes, checks.oversized(extracted, cfg.limits)).otherwise(F.array().cast("array<string>"))).withColumn("_many", checks.too_many(F.size("_normalized") + F.size("_vendor") + F.size("_unknown"), cfg.limits))
     decision = F.when(F.col("_ok").isNotNull(), F.concat(F.lit("PARSER_HINT:"), F.when(F.col("_ok"), "hint_used").otherwise("hint_rejected_fallback"), F.lit(":"), hint))
     own = lambda c: F.array(F.concat(F.lit("parser="), F.col(c), F.lit("@"), parsers.version_of(F.col(c), registry)))
     notes = F.array_distinct(
@@ -98,7 +89,7 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
     vendor_of = lambda k: F.try_variant_get(F.get(F.filter("_decoded", lambda e: e["k"] == k), F.lit(0))["v"], "$", "string")
     by_format = lambda a, b: F.when(F.col("_fmt") == "cef", vendor_of(a)).when(F.col("_fmt") == "leef", vendor_of(b))
     ident = identity.identify(F.col("_def"), F.col("_sig"), F.col("format_detected"), by_format("cef_device_vendor", "leef_vendor"), by_format("cef_device_product", "leef_product"), r1["tag"])
-    df = fenced(df, "_six", checks.ipv6_values(F.col("_normalized")))
+    df = parsers.fenced(df, "_six", checks.ipv6_values(F.col("_normalized")))
     df = df.withColumn("_bad6", F.when(F.col("_six").isNotNull(), checks._bad_ipv6(F.col("_six"))))
     missing = F.when(text == "", F.struct(F.lit("raw").alias("field"), F.lit("raw_message missing").alias("problem"), F.lit(None).cast("string").alias("value")))
     as_map = lambda c: F.map_from_entries(F.col(c))
