@@ -176,23 +176,24 @@ def ingest(rows: DataFrame, target: dict[str, str], keep: list[str], layer: str
     """
     c = F.col("_cells")
     out = rows.select(*keep, _cells_udf(F.col(layer)).alias("_cells"))
-    for field, kind in target.items():
-        cell = F.element_at(F.filter(c, lambda x, f=field: x["field"] == f), -1)
-        have = F.when(F.exists(c, lambda x, f=field: x["field"] == f), cell)
-        out = out.withColumn(f"{field}_" if field in keep else field, _typed(kind, have["kind"], have["value"]))
-    taken = [
-        lambda x, f=field, k=kind: (x["field"] == f) & (x["kind"].isNull() | _typed(k, x["kind"], x["value"]).isNotNull())
-        for field, kind in target.items()
-    ]
-
-    def left(x: Column) -> Column:
-        t = F.lit(False)
-        for f in taken:
-            t = t | f(x)
-        return ~t
-
-    rest = F.transform(F.filter(c, left), lambda x: F.concat(F.to_json(F.struct(x["field"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(x["field"].alias("k")))) - 6), F.lit(":"), F.coalesce(x["value"], F.lit("null"))))
-    return out.withColumn("_rescued", F.when(F.size(F.filter(c, left)) > 0, F.concat(F.lit("{"), F.array_join(rest, ","), F.lit("}")))).drop("_cells")
+
+    def named(field: str) -> Column:
+        return F.get(F.filter(c, lambda x: x["field"] == field), F.lit(0))
+
+    def taken(x: Column) -> Column:
+        """Whether a cell has a column that holds all of it."""
+        fits = F.lit(False)
+        for field, kind in target.items():
+            fits = F.when(x["field"] == field, x["kind"].isNull() | _typed(kind, x["kind"], x["value"]).isNotNull()).otherwise(fits)
+        return fits
+
+    def member(x: Column) -> Column:
+        key = F.to_json(F.array(x["field"]))
+        return F.concat(F.substring(key, F.lit(2), F.length(key) - 2), F.lit(":"), F.coalesce(x["value"], F.lit("null")))
+
+    out = out.withColumns({f"{field}_" if field in keep else field: _typed(kind, named(field)["kind"], named(field)["value"]) for field, kind in target.items()})
+    rest = F.transform(F.filter(c, lambda x: ~taken(x)), member)
+    return out.withColumn("_rest", rest).withColumn("_rescued", F.when(F.size("_rest") > 0, F.concat(F.lit("{"), F.array_join("_rest", ","), F.lit("}")))).drop("_cells", "_rest")
 
 
 def replay(table: DataFrame, approved: dict[str, str]) -> DataFrame:

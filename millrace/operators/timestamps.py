@@ -48,7 +48,7 @@ _FIND = re.compile(
             r"(?P<slash>(?<![\d/])\d{1,2}/\d{1,2}/\d{4},? \d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?: ?[AP]M\b)?)",
             rf"(?P<dot>(?<![\d.])\d{{1,2}}\.\d{{1,2}}\.\d{{4}},? {_HMS})",
             r"(?P<compact>(?<![\w.-])(?:19|20)\d{6}T?\d{6}(?:[.,]\d+)?Z?(?!\w))",
-            r'(?:^|(?<=\s)|(?<=[\[("]))(?P<epoch>(?:(?<=^)|(?<![\w.])(?:@?timestamp|time|ts|rt|devTime|eventtime|epoch|t)"?\s*[=:]\s*"?)\d{9,19}(?:\.\d{1,9})?(?![\w.:/-]))',
+            r'(?P<epoch>(?:^|(?<![\w.-])(?:@?timestamp|time|ts|rt|devTime|eventtime|epoch|t)"?\s*[=:]\s*"?)\d{9,19}(?:\.\d{1,9})?(?![\w.:/-]))',
         )
     )
 )
