@@ -12,7 +12,7 @@ from millrace.config import Config, Limits, Source
 from millrace.functions import text as X
 from millrace.operators import checks, detect, parsers, serialize
 from millrace.plans import pipeline as P
-from millrace.session import table
+from millrace.session import spread, table
 from millrace.sources import framing
 
 CFG = Config(reference_year=2025)
@@ -25,7 +25,7 @@ def _c(*parts: str | Column) -> Column:
 
 
 def _parsed(df: DataFrame, raw: Column, cfg: Config = CFG) -> DataFrame:
-    return P.parse_events(df.withColumn("raw_message", raw), cfg, at=1_760_000_000.0)
+    return P.parse_events(spread(df.withColumn("raw_message", raw)), cfg, at=1_760_000_000.0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,7 +383,7 @@ def source_configured(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT row_id, CASE WHEN regexp_matches(raw_message, '%ASA-\\d-\\d+:') THEN 'Cisco' WHEN regexp_matches(raw_message, '\\blogid=\\d{10}\\b.*\\btype=\\w+.*\\bsubtype=\\w+', 's') THEN 'Fortinet'
  WHEN regexp_matches(raw_message, '^CEF:0\\|') THEN 'Haldenworks' WHEN regexp_matches(raw_message, '^LEEF:') THEN 'Norvane' END AS vendor FROM telemetry""")
 def source_identity(spark: SparkSession, d: str) -> DataFrame:
-    return P.parse_events(table(spark, d, "telemetry").select("row_id", "raw_message"), CFG).select("row_id", "vendor")
+    return P.parse_events(spread(table(spark, d, "telemetry").select("row_id", "raw_message")), CFG).select("row_id", "vendor")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'plain_text' ELSE 'key_value' END AS parser, CASE WHEN event_id % 2 = 0 THEN 'PARSER_HINT:hint_used:plain_text' ELSE 'PARSER_HINT:hint_rejected_fallback:cef' END AS note,
@@ -400,7 +400,7 @@ def hint_routing(spark: SparkSession, d: str) -> DataFrame:
 
 def _all_events(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "telemetry").select("row_id", "ingested_at_unix_utc", "transport", "transport_protocol", "peer_ip", "peer_port", "source_name", "file_path", "file_line_number", "raw_message")
-    return P.parse_events(t, CFG)
+    return P.parse_events(spread(t), CFG)
 
 
 @query()
