@@ -5,8 +5,9 @@ type, value) cells. A target schema is enforced on the cells: what is known and
 to a typed column, everything else stays as JSON in a rescue column. Fields that are approved
 later are promoted, and rescued values are replayed into the typed columns.
 
-The report compares each file of a stream with the file before it, per layer, from counts per
-file, field and type; renames come from values that stood under a lost name in the file before.
+The report holds the cells of each file against the schema of the file before it in its stream:
+what that schema would rescue is added or retyped, what it would leave empty is removed; renames
+come from values that stood under a lost name in the file before.
 
 Defined results: a null layer or no JSON object: no cells; a duplicate key: its last value; null
 values: the field is there but has no say in its type; a field of nulls only has type '' and is

@@ -40,18 +40,15 @@ def punctuations(events: DataFrame, bound_s: int, idle_s: int) -> DataFrame:
 def classify(times: DataFrame, bound_s: int = 600, cutoff_s: int = 21_600, idle_s: int = 0) -> DataFrame:
     """Adds hour_us, closed_us and kind (on_time, late, expired) to events with event_us and ingest_us.
 
-    With idle_s = 0 a silent source is punctuated at the bound itself, so every hour closes
-    exactly bound_s after its end and no join is needed; with a longer timeout an hour stays
-    open until its last source has spoken or timed out.
+    An hour closes when its last source has passed its bound or timed out. With idle_s = 0 silence
+    is no excuse for waiting: every hour closes exactly bound_s after its end. The closings are one
+    row per hour; they are joined, never collected. times is read twice, so it should be a table.
     """
     hour = (F.floor(F.col("event_us") / HOUR) * HOUR).cast("long")
     events = times.where(F.col("event_us").isNotNull()).withColumn("hour_us", hour)
     end = F.col("hour_us") + HOUR
-    if idle_s:
-        closed = punctuations(events, bound_s, idle_s).groupBy("hour_us").agg(F.max("passed_us").alias("closed_us"))
-        events = events.join(closed, "hour_us", "left")
-    else:
-        events = events.withColumn("closed_us", end + bound_s * US)
+    closed = punctuations(events, bound_s, idle_s).groupBy("hour_us").agg(F.max("passed_us").alias("closed_us"))
+    events = events.join(closed, "hour_us", "left")
     kind = (
         F.when(F.col("ingest_us").isNull() | (F.col("ingest_us") <= F.col("closed_us")), "on_time")
         .when(F.col("ingest_us") <= F.greatest(end + cutoff_s * US, F.col("closed_us")), "late")

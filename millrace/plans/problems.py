@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.ids import event_hex, event_key, ingest_us
 from millrace.operators import dedup, drift, late, loglines, nested, skew, timestamps
-from millrace.session import table
+from millrace.session import stored, table
 
 SHARE = 0.04
 
@@ -86,13 +86,18 @@ def _times(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.event_times(table(spark, d, "telemetry"), table(spark, d, "sources"))
 
 
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    times = stored(_times(spark, d).select("event_key", "source_name", "event_us", "ingest_us"), "times")
+    return late.classify(times, bound_s=600, cutoff_s=21_600)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    c = late.classify(_times(spark, d), bound_s=600, cutoff_s=21_600)
+    c = _classified(spark, d)
     return c.where("kind != 'on_time'").select(event_hex(F.col("event_key")).alias("event_id"), "kind")
 
 
 def p5_hours(spark: SparkSession, d: str) -> DataFrame:
-    return late.hourly(late.classify(_times(spark, d), bound_s=600, cutoff_s=21_600))
+    return late.hourly(_classified(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
