@@ -140,6 +140,12 @@ def metrics(events: DataFrame) -> DataFrame:
     return one.select(F.explode(F.create_map(*[x for n in counts for x in (F.lit(n), F.col(n))])).alias("name", "value"))
 
 
+def delivery_metrics(outcomes: DataFrame) -> DataFrame:
+    """name, value: deliveries per kind of target (what its name says before ':'), and what was spooled or failed."""
+    kind = F.when(F.col("delivery_status") == "DELIVERED", F.concat(F.lit("delivery_delivered."), F.substring_index("delivery_target", ":", 1))).otherwise(F.concat(F.lit("events_"), F.lower("delivery_status")))
+    return outcomes.groupBy(kind.alias("name")).agg(F.count("*").alias("value"))
+
+
 def recent(events: DataFrame, n: int = 100) -> DataFrame:
     """The last n events, at most 1000."""
     return events.orderBy(F.desc("ingested_at_unix_utc"), F.desc("event_id")).limit(max(1, min(n, 1000)))

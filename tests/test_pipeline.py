@@ -238,3 +238,55 @@ def test_scalar_functions(spark):
     assert one(X.rfc3339_utc(lit("2026-13-01T00:00:00Z"))) is None
     assert one(X.duration_seconds(lit("1:02:03"))) == 3723 and one(X.duration_seconds(lit("x"))) is None
     assert one(X.unquote(lit('"a \\"b\\" \\\\"'))) == 'a "b" \\'
+
+
+def test_http(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from millrace import api
+
+    e = P.parse_events(spark.createDataFrame([("a=1 b=2", "id1")], "raw_message string, event_id string"), CFG, at=5.0).persist()
+    s = api.server(spark, lambda: e, CFG, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{s.server_address[1]}"
+    get = lambda path, data=None: json.loads(urllib.request.urlopen(base + path, data, timeout=120).read())
+    assert get("/health") == {"status": "ok"} and get("/metrics")["events_received"] == 1
+    assert get("/events?limit=5")[0]["raw"]["raw_message"] == "a=1 b=2" and get("/events/id1")["parser"]["name"] == "key_value"
+    assert get("/api/parse", b'{"x": 1}')["normalized"]["json.x"] == 1
+    with pytest.raises(urllib.error.HTTPError):
+        get("/events/none")
+    s.shutdown()
+    e.unpersist()
+
+
+def test_delivery_metrics_and_release(spark):
+    import os
+
+    from millrace import session
+
+    rows = [("DELIVERED", "elastic:http://x"), ("DELIVERED", "elastic:http://y"), ("SPOOLED", None)]
+    m = P.delivery_metrics(spark.createDataFrame(rows, "delivery_status string, delivery_target string"))
+    assert {r["name"]: r["value"] for r in m.collect()} == {"delivery_delivered.elastic": 2, "events_spooled": 1}
+    df = session.stored(spark.range(3), "three")
+    path = session._made[spark.sparkContext.applicationId][-1]
+    assert df.count() == 3 and os.path.isdir(path)
+    session.release(spark)
+    assert not os.path.exists(path)
+
+
+def test_cli(spark, tmp_path, capsys, monkeypatch):
+    from millrace import cli
+
+    monkeypatch.setattr(cli, "_spark", lambda: spark)
+    assert cli.main(["parse", "a=1 b=2"]) == 0
+    assert json.loads(capsys.readouterr().out)["parser"]["name"] == "key_value"
+    (tmp_path / "x.log").write_text("a=1 b=2\nplain words\n")
+    assert cli.main(["replay", str(tmp_path / "x.log"), "--summary"]) == 0
+    assert [line.split("  ")[1] for line in capsys.readouterr().out.splitlines()] == ["key_value", "unknown"]
+    assert cli.main(["test-parser", "CEF:0|a|b|c|d|e|5|src=1.1.1.1"]) == 0
+    assert {json.loads(x)["parser"] for x in capsys.readouterr().out.splitlines()} >= {"cef", "plain_text"}
+    assert cli.main(["test-parser", "x", "--parser", "nope"]) == 2 and cli.main(["test-parser", "x", "--parser", "cef"]) == 1
+    (tmp_path / "bad.json").write_text("[]")
+    assert cli.main(["parse", "x", "--config", str(tmp_path / "bad.json")]) == 2
