@@ -66,7 +66,7 @@ def cef_unescape(c: Column) -> Column:
 
 def split_unescaped(c: Column, sep: str = r"\|") -> Column:
     """Split at separators that no odd run of backslashes escapes."""
-    return F.regexp_extract_all(c, F.lit(rf"(?s)(?:^|{sep})((?:[^\\{sep[-1]}]++|\\.|\\$)*+)"), 1)
+    return F.regexp_extract_all(F.concat(F.lit(sep[-1]), c), F.lit(rf"(?s){sep}((?:[^\\{sep[-1]}]++|\\.|\\$)*+)"), 1)
 
 
 def cef_severity(c: Column) -> Column:
