@@ -1,18 +1,20 @@
-"""Evaluation texts that leaked into training text: n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation texts that leaked into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-The items' word n-grams are seeds. Every document is scanned once for seeds; how many documents
-hold a seed tells how rare it is. A pair of document and item is aligned if it shares as many
-seeds as a leak must leave whole (the q-gram bound: a run of RUN words with one in ten edited
-keeps at least RUN - N + 1 - N * RUN / 10 of them), so no leak is lost; around its rarest seeds
-the two word sequences are aligned by a local alignment without gaps in the item, which finds
-the longest run of successive item words with each number of edits.
+The items' word n-grams are seeds. One pass over all documents finds the seeds each holds and
+keeps the text of those with enough of them; how many documents hold a seed tells how rare it
+is. A run of RUN words with one in ten edited keeps at least NEED of its n-grams whole (the
+q-gram bound), so of the RARE rarest n-grams of each window of RUN item words at least one is
+kept: only those rare seeds join documents to items, and no leak is lost. Where a document's
+seeds of an item lie close together and are NEED or more, the two word sequences are aligned by
+a local alignment without gaps in the item, which finds the longest run of successive item
+words with each number of edits.
 
 Words are casefolded letters and digits; case, punctuation, spacing and markup (tags, entities,
 list numbers, quote marks) do not count.
 
 Defined results: null or empty texts have no words; an item of fewer than RUN words can't leak;
 repeated documents each count; without items nothing is found. Items are a stated evaluation
-set: its seeds are sent to the tasks, their number is checked.
+set: its seeds are sent to the tasks in blocks of BLOCK items.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import stored
+
 N = 5
 RUN = 20
 NEED = RUN - N + 1 - N * (RUN // 10)
+RARE = RUN - N + 1 - NEED + 1
 #: Items that may be sent to the tasks with their words; beyond, they are worked off in blocks of as many.
 BLOCK = 20_000
 
@@ -68,7 +73,10 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     held = np.zeros_like(run)
     bound = 10 * np.arange(levels + 1)[:, None]
     best, edits = 0, 0
+    alive = False
     for w in doc:
+        if w < 0 and not alive:
+            continue
         eq = item == w
         before = np.maximum(run[:, :-1], held[:, :-1])
         new = np.zeros_like(run)
@@ -78,6 +86,7 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
         new[1:, 1:] = np.maximum(new[1:, 1:], np.where(eq, 0, altered))
         held[1:, :] = run[:-1, :]
         run = new
+        alive = bool(run.any() or held.any())
         if eq.any():
             ok = (run[:, 1:] >= np.maximum(RUN, bound)) & eq
             if ok.any():
@@ -87,33 +96,42 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, edits
 
 
-def leaked_in(words: list[str], by_gram: dict[str, list[tuple[int, int]]], items: dict[int, tuple[str, ...]], rare: dict[str, int]) -> list[tuple[int, int, int]]:
+def rare_seeds(words: tuple[str, ...], spread: dict[str, int]) -> set[str]:
+    """Of each window of RUN words the RARE n-grams that the fewest documents hold."""
+    gs = grams(list(words))
+    out: set[str] = set()
+    for lo in range(len(gs) - (RUN - N)):
+        out.update(sorted(gs[lo : lo + RUN - N + 1], key=lambda g: (spread.get(g, 0), g))[:RARE])
+    return out
+
+
+def leaked_in(words: list[str], by_gram: dict[str, set[int]], rare: dict[str, set[int]], items: dict[int, tuple[str, ...]]) -> list[tuple[int, int, int]]:
     """(item_id, length, edits) of every item that leaked into a document of these words."""
-    hits: dict[int, list[tuple[int, int]]] = {}
-    for at, g in enumerate(grams(words)):
-        for item_id, _ in by_gram.get(g, ()):
-            hits.setdefault(item_id, []).append((rare.get(g, 0), at))
+    gs = grams(words)
+    joined = {k for g in gs for k in rare.get(g, ())}
+    if not joined:
+        return []
+    hits: dict[int, list[int]] = {}
+    for at, g in enumerate(gs):
+        for k in by_gram.get(g, ()):
+            if k in joined:
+                hits.setdefault(k, []).append(at)
     out = []
-    for item_id, got in hits.items():
-        if len({at for _, at in got}) < NEED:
-            continue
-        item = items[item_id]
+    for k, got in hits.items():
+        item = items[k]
         code = {w: i for i, w in enumerate(dict.fromkeys(item))}
         numbers = np.array([code[w] for w in item], dtype=np.int32)
-        reach = len(item) + len(item) // 10 + N
-        best = (0, 0)
-        done: list[tuple[int, int]] = []
-        for _, at in sorted(got):  # rarest first
-            if any(lo <= at < hi for lo, hi in done):
+        reach = len(item) + len(item) // 10 + N  # a run through a seed lies within so many words of it
+        best, lo = (0, 0), 0
+        for i in range(1, len(got) + 1):
+            if i < len(got) and got[i] - got[i - 1] <= reach:
                 continue
-            lo, hi = max(0, at - reach), min(len(words), at + reach + N)
-            done.append((max(0, at - N), at + N))
-            best = max(best, align(np.array([code.get(w, -1) for w in words[lo:hi]], dtype=np.int32), numbers))
-            # the window holds every run through this seed; seeds within a found run need no window of their own
-            if best[0]:
-                done.append((lo + N, hi - 2 * N))
+            if i - lo >= NEED:  # seeds that lie together; a run's own always do
+                part = words[max(0, got[lo] - reach) : got[i - 1] + reach + N]
+                best = max(best, align(np.array([code.get(w, -1) for w in part], dtype=np.int32), numbers))
+            lo = i
         if best[0]:
-            out.append((item_id, *best))
+            out.append((k, *best))
     return out
 
 
@@ -123,7 +141,6 @@ _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Str
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, run_words, edits of every leak."""
-    spark = documents.sparkSession
     held = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     docs = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     blocks = max(1, -(-held.count() // BLOCK))
@@ -132,36 +149,39 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         own = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else held
         part = _leaks_of_block(docs, {r[0]: tuple(words_of(r[1])) for r in own.collect()})
         out = part if out is None else out.unionByName(part)
-    assert out is not None and out.sparkSession is spark
+    return out
+
+
+def _by_gram(seeds: dict[int, set[str]]) -> dict[str, set[int]]:
+    out: dict[str, set[int]] = {}
+    for k, gs in seeds.items():
+        for g in gs:
+            out.setdefault(g, set()).add(k)
     return out
 
 
 def _leaks_of_block(docs: DataFrame, items: dict[int, tuple[str, ...]]) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     items = {k: v for k, v in items.items() if len(v) >= RUN}
-    by_gram: dict[str, list[tuple[int, int]]] = {}
-    for k, ws in items.items():
-        for at, g in enumerate(grams(list(ws))):
-            if (k, at) not in by_gram.setdefault(g, []):
-                by_gram[g].append((k, at))
-    shared = sc.broadcast((by_gram, items))
+    by_gram = _by_gram({k: set(grams(list(v))) for k, v in items.items()})
+    known = sc.broadcast(frozenset(by_gram))
 
     @F.pandas_udf(_SEEDS)
     def seeds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value[0]
         for texts in batches:
-            yield pd.Series([sorted({g for g in grams(words_of(t)) if g in known}) for t in texts], dtype=object)
+            yield pd.Series([sorted(known.value.intersection(grams(words_of(t)))) for t in texts], dtype=object)
 
+    # the one pass over all texts; written, so that texts without enough seeds are never read again
+    found = docs.select("doc_id", "text", seeds("text").alias("seeds")).select("doc_id", "seeds", F.when(F.size("seeds") >= NEED, F.col("text")).alias("text"))
+    found = stored(found, "seeds")
     # documents per seed, over all documents; as many rows as the items have seeds
-    spread = docs.select(F.explode(seeds("text")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    rare = sc.broadcast({r[0]: r[1] for r in spread.collect()} if by_gram else {})
+    spread = {r[0]: r[1] for r in found.select(F.explode("seeds").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    shared = sc.broadcast((by_gram, _by_gram({k: rare_seeds(v, spread) for k, v in items.items()}), items))
 
     @F.pandas_udf(_LEAKS)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, held = shared.value
         for texts in batches:
-            yield pd.Series(
-                [[dict(zip(("item_id", "run_words", "edits"), x)) for x in leaked_in(words_of(t), known, held, rare.value)] for t in texts], dtype=object
-            )
+            yield pd.Series([[dict(zip(("item_id", "run_words", "edits"), x)) for x in leaked_in(words_of(t), *shared.value)] for t in texts], dtype=object)
 
-    return docs.select("doc_id", F.explode(find("text")).alias("l")).select("doc_id", "l.*")
+    candidates = found.where(F.col("text").isNotNull()).select("doc_id", "text")
+    return candidates.select("doc_id", F.explode(find("text")).alias("l")).select("doc_id", "l.*")

@@ -152,3 +152,25 @@ def test_judged(spark):
 def test_judged_nothing(spark):
     assert truncation.judged(docs(spark, [])).count() == 0
     assert [r["posterior"] < 0.5 for r in truncation.judged(docs(spark, ["Only one.", None, ""])).collect()] == [True, True]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rare_seeds_lose_no_leak(seed):
+    rnd = random.Random(seed)
+    item = tuple(f"w{rnd.randrange(25)}" for _ in range(60))
+    spread = {g: rnd.randrange(1000) for g in leakage.grams(list(item))}
+    items = {7: item}
+    all_seeds = leakage._by_gram({7: set(leakage.grams(list(item)))})
+    rare = leakage._by_gram({7: leakage.rare_seeds(item, spread)})
+    for _ in range(60):
+        n = rnd.randint(20, 45)
+        lo = rnd.randrange(len(item) - n)
+        doc = list(item[lo : lo + n])
+        for at in rnd.sample(range(1, n - 1), n // 10):
+            doc[at] = "zz"
+        for at in range(len(doc)):
+            if rnd.random() < 0.02 and "zz" not in doc:
+                doc.insert(at, "yy")
+                break
+        doc = ["a"] * 30 + doc + ["b"] * 30
+        assert [x[0] for x in leakage.leaked_in(doc, all_seeds, rare, items)] == [7]
