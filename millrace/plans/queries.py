@@ -548,3 +548,115 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT row_id, coalesce(try_cast(peer_ip AS VARCHAR), '') <> '' AND regexp_full_match(peer_ip, '(25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)(\\.(25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)){3}') AS ok FROM telemetry WHERE peer_ip IS NOT NULL")
 def ipv4_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "telemetry").where("peer_ip IS NOT NULL").select("row_id", F.col("peer_ip").rlike(checks.IPV4).alias("ok"))
+
+
+# ---- resolution, evidence, delivery, streams ---------------------------------------------------
+
+
+@query("SELECT event_id, 'rfc3164+cef' AS parser, 'PARTIAL' AS status, true AS told, event_type AS kept FROM events")
+def chain_partial(spark: SparkSession, d: str) -> DataFrame:
+    """The envelope is parsed, what is in it is not: nothing of the envelope is lost."""
+    e = table(spark, d, "events").withColumnRenamed("event_id", "eid")
+    out = _parsed(e, _c("<13>Oct  1 10:00:00 ", "$event_type", " CEF:0|A|B|short"))
+    return out.select(F.col("eid").alias("event_id"), F.col("parser_name").alias("parser"), F.col("parse_status").alias("status"), F.array_contains("parse_notes", "CHAIN_PARTIAL:envelope parsed, inner failed").alias("told"), F.col("hostname").alias("kept"))
+
+
+@query("SELECT event_id, 'plain_text' AS parser, 'UNKNOWN_FORMAT' AS status, 'unknown' AS format, '<note>' || event_type || '</note>' AS message FROM events")
+def fallback_unknown(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumnRenamed("event_id", "eid")
+    out = _parsed(e, _c("<note>", "$event_type", "</note>"))
+    return out.select(F.col("eid").alias("event_id"), F.col("parser_name").alias("parser"), F.col("parse_status").alias("status"), F.col("format_detected").alias("format"), _s("normalized", "message").alias("message"))
+
+
+@query("""SELECT event_id, event_id % 3 AS kind, CASE event_id % 3 WHEN 0 THEN 'INVALID' ELSE 'VALID' END AS status, CASE event_id % 3 WHEN 0 THEN 'raw_message missing' END AS problem FROM events""")
+def raw_missing(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumnRenamed("event_id", "eid").withColumn("kind", F.col("eid") % 3)
+    raw = F.when(F.col("kind") == 1, F.col("event_type")).when(F.col("kind") == 2, " ").otherwise("")
+    return _parsed(e, raw).select(F.col("eid").alias("event_id"), "kind", F.col("validation_status").alias("status"), F.get("validation_problems", F.lit(0))["problem"].alias("problem"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'SD_OMITTED:deviation tolerated; text kept as message' WHEN 1 THEN 'SD_UNBALANCED:preserved as structured-data text' WHEN 3 THEN 'SD_UNPARSED:n' END AS note,
+ CASE event_id % 5 WHEN 0 THEN 'text ' || event_type WHEN 2 THEN event_type WHEN 3 THEN 'm' END AS message FROM events""")
+def rfc5424_deviations(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumnRenamed("event_id", "eid")
+    kind = F.col("eid") % 5
+    tail = (
+        F.when(kind == 0, _c(" text ", "$event_type")).when(kind == 1, _c(' [open a="', "$event_type", '"')).when(kind == 2, _c(" - ", "$event_type"))
+        .when(kind == 3, _c(' [n a="[', "$event_type", ']"] m')).otherwise(_c(' [a x="1"][b y="2"] ', "$event_type"))
+    )
+    note = F.get(F.filter("parse_notes", lambda n: n.startswith("SD_")), F.lit(0))
+    return _parsed(e, F.concat(F.lit("<13>1 - h a p m"), tail)).select(F.col("eid").alias("event_id"), note.alias("note"), _s("normalized", "message").alias("message"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'INFERRED' WHEN 1 THEN 'UNKNOWN' ELSE 'INFERRED' END AS status,
+ CASE event_id % 3 WHEN 0 THEN 'signature=sig_cisco_asa' WHEN 1 THEN 'rfc5424.appname=' || event_type ELSE 'cef_header=Acme|' || event_type END AS evidence FROM events""")
+def source_evidence(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumnRenamed("event_id", "eid")
+    kind = F.col("eid") % 3
+    raw = F.when(kind == 0, _c("%ASA-6-110001: ", "$event_type")).when(kind == 1, _c("<13>1 - h ", "$event_type", " p m - x")).otherwise(_c("CEF:0|Acme|", "$event_type", "|1|2|n|3|act=x"))
+    first = F.get("source_evidence", F.lit(0))
+    return _parsed(e, raw).select(F.col("eid").alias("event_id"), F.col("source_status").alias("status"), F.concat_ws("=", first[0], first[1]).alias("evidence"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN least(user_id, 10) WHEN 1 THEN (user_id % 192) % 8 ELSE 5 END AS severity FROM events")
+def leef_severity(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumnRenamed("event_id", "eid")
+    kind = F.col("eid") % 3
+    raw = F.when(kind == 0, _c("CEF:0|A|B|1|2|n|", "$user_id", "|act=x")).when(kind == 1, _c("<", F.col("user_id") % 192, ">1 - h a p m - x")).otherwise(F.col("event_type"))
+    return _parsed(e, raw).select(F.col("eid").alias("event_id"), serialize.severity().alias("severity"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'DELIVERED' END AS status, CASE WHEN event_type = 'error' THEN 'REFUSED:error' END AS error,
+ CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS attempts FROM events""")
+def deliver_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Delivery to a target that refuses some events: retried, then reported."""
+    from millrace.sources import sinks
+
+    def send(lines: list[str]) -> list[str | None]:
+        return ["REFUSED:error" if x == "error" else None for x in lines]
+
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type")
+    out = sinks.deliver(spread(e), sinks.Target("test:local", lambda: F.col("event_type"), send), Limits(max_delivery_retries=1, retry_backoff_seconds=0.0))
+    return out.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("delivery_status").alias("status"), F.col("delivery_error").alias("error"), F.col("delivery_attempts").alias("attempts"))
+
+
+@query("SELECT row_id FROM telemetry WHERE row_id = 7")
+def event_lookup(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "telemetry").select("row_id", F.col("row_id").cast("string").alias("event_id"))
+    return P.event_by_id(t, "7").select("row_id")
+
+
+@query("""WITH t AS (SELECT event_type AS source_name, epoch_us(ts) AS ev, epoch_us(ts) + (event_id % 4) * 7200000000 AS ing FROM events),
+ k AS (SELECT source_name, ev // 3600000000 * 3600000000 AS hour_us, ing - (ev // 3600000000 + 1) * 3600000000 AS late FROM t)
+ SELECT source_name, hour_us, CASE WHEN late <= 600000000 THEN 'on_time' WHEN late <= 21600000000 THEN 'late' ELSE 'expired' END AS kind, count(*) AS n FROM k GROUP BY ALL""")
+def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A streaming query over the events table: counts per source and hour with their corrections."""
+    from millrace.session import new_path, table as read
+    from millrace.streaming import jobs
+
+    schema = read(spark, d, "events").schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    source = spark.readStream.schema(schema)
+    e = source.parquet(f"{d}/events.parquet") if folder else source.option("pathGlobFilter", "events.parquet").parquet(d)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    times = e.select(F.col("event_type").alias("source_name"), us.alias("event_us"), (us + (F.col("event_id") % 4) * 7_200_000_000).alias("ingest_us"))
+    out = new_path(spark, "hourly")
+    jobs.hourly_counts(times, out, new_path(spark, "hourly-checkpoint")).awaitTermination()
+    return spark.read.parquet(out).groupBy("source_name", "hour_us", "kind").agg(F.sum("n").alias("n"))
+
+
+#: Which entries of the operator inventory each query shows.
+COVERS = {
+    "DET0-DET9": ["detect_documents", "detect_telemetry", "detect_file_lines", "detect_props"], "DET10, RES1-RES2": ["status_summary", "chain_rfc3164_cef"],
+    "RES3, SID5": ["hint_routing"], "RES4-RES6": ["chain_rfc3164_cef", "chain_rfc5424_json", "chain_partial", "parse_asa_connections"], "RES7": ["fallback_unknown"], "RES10": ["cef_short_header"],
+    "PAR1, FN1, FN11": ["parse_rfc5424", "rfc5424_pri", "rfc5424_sd", "rfc5424_ts_utc", "rfc5424_deviations"], "PAR2": ["parse_rfc3164"],
+    "PAR3, FN2-FN4": ["parse_cef_events", "cef_severity", "cef_escapes", "cef_invalid_port", "cef_short_header"], "PAR4, FN7": ["parse_leef_tab", "leef_custom_delim", "leef_space_deviation"],
+    "PAR5, FN5-FN6": ["parse_kv_events", "kv_duplicate_keys", "kv_unpaired"], "PAR6": ["parse_fortigate", "fortigate_eventtime"], "PAR7, FN12": ["parse_asa_connections", "asa_partial", "scalar_functions"],
+    "PAR8, FN8-FN9": ["parse_json_props", "json_duplicates"], "PAR9": ["parse_csv_noschema", "csv_schema", "csv_delimiter"], "PAR10": ["plain_stats"],
+    "NRM1-NRM2, FN10": ["validate_ip", "validate_port", "validate_timestamp", "ipv4_check"], "LIM1-LIM2": ["field_limits", "field_count"], "VAL1": ["raw_missing"],
+    "SID1": ["source_configured"], "SID2-SID4": ["source_identity", "source_evidence"], "SNK1": ["spool_lines"], "SNK2": ["serialize_syslog"], "SNK3, SNK5, FN13": ["serialize_leef", "leef_severity"],
+    "SNK4, FN14": ["elastic_index", "elastic_bulk", "bulk_outcome"], "DLV1-DLV5": ["deliver_statuses", "delivery_pending"], "MET1": ["metrics_counters", "metrics_received"],
+    "INS1-INS2": ["recent_events", "event_lookup"], "CLI2": ["replay_summary"], "SRC8, FN16": ["lossless_raw", "replay_summary"], "FRM1-FRM3": ["frame_octet", "frame_newline"], "FRM5": ["frame_datagram"],
+    "DEC1": ["decode_utf8", "decode_latin1"], "RT1": ["stream_hourly_counts"],
+}
