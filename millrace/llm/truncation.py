@@ -192,7 +192,9 @@ def judged(documents: DataFrame) -> DataFrame:
     length = F.when(F.col("unit") == "bytes", F.col("bytes")).otherwise(F.col("chars"))
     # a cut may have lost the white space, or the part of a character, that stood at the limit
     slack = F.when(F.col("unit") == "bytes", 3).otherwise(0)
-    rows = measured.join(odd_keys, "key", "left").join(fits, own == F.col("_source"), "left").select(
+    # texts without a closing line get a key of their own, or they would all meet in one task
+    keyed = measured.withColumn("key", F.when(F.col("ending") == "closing", F.col("key")).otherwise(F.concat(F.lit("\u0000"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = keyed.join(odd_keys, "key", "left").join(fits, own == F.col("_source"), "left").select(
         "doc_id", "source", "chars", "limit", "unit",
         F.when(F.col("ending") == "closing", F.coalesce("verdict", "ending")).otherwise(F.col("ending")).alias("ending"),
         F.when(length >= F.col("limit"), F.col("at_limit")).when(length >= F.col("limit") - slack, F.col("at_limit") / 2).otherwise(0.0).alias("censored"),
