@@ -237,7 +237,7 @@ def chain_rfc5424_json(spark: SparkSession, d: str) -> DataFrame:
 # ---- ASA, FortiGate --------------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey, l_linenumber, 'rfc3164+cisco_asa' AS parser, '10.0.' || (l_partkey % 250) || '.1' AS src, l_suppkey AS sport, '10.9.0.' || l_linenumber AS dst, l_linenumber AS dport,
+@query("""SELECT l_orderkey, l_linenumber, 'rfc3164+cisco_asa' AS parser, '10.0.' || (l_partkey % 250) || '.1' AS src, l_suppkey AS sport, '10.9.0.' || l_linenumber AS dst, l_linenumber::BIGINT AS dport,
  CASE WHEN l_linenumber % 2 = 0 THEN (l_quantity::BIGINT) * 3600 + 61 END AS seconds, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS bytes FROM lineitem""")
 def parse_asa_connections(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem")
@@ -509,7 +509,7 @@ def decode_latin1(spark: SparkSession, d: str) -> DataFrame:
     return framing.decoded(e).select("event_id", F.col("raw_message").alias("text"), F.col("decode_note").alias("note"))
 
 
-@query("SELECT doc_id::VARCHAR AS connection, i AS seq, CASE WHEN i = 0 THEN text ELSE 'end' END AS text FROM documents, (SELECT unnest([0, 1]) AS i) WHERE text IS NOT NULL AND strlen(text) BETWEEN 1 AND 65536")
+@query("SELECT doc_id::VARCHAR AS connection, i::BIGINT AS seq, CASE WHEN i = 0 THEN text ELSE 'end' END AS text FROM documents, (SELECT unnest([0, 1]) AS i) WHERE text IS NOT NULL AND strlen(text) BETWEEN 1 AND 65536")
 def frame_octet(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(F.octet_length("text").between(1, 65_536))
     blob = F.encode(F.concat(F.octet_length("text").cast("string"), F.lit(" "), F.col("text"), F.lit("3 end")), "UTF-8")
@@ -535,7 +535,7 @@ def frame_datagram(spark: SparkSession, d: str) -> DataFrame:
 # ---- scalar functions ------------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_linenumber * 3600 + 62 AS seconds, (l_partkey % 256) // 8 AS facility, (l_partkey % 256) % 8 AS severity, 'a_b.' || l_linenumber AS safe FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, (l_linenumber * 3600 + 62)::BIGINT AS seconds, (l_partkey % 256) // 8 AS facility, (l_partkey % 256) % 8 AS severity, 'a_b.' || l_linenumber AS safe FROM lineitem""")
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem")
     facility, severity = X.pri_parts(F.col("l_partkey") % 256)

@@ -78,18 +78,33 @@ _FRAMES = "connection string, seq bigint, frame binary, error string"
 
 
 def frames(chunks: DataFrame, limit: int = Limits.max_message_bytes) -> DataFrame:
-    """connection, seq, frame, error from chunks (connection, seq, data). A connection's chunks are one ordered state."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, rows = Framer(limit), []
-        name = pdf["connection"].iloc[0]
-        for data in pdf.sort_values("seq")["data"]:
-            rows += [(name, len(rows) + i, x, None) for i, x in enumerate(f.feed(bytes(data or b"")))]
-        if f.error:
-            rows.append((name, len(rows), None, f.error))
-        return pd.DataFrame(rows, columns=["connection", "seq", "frame", "error"])
-
-    return chunks.groupBy("connection").applyInPandas(run, _FRAMES)
+    """connection, seq, frame, error from chunks (connection, seq, data).
+
+    A connection is one ordered state, so one task reads it, but in batches: what it holds is the
+    bytes of an unfinished frame, however long the connection is. A null connection is one of its own.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name: object = object()
+        f, n = Framer(limit), 0
+
+        def end() -> list[tuple]:
+            return [(name, n, None, f.error)] if f.error else []
+
+        for pdf in batches:
+            rows: list[tuple] = []
+            for own, data in zip(pdf["connection"], pdf["data"]):
+                if own != name:
+                    rows += end()
+                    name, f, n = own, Framer(limit), 0
+                for x in f.feed(bytes(data or b"")):
+                    rows.append((name, n, x, None))
+                    n += 1
+            yield pd.DataFrame(rows, columns=["connection", "seq", "frame", "error"])
+        yield pd.DataFrame(end(), columns=["connection", "seq", "frame", "error"])
+
+    ordered = chunks.select("connection", "seq", "data").repartition("connection").sortWithinPartitions("connection", "seq")
+    return ordered.select("connection", "data").mapInPandas(run, _FRAMES)
 
 
 def framed_blobs(blobs: DataFrame, limit: int = Limits.max_message_bytes) -> DataFrame:

@@ -119,6 +119,13 @@ def test_framing():
     assert len(framing.Framer(100).feed(b"0123456789\n" * 5000)) == 5000  # a full buffer of good frames is no error
 
 
+def test_frames_of_interleaved_connections(spark):
+    rows = [("a", 1, b"5 he"), ("b", 1, b"x\ny"), ("a", 2, b"llo3 abc"), ("b", 2, b"z\n"), ("c", 1, b"0 x"), ("c", 2, b"more\n"), (None, 1, b"n\n"), ("d", 1, None)]
+    df = spark.createDataFrame(rows, "connection string, seq bigint, data binary").orderBy(F.rand(3))
+    got = sorted((str(r["connection"]), r["seq"], r["frame"] and bytes(r["frame"]), r["error"]) for r in framing.frames(df).collect())
+    assert got == [("None", 0, b"n", None), ("a", 0, b"hello", None), ("a", 1, b"abc", None), ("b", 0, b"x", None), ("b", 1, b"yz", None), ("c", 0, None, "FRAME:invalid octet count 0")]
+
+
 def test_files_are_numbered_across_splits(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 50) for i in range(1, 4001)]
     lines[10] = ""
