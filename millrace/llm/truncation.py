@@ -11,6 +11,10 @@ posterior that a text is cut.
 
 Short closing lines (signatures, references, list items, catch phrases) are whole if they recur
 as they are: a closing line that is the beginning of a much more frequent one is a cut of it.
+A line that ends in dots is a phrase only if it closes more texts than cuts at that very place
+would, given how many texts have a line with that beginning: a line that closes one text never
+is. What recurs is counted in texts that differ in more than digits, so copies of a cut text
+and the size of the corpus have no say.
 
 Defined results: a null text is not judged; an empty text or one of white space is whole; a
 null source is a source of its own; equal texts under several ids get equal verdicts if their
@@ -19,12 +23,13 @@ sources are equal; a source of few texts has no limit.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +40,9 @@ CUT = 0.5
 MIN_AT_LIMIT, EXCESS = 3, 10.0
 #: A closing line is a cut of another if that one is this many times as frequent.
 RATIO = 3
-#: Dots close a text only as a phrase that recurs so often; else they stand for what was cut.
-RECURS = 2
+#: Dots close a text only as a phrase whose recurrence cuts don't explain: this unlikely over all dotted
+#: lines, where a cut may fall on one place of a text this many times as often as on the average place.
+CHANCE, UNEVEN = 0.01, 10.0
 KEY_CHARS = 80
 
 _STOP = re.compile(r"[.!?。！？][\"'”’»)\]*_`]*$")
@@ -78,6 +84,66 @@ def _ending_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([ending_of(t) for t in texts], columns=["ending", "key"])
 
 
+_SPEAKER_SQL, _DIGIT_SQL = r"(?U)^[\w.-]{1,30}: ", r"(?U)\d"
+
+
+def _fold() -> Column:
+    """Equal for texts that differ in digits only."""
+    return F.xxhash64(F.regexp_replace("text", "[0-9]", "9"))
+
+
+def _dotted(key: Column) -> Column:
+    return key.endswith("...") | key.endswith("…")
+
+
+@F.pandas_udf(T.DoubleType())
+def _by_chance(n: pd.Series, mean: pd.Series) -> pd.Series:
+    """P(at least n | at least 1) of a Poisson variable."""
+    return pd.Series([1.0 if k <= 1 else min(1.0, poisson_tail(int(k), m) / -math.expm1(-m)) for k, m in zip(n, mean)], dtype=float)
+
+
+def poisson_tail(k: int, mean: float) -> float:
+    """P(at least k)."""
+    if mean <= 0:
+        return float(k <= 0)
+    if k <= mean:  # not small: the complement is exact enough
+        return max(0.0, 1 - sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k)))
+    total, term, i = 0.0, math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)), k
+    while term > total * 1e-16 and term > 0:
+        total, i = total + term, i + 1
+        term *= mean / i
+    return min(1.0, total)
+
+
+def phrases(documents: DataFrame, keys: DataFrame, measured: DataFrame) -> DataFrame | None:
+    """key of every dotted closing line that is a phrase; None where no dotted line closes two texts.
+
+    keys: key, n (texts it closes). The texts that have a line with that beginning, whether it goes
+    on or not, are the chances of a cut there; they and n grow alike with the corpus.
+    """
+    dotted = keys.where(_dotted(F.col("key")))
+    n_keys, n_texts = dotted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    several = stored(dotted.where("n > 1").select("key", "n", F.regexp_replace("key", r"[.…]+$", "").alias("begin")), "dotted")
+    lengths = sorted(r[0] for r in several.select(F.length("begin")).distinct().collect())  # KEY_CHARS at most
+    if not lengths:
+        return None
+    chars = measured.select("fold", "chars").distinct().agg(F.sum("chars")).first()[0]
+    lines = documents.where(F.col("text").isNotNull()).select(_fold().alias("fold"), F.explode(F.split("text", "\n")).alias("line"))
+    line = F.substring(F.trim("line"), 1, KEY_CHARS + 32)
+    lines = lines.select("fold", F.when(line.contains(": "), F.regexp_replace(line, _SPEAKER_SQL, "")).otherwise(line).alias("line"))
+    folded = lambda n: F.regexp_replace(F.substring("line", 1, n), _DIGIT_SQL, "9")
+    # most lines begin like none of them; a list of heads too long to test is not tested
+    heads = [r[0] for r in several.select(F.substring("begin", 1, min(3, lengths[0]))).distinct().limit(1001).collect()]
+    if len(heads) <= 1000:
+        lines = lines.where(folded(min(3, lengths[0])).isin(heads))
+    lines = lines.select("fold", folded(KEY_CHARS).alias("line"))
+    begins = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.col("line").substr(F.lit(1), n)))
+    held = lines.select("fold", F.explode(begins).alias("begin")).join(several.select("begin").distinct(), "begin").distinct().groupBy("begin").agg(F.count("*").alias("texts"))
+    mean = F.greatest(F.col("n"), F.coalesce("texts", F.lit(0))) * F.lit(UNEVEN * n_texts / max(1, chars))
+    tried = several.join(held, "begin", "left").select("key", _by_chance(F.col("n"), mean).alias("p"))
+    return tried.where(F.col("p") * n_keys < CHANCE).select("key")
+
+
 def _phi(z: np.ndarray | float) -> np.ndarray | float:
     return np.exp(-0.5 * np.square(z)) / np.sqrt(2 * np.pi)
 
@@ -177,15 +243,16 @@ def ending_weights(counts: list[tuple[str, float, int]]) -> tuple[dict[str, floa
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source, chars, limit, unit, ending, censored (posterior by length), posterior (that the text is cut)."""
     base_rows = documents.where(F.col("text").isNotNull()).select(
-        "doc_id", "source", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), _ending_udf("text").alias("e")
+        "doc_id", "source", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), _fold().alias("fold"), _ending_udf("text").alias("e")
     )
-    measured = stored(base_rows.select("doc_id", "source", "chars", "bytes", "e.*"), "endings")
+    measured = stored(base_rows.select("doc_id", "source", "chars", "bytes", "fold", "e.*"), "endings")
     # closing lines that begin a much more frequent one; both sides combine to distinct lines before they move
-    keys = measured.where("ending = 'closing'").groupBy("key").agg(F.count("*").alias("n"))
+    keys = measured.where("ending = 'closing'").select("key", "fold").distinct().groupBy("key").agg(F.count("*").alias("n"))
     longer = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.col("key").substr(F.lit(1), i))).alias("key"), F.col("n").alias("m"), F.length("key").alias("len"))
     longer = longer.where("length(key) < len").groupBy("key").agg(F.max("m").alias("m"))
-    is_cut, dots = F.col("m") >= RATIO * F.col("n"), F.col("key").endswith("...") | F.col("key").endswith("…")
-    verdict = F.when(dots & (F.col("n") < RECURS), "dots").when(is_cut, "closing_cut")
+    kept = phrases(documents, keys, measured)
+    keys = keys.withColumn("phrase", F.lit(None).cast("boolean")) if kept is None else keys.join(kept.withColumn("phrase", F.lit(True)), "key", "left")
+    verdict = F.when(_dotted(F.col("key")) & F.col("phrase").isNull(), "dots").when(F.col("m") >= RATIO * F.col("n"), "closing_cut")
     odd_keys = keys.join(longer, "key", "left").select("key", verdict.alias("verdict")).where(F.col("verdict").isNotNull())
     own = F.coalesce("source", F.lit(""))
     fits = source_fits(measured).withColumnRenamed("source", "_source")

@@ -154,6 +154,18 @@ def test_judged_nothing(spark):
     assert [r["posterior"] < 0.5 for r in truncation.judged(docs(spark, ["Only one.", None, ""])).collect()] == [True, True]
 
 
+def test_dots_close_a_text_only_as_a_phrase(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 9)))
+    prose = lambda: " ".join(word() for _ in range(25)) + "."
+    whole = [f"{prose()}\nThe lease table dropped {i} entries before noon." for i in range(300)]
+    # cuts of one frequent line at the same place, in two texts and in copies that differ in digits only
+    cut = [f"{prose()}\nThe lease table d..." for _ in range(2)] + ["Tried 12 times.\nClear the dead let...", "Tried 34 times.\nClear the dead let..."]
+    phrase = [f"{prose()}\nlet us see what comes..." for _ in range(12)]
+    got = {r["doc_id"] for r in truncation.judged(docs(spark, whole + cut + phrase)).where(f"posterior >= {truncation.CUT}").collect()}
+    assert got == set(range(300, 304))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_rare_seeds_lose_no_leak(seed):
     rnd = random.Random(seed)
