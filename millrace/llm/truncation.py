@@ -2,8 +2,11 @@
 
 Per source and unit (characters, UTF-8 bytes) the lengths are compressed to a histogram and a
 log-normal is fitted by maximum likelihood in which lengths at a candidate limit are censored
-there. A candidate limit is the largest length if more values stand on it than the fit allows;
-a value's censoring posterior is the share of those values that the fit does not explain. How
+there. Candidate limits are all lengths with more texts on them than on those around; one is a
+limit if the fit does not allow as many either. The limit that holds most texts comes first, then
+those that the other texts show, so a source may have several, in both units. A value's censoring
+posterior is the share of the values on its own limit that the fit does not explain; a text longer
+than that was not cut there. In bytes, a replacement character stands for one to three bytes. How
 a text ends (mid-word, mid-sentence, an open code block, a broken character, a sign-off, a full
 stop...) is the other evidence: the likelihood of each ending among cut and whole texts is
 learned by EM from all texts, with the censored values as anchors. Both are combined into the
@@ -18,7 +21,8 @@ and the size of the corpus have no say.
 
 Defined results: a null text is not judged; an empty text or one of white space is whole; a
 null source is a source of its own; equal texts under several ids get equal verdicts if their
-sources are equal; a source of few texts has no limit.
+sources are equal; a source of few texts has no limit; texts that differ in digits only count
+once for the limits.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ from millrace.session import stored
 CUT = 0.5
 #: A limit needs this many values on it, and this many times what the fit expects there.
 MIN_AT_LIMIT, EXCESS = 3, 10.0
+#: And the fit must be this unlikely to put them there, over all lengths of the source.
+UNLIKELY = 1e-3
+#: Bytes of a character that a cut may have lost, or that its replacement may have added.
+LOST, ADDED = 3, 2
 #: A closing line is a cut of another if that one is this many times as frequent.
 RATIO = 3
 #: Dots close a text only as a phrase whose recurrence cuts don't explain: this unlikely over all dotted
@@ -154,53 +162,98 @@ def _upper(z: float) -> float:
     return max(1e-300, 0.5 * erfc(z / sqrt(2)))
 
 
-def censored_fit(x: np.ndarray, n: np.ndarray, limit: float | None) -> tuple[float, float]:
-    """Maximum-likelihood mean and deviation of log lengths; values at or above limit are censored there (EM)."""
+def censored_fit(x: np.ndarray, n: np.ndarray, limit: float | np.ndarray | None) -> tuple[float, float]:
+    """Maximum-likelihood mean and deviation of log lengths, by EM.
+
+    limit: a length, where values at or above it are censored; or which of the values are, each where it stands.
+    """
     logs = np.log(x)
-    cens = x >= limit if limit else np.zeros(len(x), dtype=bool)
-    seen, w = logs[~cens], n[~cens]
-    k, total = n[cens].sum(), n.sum()
+    if isinstance(limit, np.ndarray):
+        cens, at = limit, logs[limit]
+    else:
+        cens = x >= limit if limit else np.zeros(len(x), dtype=bool)
+        at = np.full(int(cens.sum()), np.log(limit) if limit else 0.0)
+    seen, w, k, total = logs[~cens], n[~cens], n[cens], n.sum()
     if w.sum() < 2:
-        return float(logs.mean()), 1.0
+        return float(np.average(logs, weights=n)) if isinstance(limit, np.ndarray) else float(logs.mean()), 1.0
     mu, sd = float(np.average(seen, weights=w)), max(0.05, float(np.sqrt(np.cov(seen, fweights=w.astype(int), ddof=0))) if len(seen) > 1 else 0.5)
-    for _ in range(60 if k else 0):
-        z = (np.log(limit) - mu) / sd
-        h = float(_phi(z)) / _upper(z)
-        m1, m2 = mu + sd * h, mu**2 + sd**2 + sd * h * (np.log(limit) + mu)
-        mu_new = (np.sum(w * seen) + k * m1) / total
-        sd = max(0.05, float(np.sqrt(max(1e-6, (np.sum(w * seen**2) + k * m2) / total - mu_new**2))))
+    for _ in range(60 if k.sum() else 0):
+        z = (at - mu) / sd
+        h = _phi(z) / np.array([_upper(v) for v in z])
+        m1, m2 = mu + sd * h, mu**2 + sd**2 + sd * h * (at + mu)
+        mu_new = (np.sum(w * seen) + np.sum(k * m1)) / total
+        sd = max(0.05, float(np.sqrt(max(1e-6, (np.sum(w * seen**2) + np.sum(k * m2)) / total - mu_new**2))))
         mu = float(mu_new)
     return mu, sd
 
 
+def _around(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Values per length in the neighbourhood of each of the sorted lengths, itself left out."""
+    reach = np.maximum(5, np.floor(x / 20))
+    sums = np.concatenate([[0.0], np.cumsum(n)])
+    return (sums[np.searchsorted(x, x + reach, "right")] - sums[np.searchsorted(x, x - reach, "left")] - n) / (2 * reach)
+
+
+def _peak(x: np.ndarray, n: np.ndarray, gone: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float, float, float] | None:
+    """(texts, limit, posterior, mu, sigma) of the limit that holds most texts; gone: lengths and numbers on limits known before."""
+    around = _around(x, n)
+    likely = (n >= MIN_AT_LIMIT) & (n > EXCESS * around)
+    if not likely.any():
+        return None
+    every, each = np.concatenate([x, gone[0]]), np.concatenate([n, gone[1]])
+    mu, sd = censored_fit(every, each, np.concatenate([likely, np.ones(len(gone[0]), dtype=bool)]))
+    # expected on the limit itself, were it no limit: density of the uncensored fit at that length
+    expected = np.maximum(each.sum() * _phi((np.log(x) - mu) / sd) / (sd * x), around)
+    best = None
+    for i in np.flatnonzero(likely & (n > EXCESS * expected)):
+        if poisson_tail(int(n[i]), float(expected[i])) * len(x) < UNLIKELY and (best is None or (n[i], x[i]) > best[:2]):
+            best = (float(n[i]), float(x[i]), max(0.0, 1 - float(expected[i] / n[i])), mu, sd)
+    return best
+
+
 def fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per source: the limit (null if there is none), its unit, and what the fit says of it."""
-    best: tuple = (None, None, 0.0, None, None, 0)
-    for unit in ("chars", "bytes"):
-        own = pdf[(pdf["unit"] == unit) & (pdf["length"] > 0)]
-        if own.empty:
-            continue
-        x, n = own["length"].to_numpy(float), own["n"].to_numpy(float)
-        limit = x.max()
-        k = float(n[x == limit].sum())
-        mu, sd = censored_fit(x, n, limit if k >= MIN_AT_LIMIT else None)
-        # expected on the limit itself, were it no limit: density of the uncensored fit at that length
-        expected = n.sum() * float(_phi((np.log(limit) - mu) / sd)) / (sd * limit)
-        posterior = max(0.0, 1 - expected / k)
-        if k >= MIN_AT_LIMIT and k > EXCESS * expected and k > best[5]:
-            best = (limit, unit, posterior, mu, sd, k)
-        elif best[3] is None:
-            best = (None, None, 0.0, mu, sd, 0)
-    return pd.DataFrame([{"source": pdf["source"].iloc[0], "limit": best[0], "unit": best[1], "at_limit": best[2], "mu": best[3], "sigma": best[4]}])
-
-
-_FIT = "source string, limit double, unit string, at_limit double, mu double, sigma double"
+    """One row per source: its limits, the one that holds most texts first, and what the fit says of that one."""
+    source = pdf["source"].iloc[0]
+    rest = pdf[pdf["chars"] > 0]
+    on: dict[str, list[pd.DataFrame]] = {"chars": [], "bytes": []}
+    limits: list[dict] = []
+    first = (None, None)
+    while True:
+        best, unit = None, ""
+        for u in ("chars", "bytes"):
+            own = rest if u == "chars" else rest[~rest["replaced"]]
+            h = own.groupby(u)["n"].sum()
+            if h.empty:
+                continue
+            past = [g.groupby(u)["n"].sum() for g in on["chars"] + on["bytes"]]
+            known = pd.concat(past) if past else h[:0]
+            p = _peak(h.index.to_numpy(float), h.to_numpy(float), (known.index.to_numpy(float), known.to_numpy(float)))
+            if p and (best is None or p[0] > best[0]):
+                best, unit = p, u
+        if best is None:
+            break
+        limit = best[1]
+        if not limits:
+            first = best[3:]
+        limits.append({"limit": limit, "unit": unit, "at_limit": best[2]})
+        at = rest[unit]
+        taken = at == limit if unit == "chars" else at.between(limit - LOST, limit) | (rest["replaced"] & at.between(limit, limit + ADDED))
+        on[unit].append(rest[taken])
+        rest = rest[~taken]
+    if not limits and len(pdf[pdf["chars"] > 0]):
+        h = pdf[pdf["chars"] > 0].groupby("chars")["n"].sum()
+        first = censored_fit(h.index.to_numpy(float), h.to_numpy(float), None)
+    top = limits[0] if limits else {"limit": None, "unit": None, "at_limit": 0.0}
+    return pd.DataFrame([{"source": source, **top, "mu": first[0], "sigma": first[1], "limits": limits}])
+
+
+_FIT = "source string, limit double, unit string, at_limit double, mu double, sigma double, limits array<struct<limit: double, unit: string, at_limit: double>>"
 
 
 def source_fits(measured: DataFrame) -> DataFrame:
-    """The fit of every source, from its histogram of lengths: bounded by the longest text, whatever the number of rows."""
-    lengths = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
-    hist = measured.select(F.coalesce("source", F.lit("")).alias("source"), lengths.alias("l")).groupBy("source", F.col("l.unit").alias("unit"), F.col("l.length").alias("length")).agg(F.count("*").alias("n"))
+    """The fit of every source, from its histogram of lengths in both units: as many rows as pairs of them."""
+    once = measured.select(F.coalesce("source", F.lit("")).alias("source"), "fold", "chars", "bytes", "replaced").distinct()
+    hist = once.groupBy("source", "chars", "bytes", "replaced").agg(F.count("*").alias("n"))
     return hist.groupBy("source").applyInPandas(fit_source, _FIT)
 
 
@@ -241,11 +294,11 @@ def ending_weights(counts: list[tuple[str, float, int]]) -> tuple[dict[str, floa
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """doc_id, source, chars, limit, unit, ending, censored (posterior by length), posterior (that the text is cut)."""
+    """doc_id, source, chars, limit and unit (the source's foremost), ending, censored (posterior by length), posterior (that the text is cut)."""
     base_rows = documents.where(F.col("text").isNotNull()).select(
-        "doc_id", "source", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), _fold().alias("fold"), _ending_udf("text").alias("e")
+        "doc_id", "source", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), _fold().alias("fold"), F.endswith("text", F.lit("\ufffd")).alias("replaced"), _ending_udf("text").alias("e")
     )
-    measured = stored(base_rows.select("doc_id", "source", "chars", "bytes", "fold", "e.*"), "endings")
+    measured = stored(base_rows.select("doc_id", "source", "chars", "bytes", "fold", "replaced", "e.*"), "endings")
     # closing lines that begin a much more frequent one; both sides combine to distinct lines before they move
     keys = measured.where("ending = 'closing'").select("key", "fold").distinct().groupBy("key").agg(F.count("*").alias("n"))
     longer = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.col("key").substr(F.lit(1), i))).alias("key"), F.col("n").alias("m"), F.length("key").alias("len"))
@@ -256,15 +309,19 @@ def judged(documents: DataFrame) -> DataFrame:
     odd_keys = keys.join(longer, "key", "left").select("key", verdict.alias("verdict")).where(F.col("verdict").isNotNull())
     own = F.coalesce("source", F.lit(""))
     fits = source_fits(measured).withColumnRenamed("source", "_source")
-    length = F.when(F.col("unit") == "bytes", F.col("bytes")).otherwise(F.col("chars"))
-    # a cut may have lost the white space, or the part of a character, that stood at the limit
-    slack = F.when(F.col("unit") == "bytes", 3).otherwise(0)
+
+    def censored(lim: Column) -> Column:
+        """The posterior of a limit if the text stands on it: a cut may have lost part of a character, or replaced it."""
+        n, at = F.col("bytes"), lim["limit"]
+        on_bytes = F.when((n == at) | (F.col("replaced") & n.between(at, at + ADDED)), lim["at_limit"]).when(n.between(at - LOST, at), lim["at_limit"] / 2)
+        return F.coalesce(F.when(lim["unit"] == "bytes", on_bytes).when(F.col("chars") == at, lim["at_limit"]), F.lit(0.0))
+
     # texts without a closing line get a key of their own, or they would all meet in one task
     keyed = measured.withColumn("key", F.when(F.col("ending") == "closing", F.col("key")).otherwise(F.concat(F.lit("\u0000"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = keyed.join(odd_keys, "key", "left").join(fits, own == F.col("_source"), "left").select(
         "doc_id", "source", "chars", "limit", "unit",
         F.when(F.col("ending") == "closing", F.coalesce("verdict", "ending")).otherwise(F.col("ending")).alias("ending"),
-        F.when(length >= F.col("limit"), F.col("at_limit")).when(length >= F.col("limit") - slack, F.col("at_limit") / 2).otherwise(0.0).alias("censored"),
+        F.coalesce(F.array_max(F.transform("limits", censored)), F.lit(0.0)).alias("censored"),
     )
     rows = stored(rows, "judged")
     counts = [(r[0], r[1], r[2]) for r in rows.groupBy("ending", F.round("censored", 2).alias("c")).count().collect()]  # endings x 101 at most

@@ -166,6 +166,25 @@ def test_dots_close_a_text_only_as_a_phrase(spark):
     assert got == set(range(300, 304))
 
 
+def test_limits_in_bytes_and_several(spark):
+    rnd = random.Random(3)
+    made = lambda n: "".join(rnd.choice("abcdefü ") for _ in range(n))
+    whole = [made(rnd.randint(60, 2500)) + "." for _ in range(300)]
+    in_bytes = []
+    while len(in_bytes) < 40:
+        t = made(400).encode()[:400]
+        if t[-1] < 128 and t[-1] != 32:
+            in_bytes.append(t.decode())
+    longer = [made(1199) + "q" for _ in range(20)]  # a second limit, in characters
+    texts = [*whole, *in_bytes, "x" * 397 + "\ufffd", *longer, "y" * 399 + "\ufffd"]
+    df = docs(spark, texts)
+    fit = truncation.source_fits(df.selectExpr("source", "xxhash64(text) AS fold", "length(text) AS chars", "octet_length(text) AS bytes", "endswith(text, '\ufffd') AS replaced")).first()
+    assert [(x["limit"], x["unit"]) for x in fit["limits"]] == [(400, "bytes"), (1200, "chars")]
+    j = {r["doc_id"]: r["censored"] for r in truncation.judged(df).collect()}
+    assert all(j[i] > 0.9 for i in range(300, 361)) and j[361] > 0.9
+    assert sum(j[i] > 0 for i in range(300)) < 15
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_rare_seeds_lose_no_leak(seed):
     rnd = random.Random(seed)
