@@ -1,7 +1,7 @@
 """Evaluation texts that leaked into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
 The items' word n-grams are seeds. One pass over all documents finds the seeds each holds and
-keeps the text of those with enough of them; how many documents hold a seed tells how rare it
+keeps the text of those with enough places that hold one; how many documents hold a seed tells how rare it
 is. A run of RUN words with one in ten edited keeps at least NEED of its n-grams whole (the
 q-gram bound), so of the RARE rarest n-grams of each window of RUN item words at least one is
 kept: only those rare seeds join documents to items, and no leak is lost. Where a document's
@@ -135,7 +135,7 @@ def leaked_in(words: list[str], by_gram: dict[str, set[int]], rare: dict[str, se
     return out
 
 
-_SEEDS = T.ArrayType(T.StringType())
+_SEEDS = T.StructType([T.StructField("seeds", T.ArrayType(T.StringType())), T.StructField("places", T.IntegerType())])
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("run_words", T.IntegerType()), T.StructField("edits", T.IntegerType())]))
 
 
@@ -167,12 +167,14 @@ def _leaks_of_block(docs: DataFrame, items: dict[int, tuple[str, ...]]) -> DataF
     known = sc.broadcast(frozenset(by_gram))
 
     @F.pandas_udf(_SEEDS)
-    def seeds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def seeds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """The seeds of each text, and how many places hold one: repeated wording counts as often as it stands."""
         for texts in batches:
-            yield pd.Series([sorted(known.value.intersection(grams(words_of(t)))) for t in texts], dtype=object)
+            held = [[g for g in grams(words_of(t)) if g in known.value] for t in texts]
+            yield pd.DataFrame({"seeds": [sorted(set(h)) for h in held], "places": [len(h) for h in held]})
 
     # the one pass over all texts; written, so that texts without enough seeds are never read again
-    found = docs.select("doc_id", "text", seeds("text").alias("seeds")).select("doc_id", "seeds", F.when(F.size("seeds") >= NEED, F.col("text")).alias("text"))
+    found = docs.select("doc_id", "text", seeds("text").alias("s")).select("doc_id", "s.seeds", F.when(F.col("s.places") >= NEED, F.col("text")).alias("text"))
     found = stored(found, "seeds")
     # documents per seed, over all documents; as many rows as the items have seeds
     spread = {r[0]: r[1] for r in found.select(F.explode("seeds").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}

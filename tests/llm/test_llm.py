@@ -72,6 +72,11 @@ def test_leaks(spark):
     assert leaks(spark, texts) == [(i, 100) for i in (0, 2, 4, 5, 6, 7, 10, 11)]
 
 
+def test_leaks_of_repeated_wording(spark):
+    refrain = " ".join(["row row row your boat"] * 8)
+    assert leaks(spark, ["so " + " ".join(refrain.split()[:20]) + " on", " ".join(refrain.split()[:19])], items=(refrain,)) == [(0, 100)]
+
+
 def test_leaks_of_nothing(spark):
     assert leaks(spark, [ITEM], items=()) == leaks(spark, [ITEM], items=(None, "", "too short")) == leaks(spark, []) == []
 
