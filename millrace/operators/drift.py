@@ -160,15 +160,36 @@ def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
 _CAST = {"text": "string", "whole": "decimal(38,0)", "decimal": "double", "boolean": "boolean", "array": "string", "object": "string"}
 
 
+def _exact(value: Column) -> Column:
+    """The number as a double, or null if the double does not keep all its digits: 15 always are, more if it prints as they stand."""
+    x = value.try_cast("double")
+    digits = F.length(F.regexp_replace(F.regexp_replace(value, r"[eE].*$|[-.]", ""), r"^0+|0+$", ""))
+    kept = (digits == 0) | ((digits <= 15) & F.abs(x).between(2.3e-308, 1.7e308)) | (x.cast("string") == value)
+    return F.when(kept, x)
+
+
 def _typed(kind: str, have: Column, value: Column) -> Column:
     """The value as the target type, or null if it can't be cast without loss."""
     if kind == "text":
         return F.when(have == "text", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
     if kind == "decimal":
-        return F.when(have.isin("decimal", "whole"), value.try_cast("double"))
+        return F.when(have.isin("decimal", "whole"), _exact(value))
     return F.when(have == kind, value.try_cast(_CAST[kind]))
 
 
+def enforce(cells: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., target, as_... (a column per type), rescued of cells with their target type: a value is in one column or rescued.
+
+    The same casts as in ingest, for cells of many schemas at once.
+    """
+    target, have, value = F.col("target"), F.col("kind"), F.col("value")
+    as_json = F.coalesce(*[F.when(target == k, _typed(k, have, value)) for k in ("array", "object")])
+    columns = {f"as_{k}": F.when(target == k, _typed(k, have, value)) for k in ("text", "whole", "decimal", "boolean")} | {"as_json": as_json}
+    out = cells.select(*keep, "target", "value", *[c.alias(k) for k, c in columns.items()])
+    held = F.coalesce(*[F.col(k).cast("string") for k in columns]).isNotNull()
+    return out.withColumn("rescued", F.when(~held, F.col("value"))).drop("value")
+
+
 def ingest(rows: DataFrame, target: dict[str, str], keep: list[str], layer: str = "vendor_fields") -> DataFrame:
     """keep..., a column per field of target (field -> kind), _rescued: JSON of all other members.
 

@@ -25,18 +25,7 @@ def p1_typed(spark: SparkSession, d: str) -> DataFrame:
     target = drift._types(c.groupBy("stream_id", F.lit(0).alias("ord"), "layer", "field", "kind").agg(F.count("*").alias("n"))).select(
         "stream_id", "layer", "field", F.col("kind").alias("target")
     )
-    have, value = F.col("kind"), F.col("value")
-    fits = (have == F.col("target")) | ((F.col("target") == "decimal") & (have == "whole"))
-    typed = lambda kinds, cast: F.when(fits & F.col("target").isin(*kinds), cast)
-    return c.join(target, ["stream_id", "layer", "field"]).select(
-        "spool_row_id", "stream_id", "layer", "field", "target",
-        typed(["text"], F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).alias("as_text"),
-        typed(["whole"], value.try_cast("decimal(38,0)")).alias("as_whole"),
-        typed(["decimal"], value.try_cast("double")).alias("as_decimal"),
-        typed(["boolean"], value.try_cast("boolean")).alias("as_boolean"),
-        typed(["array", "object"], value).alias("as_json"),
-        F.when(~F.coalesce(fits, F.lit(True)), value).alias("rescued"),
-    )
+    return drift.enforce(c.join(target, ["stream_id", "layer", "field"]), ["spool_row_id", "stream_id", "layer", "field"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

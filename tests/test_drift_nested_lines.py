@@ -47,6 +47,17 @@ def test_rescue_promote_replay(spark):
     assert again[1] == ("x", "[1]", None) and again[2][2] == {"a": 7, "b": "five", 'c "q"': 1.5}
 
 
+def test_what_does_not_cast_without_loss_is_rescued(spark):
+    values = [("whole", "whole", "9" * 39), ("whole", "whole", "9" * 38), ("decimal", "whole", "9007199254740993"), ("decimal", "whole", "5"), ("decimal", "decimal", "0.1234567890123456789"), ("decimal", "decimal", "2.50"),
+              ("decimal", "decimal", "1e999"), ("whole", "text", '"x"'), ("text", "text", '"x"'), ("object", "object", "{}"), ("text", None, None)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "id int, target string, kind string, value string")
+    rows = drift.enforce(df, ["id"]).orderBy("id").collect()
+    assert [r["id"] for r in rows if r["rescued"] is not None] == [0, 2, 4, 6, 7]
+    assert all((r["rescued"] is None) == any(r[c] is not None for c in ("as_text", "as_whole", "as_decimal", "as_boolean", "as_json")) for r in rows[:-1])
+    t = drift.ingest(spark.createDataFrame([(1, '{"a": 9007199254740993}')], "id bigint, vendor_fields string"), {"a": "decimal"}, ["id"]).first()
+    assert (t["a"], json.loads(t["_rescued"])) == (None, {"a": 9007199254740993})
+
+
 def test_nodes(spark):
     problems = "array<struct<field:string,problem:string,value:string>>"
     rows = [
