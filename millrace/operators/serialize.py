@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.functions.ids import ingest_us
 
 _ALL = {"ignoreNullFields": "false"}
 
@@ -77,7 +78,9 @@ def syslog_json(tag: str = "millrace", pri: int = 134) -> Column:
 
 
 def index_name(prefix: str) -> Column:
-    day = F.date_format(F.timestamp_micros(F.floor(F.col("ingested_at_unix_utc") * 1e6).cast("bigint")), "yyyy.MM.dd")
+    """The index of the day of ingestion, whatever the unit of its time."""
+    at = F.col("ingested_at_unix_utc")
+    day = F.date_format(F.timestamp_micros(F.coalesce(ingest_us(at), F.floor(at * 1e6).cast("bigint"))), "yyyy.MM.dd")
     return F.concat(F.lit(f"{prefix}-"), day)
 
 

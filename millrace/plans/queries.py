@@ -466,6 +466,13 @@ def elastic_index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "telemetry").where("ingested_at_unix_utc < 1e11").select("row_id", serialize.index_name("millrace").alias("index"))
 
 
+@query("""SELECT row_id, 'millrace-' || strftime(make_timestamp((CASE WHEN ingested_at_unix_utc < 1e11 THEN floor(ingested_at_unix_utc * 1e6) WHEN ingested_at_unix_utc < 1e14 THEN floor(ingested_at_unix_utc * 1e3)
+ WHEN ingested_at_unix_utc < 1e17 THEN floor(ingested_at_unix_utc) ELSE floor(ingested_at_unix_utc / 1e3) END)::BIGINT), '%Y.%m.%d') AS index FROM telemetry""")
+def elastic_index_all(spark: SparkSession, d: str) -> DataFrame:
+    """The index of every row, whatever the unit of its ingestion time."""
+    return table(spark, d, "telemetry").select("row_id", serialize.index_name("millrace").alias("index"))
+
+
 @query("SELECT event_id, 'millrace-2025.10.09' AS index, event_type AS raw, 'a' || user_id AS who FROM events")
 def elastic_bulk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumnRenamed("event_id", "eid").withColumn("raw_message", _c("user=a", "$user_id", " kind=", "$event_type"))
@@ -656,7 +663,7 @@ COVERS = {
     "PAR8, FN8-FN9": ["parse_json_props", "json_duplicates"], "PAR9": ["parse_csv_noschema", "csv_schema", "csv_delimiter"], "PAR10": ["plain_stats"],
     "NRM1-NRM2, FN10": ["validate_ip", "validate_port", "validate_timestamp", "ipv4_check"], "LIM1-LIM2": ["field_limits", "field_count"], "VAL1": ["raw_missing"],
     "SID1": ["source_configured"], "SID2-SID4": ["source_identity", "source_evidence"], "SNK1": ["spool_lines"], "SNK2": ["serialize_syslog"], "SNK3, SNK5, FN13": ["serialize_leef", "leef_severity"],
-    "SNK4, FN14": ["elastic_index", "elastic_bulk", "bulk_outcome"], "DLV1-DLV5": ["deliver_statuses", "delivery_pending"], "MET1": ["metrics_counters", "metrics_received"],
+    "SNK4, FN14": ["elastic_index", "elastic_index_all", "elastic_bulk", "bulk_outcome"], "DLV1-DLV5": ["deliver_statuses", "delivery_pending"], "MET1": ["metrics_counters", "metrics_received"],
     "INS1-INS2": ["recent_events", "event_lookup"], "CLI2": ["replay_summary"], "SRC8, FN16": ["lossless_raw", "replay_summary"], "FRM1-FRM3": ["frame_octet", "frame_newline"], "FRM5": ["frame_datagram"],
     "DEC1": ["decode_utf8", "decode_latin1"], "RT1": ["stream_hourly_counts"],
 }

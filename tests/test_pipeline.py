@@ -297,3 +297,8 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["test-parser", "x", "--parser", "nope"]) == 2 and cli.main(["test-parser", "x", "--parser", "cef"]) == 1
     (tmp_path / "bad.json").write_text("[]")
     assert cli.main(["parse", "x", "--config", str(tmp_path / "bad.json")]) == 2
+
+
+def test_index_of_the_day_in_any_unit(spark):
+    df = spark.createDataFrame([(x,) for x in (1.76e9, 1.76e12, 1.76e15, 1.76e18)], "ingested_at_unix_utc double")
+    assert {r[0] for r in df.select(serialize.index_name("millrace")).collect()} == {"millrace-2025.10.09"}
