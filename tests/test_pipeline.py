@@ -302,3 +302,11 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
 def test_index_of_the_day_in_any_unit(spark):
     df = spark.createDataFrame([(x,) for x in (1.76e9, 1.76e12, 1.76e15, 1.76e18)], "ingested_at_unix_utc double")
     assert {r[0] for r in df.select(serialize.index_name("millrace")).collect()} == {"millrace-2025.10.09"}
+
+
+def test_all_configured_sources_are_read(spark, tmp_path):
+    from millrace.plans import queries
+
+    columns = "source_id string, transport string, peer_ip string, file_path string, vendor string, product string, parser_hint string"
+    spark.createDataFrame([(f"s{i:04}", "udp", f"10.0.{i // 250}.{i % 250}", None, None, None, None) for i in range(1001)], columns).write.parquet(str(tmp_path / "sources.parquet"))
+    assert len(queries._sources(spark, str(tmp_path))) == 1001
