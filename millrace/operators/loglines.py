@@ -4,10 +4,11 @@ Literals that anchor a layout are found with one Aho-Corasick pass over a line a
 the parsers that need them; each of those verifies its anchored expression and extracts the
 fields. A line that no parser accepts joins the entry above it.
 
-Defined results: a line read twice counts once; lines before the first header of a file have no
+Defined results: a line read twice counts once, in its longest reading; lines before the first header of a file have no
 entry; blank lines are continuation lines; a null message counts as a blank line; a null file
 path, or line number, is no line of a file. Equal headers are entries of their own. Very long
-lines are read whole.
+lines are read whole. An entry's message is one value of the result: its own lines meet in one
+row, while the lines of a file never do.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ _RX = {
     "semicolon": re.compile(rf"(?P<ts>\d{{1,2}}/\d{{1,2}}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}(?: [AP]M)?);(?P<lvl>{_WORD});(?P<comp>[^;]*);(?P<msg>.*)$", re.S | re.I),
     "letter": re.compile(r"(?P<lvl>[IWEFDV])(?P<ts>\d{4} \d{2}:\d{2}:\d{2}(?:\.\d+)?) +\d+ (?P<comp>[^\s:\]]+):\d+\] ?(?P<msg>.*)$", re.S),
     "bracket": re.compile(rf"(?P<ts>\d{{4}}/\d{{2}}/\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?) \[(?P<lvl>{_WORD})\] (?P<comp>[^\s:]+): ?(?P<msg>.*)$", re.S | re.I),
-    "epoch": re.compile(rf"(?P<ts>\d{{9,10}}(?:\.\d+)?) \[(?P<lvl>{_WORD})\] \((?P<comp>[^)]*)\) ?(?P<msg>.*)$", re.S | re.I),
+    "epoch": re.compile(rf"(?P<ts>\d{{9,10}}(?:\.\d+)?) \[(?P<lvl>{_WORD})\](?: \((?P<comp>[^)]*)\))?(?: (?P<msg>.*))?$", re.S | re.I),
 }
 _PAIR = re.compile(r'([A-Za-z@_][\w.@-]*)=("(?:[^"\\]|\\.)*"|\S*)(?: +|$)')
 _TS_KEYS = ("@timestamp", "timestamp", "time", "ts")
@@ -82,7 +83,7 @@ def _by_regex(name: str) -> Callable[[str], Entry | None]:
             level = _SEVERITY[int(g["pri"]) & 7]
         else:
             level = level_of(g.get("lvl"))
-        return g["ts"], level, "" if g["comp"] == "-" else g["comp"], g["msg"] or ""
+        return g["ts"], level, "" if g["comp"] in (None, "-") else g["comp"], g["msg"] or ""
 
     return parse
 
@@ -129,7 +130,7 @@ PARSERS: list[tuple[str, Callable[[str], Entry | None], tuple[str, ...]]] = [
     ("semicolon", _by_regex("semicolon"), (";",)),
     ("letter", _by_regex("letter"), ("] ",)),
     ("bracket", _by_regex("bracket"), (" [",)),
-    ("epoch", _by_regex("epoch"), ("] (",)),
+    ("epoch", _by_regex("epoch"), ("]",)),
     ("json", _json, tuple(f'"{k}"' for k in _TS_KEYS)),
     ("pairs", _pairs, tuple(f"{k}=" for k in _TS_KEYS)),
 ]
@@ -183,7 +184,7 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     once = (
         lines.where(F.col("file_path").isNotNull() & F.col("file_line_number").isNotNull())
         .groupBy("file_path", F.col("file_line_number").alias("n"))
-        .agg(F.min(F.coalesce("raw_message", F.lit(""))).alias("raw"))
+        .agg(F.max(F.struct(F.length("raw_message").alias("size"), F.coalesce("raw_message", F.lit("")).alias("raw")))["raw"].alias("raw"))
     )
     return once.withColumn("e", _entry_udf("raw")).select("file_path", "n", "e.*")
 

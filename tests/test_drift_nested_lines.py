@@ -89,6 +89,8 @@ def test_header_lines():
     assert p("F1119 04:06:00.733732  2310 frame_cut.cc:311] m") == ("1119 04:06:00.733732", "crit", "frame_cut.cc", "m")
     assert p("2025/11/02 04:11:32 [info] leasemon: m") == ("2025/11/02 04:11:32", "info", "leasemon", "m")
     assert p("1762054515.726 [notice] (tidesync) m") == ("1762054515.726", "notice", "tidesync", "m")
+    assert p("1762054515.726 [notice] retry 1 of 9 [spool] - (x) m") == ("1762054515.726", "notice", "", "retry 1 of 9 [spool] - (x) m")
+    assert p("1762054515 [err]") == ("1762054515", "err", "", "") and p("1762054515.7 [err]x") is None
     assert p('{"severity": 4, "@timestamp": "t1", "component": "c", "msg": "a\\nb"}') == ("t1", "warning", "c", "a\nb")
     assert p('level=err time=2025-12-24T12:49:59.808Z component=q msg="a \\"b\\""') == ("2025-12-24T12:49:59.808Z", "err", "q", 'a "b"')
     for line in (None, "", "  ", "\tat x.y", "  > 2025-11-02 22:35:55,812 ERROR [main] a.B - x", "{", '{"n": 1}', "WHERE state = 'x'", "Traceback (most recent call last):", "a" * 200_000):
@@ -97,7 +99,7 @@ def test_header_lines():
 
 def test_entries(spark):
     lines = [
-        ("/f", 1, "orphan"), ("/f", 2, "Nov  2 03:55:39 h a: one"), ("/f", 2, "Nov  2 03:55:39 h a: one"), ("/f", 3, "  two"), ("/f", 4, None), ("/f", 5, "three  "), ("/f", 6, ""),
+        ("/f", 1, "orphan"), ("/f", 2, "Nov  2 03:55:39 h a: one"), ("/f", 2, None), ("/f", 2, "Nov  2 03:55"), ("/f", 2, "Nov  2 03:55:39 h a: one"), ("/f", 3, "  two"), ("/f", 4, None), ("/f", 5, "three  "), ("/f", 6, ""),
         ("/f", 20_000, "Nov  2 03:55:40 h a: far"), ("/f", 20_001, "tail"), ("/g", 1, "tail of nothing"), (None, 1, "Nov  2 03:55:40 h a: x"), ("/h", None, "Nov  2 03:55:40 h a: x"),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in lines], "file_path string, file_line_number bigint, raw_message string, n string").orderBy(F.rand(1))
