@@ -75,9 +75,17 @@ def _times(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.event_times(table(spark, d, "telemetry"), table(spark, d, "sources"))
 
 
+BOUND_S, CUTOFF_S, IDLE_S = 600, 21_600, 3600
+
+
+def _clock(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivery moves its source's clock."""
+    return table(spark, d, "telemetry").select("source_name", ingest_us(F.col("ingested_at_unix_utc")).alias("ingest_us"))
+
+
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     times = stored(_times(spark, d).select("event_key", "source_name", "event_us", "ingest_us"), "times")
-    return late.classify(times, bound_s=600, cutoff_s=21_600)
+    return late.classify(times, _clock(spark, d), BOUND_S, CUTOFF_S, IDLE_S)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +97,17 @@ def p5_hours(spark: SparkSession, d: str) -> DataFrame:
     return late.hourly(_classified(spark, d))
 
 
+def p5_watermarks(spark: SparkSession, d: str) -> DataFrame:
+    """When each live source passed each hour, by a record or its idle timeout."""
+    clock = _clock(spark, d)
+    return late.punctuations(clock, late.live_hours(clock, BOUND_S, IDLE_S), BOUND_S, IDLE_S)
+
+
+def p5_closings(spark: SparkSession, d: str) -> DataFrame:
+    """When each hour closed, and how many of its live sources were punctuated by their timeout."""
+    return late.closings(_clock(spark, d), BOUND_S, IDLE_S)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.repeats(table(spark, d, "telemetry")).select(event_hex(F.col("event_key")).alias("event_id"), "row_id")
 
@@ -115,7 +134,7 @@ def p7_ambiguity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_typed, p2_found, p3_found, p3_keys, p3_sizes, p4_found, p4_tables, p5_found, p5_hours, p6_found, p6_kept, p7_found, p7_ambiguity)
+    for f in (p1_found, p1_typed, p2_found, p3_found, p3_keys, p3_sizes, p4_found, p4_tables, p5_found, p5_hours, p5_watermarks, p5_closings, p6_found, p6_kept, p7_found, p7_ambiguity)
 }
 
 _KEY = "regexp_replace(regexp_replace(lower(event_id), '^[\\s{(]*(urn:)?(uuid:)?', ''), '[\\s{}()-]', '', 'g')"
@@ -127,7 +146,13 @@ _PAIRS = f"""pairs AS (SELECT 'peer_ip' AS field, peer_ip AS key_value, {_KEY} A
 _RANKED = f"""ranked AS (SELECT {_KEY} AS event_id, row_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY {_US} NULLS LAST, row_id) AS rn
  FROM telemetry WHERE regexp_full_match({_KEY}, '[0-9a-f]{{32}}'))"""
 
+_PASSED = f"""t AS (SELECT coalesce(source_name, chr(1)) AS s, {_US} AS us FROM telemetry WHERE {_US} IS NOT NULL), span AS (SELECT s, min(us) AS lo, max(us) AS hi FROM t GROUP BY s),
+ h AS (SELECT s, unnest(generate_series((lo - 600000000 + 3599999999) // 3600000000 - 1, (hi + 3000000000) // 3600000000 - 1)) * 3600000000 AS hour_us FROM span),
+ passed AS (SELECT h.s, hour_us, least(t.us, hour_us + 7800000000) AS passed_us FROM h ASOF LEFT JOIN t ON h.s = t.s AND hour_us + 4200000000 < t.us)"""
+
 ORACLES: dict[str, str] = {
+    "p5_watermarks": f"WITH {_PASSED} SELECT nullif(s, chr(1)) AS source_name, hour_us, passed_us FROM passed",
+    "p5_closings": f"WITH {_PASSED} SELECT hour_us, max(passed_us) AS closed_us, count(*) AS n_sources, count_if(passed_us = hour_us + 7800000000)::BIGINT AS n_idle FROM passed GROUP BY hour_us",
     "p3_found": f"WITH {_PAIRS} SELECT field, key_value FROM pairs WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) >= {SHARE} * (SELECT count(*) FROM telemetry)",
     "p3_keys": f"WITH {_PAIRS} SELECT field, key_value, count(*) AS n_rows, count(DISTINCT k) AS n_events, max(us) AS last_ingest_us FROM pairs GROUP BY field, key_value",
     "p3_sizes": f"""WITH {_PAIRS}, c AS (SELECT field, key_value, size, count(*) AS n FROM pairs WHERE size IS NOT NULL GROUP BY ALL),

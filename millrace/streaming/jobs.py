@@ -58,16 +58,28 @@ def listeners(spark: SparkSession, cfg: Config) -> list[DataFrame]:
     return out
 
 
-def hourly_counts(times: DataFrame, table_path: str, checkpoint: str, bound_s: int = 600, cutoff_s: int = 21_600, once: bool = True) -> StreamingQuery:
+def hourly_counts(times: DataFrame, table_path: str, checkpoint: str, bound_s: int = 600, cutoff_s: int = 21_600, idle_s: int = 3600, once: bool = True) -> StreamingQuery:
     """Counts per source and hour as changes: each batch appends (batch, source_name, hour_us, kind, n).
 
     times: event_us, ingest_us, source_name. A late record is a correction of its hour: reading the
     sum over batches gives the corrected count, a replayed batch overwrites its own rows only.
+    The sources' clocks are carried from batch to batch as a table of one row per source
+    (table_path-clocks/batch=n), beside it the low watermark below which every hour is closed
+    (table_path-low/batch=n).
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        c = late.classify(df, bound_s, cutoff_s)
-        c.groupBy("source_name", "hour_us", "kind").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{table_path}/batch={n}")
+        spark = df.sparkSession
+        clocks = spark.createDataFrame([], "source_name string, clock_us bigint") if n == 0 else spark.read.schema("source_name string, clock_us bigint").parquet(f"{table_path}-clocks/batch={n - 1}")
+        df = df.persist()
+        try:
+            now = f"{table_path}-clocks/batch={n}"
+            late.moved(clocks, df).write.mode("overwrite").parquet(now)
+            late.low_watermark(spark.read.parquet(now), bound_s, idle_s).write.mode("overwrite").parquet(f"{table_path}-low/batch={n}")
+            c = late.classify_arrivals(df, clocks, bound_s, cutoff_s)
+            c.groupBy("source_name", "hour_us", "kind").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{table_path}/batch={n}")
+        finally:
+            df.unpersist()
 
     writer = times.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

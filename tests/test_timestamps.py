@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,11 +105,52 @@ def test_late_kinds_and_hours(spark):
     assert hours == {"a": (2, 2, 4, 0), "b": (0, 0, 0, 1), None: (1, 0, 1, 0)}
 
 
-def test_idle_timeout_keeps_an_hour_open(spark):
-    end = us("2025-10-01T11:00:00")
-    rows = [("a", end - 1, end - 1), ("b", end - 1, end - 1), ("a", end + 5, end + 700 * US), ("b", end - 1, end + 2000 * US), ("b", end - 1, end + 5000 * US)]
-    df = spark.createDataFrame(rows, "source_name string, event_us bigint, ingest_us bigint")
-    c = late.classify(df, bound_s=600, cutoff_s=21_600, idle_s=3600).where(f"event_us = {end - 1}").orderBy("ingest_us", "source_name").collect()
-    # b passes its bound with its own record at +2000 s, which closes the hour
-    assert [r["kind"] for r in c] == ["on_time", "on_time", "on_time", "late"]
-    assert {r["closed_us"] for r in c} == {end + 2000 * US}
+def test_a_source_passes_with_its_first_record_after_the_bound(spark):
+    m = 60 * US
+    rows = [("a", 10 * m, 65 * m), ("a", 10 * m, 72 * m), ("a", 10 * m, 70 * m), ("b", 10 * m, 20 * m), (None, 5 * m, None), ("c", 10 * m, 500 * m), ("c", 10 * m, 80 * m)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "source_name string, event_us bigint, ingest_us bigint, passed_us string").drop("passed_us")
+    got = {(r["source_name"], r["ingest_us"]): (r["passed_us"] // m, r["kind"]) for r in late.classify(df, idle_s=1800).collect()}
+    assert got == {
+        ("a", 65 * m): (72, "on_time"), ("a", 72 * m): (72, "late"), ("a", 70 * m): (72, "on_time"), ("b", 20 * m): (100, "on_time"), (None, None): (100, "on_time"),
+        ("c", 80 * m): (80, "late"), ("c", 500 * m): (80, "expired"),
+    }
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_watermarks_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    h, bound, idle = late.HOUR, 600, rnd.choice([0, 3600, 20_000])
+    clock = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.randrange(60 * h), rnd.randrange(60) * h + bound * US])) for _ in range(40)] + [("a", None)]
+    df = spark.createDataFrame(clock, "source_name string, ingest_us bigint")
+    want = {}
+    for s in {x for x, _ in clock}:
+        own = [t for x, t in clock if x == s and t is not None]
+        for hour in range(-2 * h, 70 * h, h):
+            due = hour + h + bound * US
+            if min(own) <= due <= max(own) + idle * US:
+                want[s, hour] = min([t for t in own if t > due] + [due + idle * US])
+    hours = late.live_hours(df, bound, idle)
+    assert {(r["source_name"], r["hour_us"]): r["passed_us"] for r in late.punctuations(df, hours, bound, idle).collect()} == want
+    closed = {k: max(v for (_, j), v in want.items() if j == k) for k in {j for _, j in want}}
+    assert {r["hour_us"]: r["closed_us"] for r in late.closings(df, bound, idle).collect()} == closed
+
+
+def test_no_clock_no_hours(spark):
+    none = spark.createDataFrame([], "source_name string, event_us bigint, ingest_us bigint")
+    assert late.classify(none).count() == late.closings(none).count() == late.live_hours(none, 600, 0).count() == 0
+
+
+def test_stream_carries_watermarks_over_batches(spark, tmp_path):
+    from millrace.streaming import jobs
+
+    end = 3600 * US
+    batches = [[("a", 5, 10), ("b", 5, end + 700 * US), (None, 5, None)], [("a", 6, end), ("b", 6, 20), ("b", None, 30)], [("b", 7, 40), ("a", 7, end + 22_000 * US)]]
+    schema = "source_name string, event_us bigint, ingest_us bigint"
+    for i, rows in enumerate(batches):  # one file a batch, read in order of time
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.hourly_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = sorted((r["batch"], r["source_name"] or "", r["kind"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # b's clock had passed the hour in the first batch, so b's older records are late whatever their own ingestion
+    assert got == [(0, "", "on_time", 1), (0, "a", "on_time", 1), (0, "b", "late", 1), (1, "a", "on_time", 1), (1, "b", "late", 1), (2, "a", "expired", 1), (2, "b", "late", 1)]
+    low = {r["batch"]: r["low_us"] for r in spark.read.parquet(str(tmp_path / "out-low")).collect()}
+    assert low == {0: end + 100 * US, 1: end - 600 * US, 2: end + 21_400 * US}
