@@ -1,17 +1,24 @@
 """Schemas that drift between files: rescue-column ingestion and a report of every change.
 
-Each layer of a row is a JSON object in text. Its top-level members are exploded to (field,
-type, value) cells. A target schema is enforced on the cells: what is known and castable goes
-to a typed column, everything else stays as JSON in a rescue column. Fields that are approved
-later are promoted, and rescued values are replayed into the typed columns.
+Each layer of a row is a JSON object in text. Its top-level members are cells (field, kind,
+value). A target schema is enforced on them: what it knows and what casts without loss goes to a
+typed column, everything else stays as JSON in a rescue column. Fields that are approved later
+are promoted, and rescued values are replayed into the typed columns.
 
-The report holds the cells of each file against the schema of the file before it in its stream:
-what that schema would rescue is added or retyped, what it would leave empty is removed; renames
-come from values that stood under a lost name in the file before.
+The report is read off that ingestion. Every file is held against the schema of the file before
+it in its stream: a field all of whose cells are rescued because the schema doesn't know it is
+added; one whose values are rescued for their type, more of one type than the schema takes, is
+retyped; one that the schema leaves without a cell is removed. What was added or retyped is
+promoted into the schema the next file meets. Renames come from values that stood under a lost
+name in the file before.
+
+Cells are read by built-in functions. Only objects whose members those change (repeated keys,
+numbers of more digits than a double holds, exponents, NaN) are read in Python.
 
 Defined results: a null layer or no JSON object: no cells; a duplicate key: its last value; null
 values: the field is there but has no say in its type; a field of nulls only has type '' and is
-never retyped; equal majorities: the type first in TYPES; a file without rows has no fields.
+never retyped; equal majorities: the type first in TYPES; a file without rows has no fields; text
+after the object does not count; half a surrogate pair is read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -29,10 +36,13 @@ from millrace.session import stored
 
 TYPES = ["text", "whole", "decimal", "boolean", "array", "object"]
 LAYERS = ["vendor_fields", "unknown_fields"]
+#: Changed fields are broadcast up to this many, as counted; beyond they are joined by shuffle.
+MAX_BROADCAST_ROWS = 100_000
 
 _CELL = T.ArrayType(
     T.StructType([T.StructField("field", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
 )
+_CELL_SQL = "array<struct<field:string,kind:string,value:string>>"
 
 
 class _Number(str):
@@ -53,10 +63,17 @@ def _dump(v: object) -> str:
     return json.dumps(v, ensure_ascii=False)
 
 
+_READ = json.JSONDecoder(parse_int=_Number, parse_float=_Decimal)
+
+
+def _whole_pairs(text: str) -> str:
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def cells_of(text: str | None) -> list[tuple[str, str | None, str | None]]:
-    """(field, kind, JSON text of the value) of each member of a JSON object; kind is None for null."""
+    """(field, kind, value) of each member of a JSON object: a text as it reads, anything else as JSON; both None for null."""
     try:
-        obj = json.loads(text, parse_int=_Number, parse_float=_Decimal) if text else None
+        obj = _READ.raw_decode(text.lstrip(" \t\r\n"))[0] if text else None
     except (ValueError, RecursionError):
         return []
     if not isinstance(obj, dict):
@@ -71,24 +88,62 @@ def cells_of(text: str | None) -> list[tuple[str, str | None, str | None]]:
             kind = "decimal"
         else:
             kind = {str: "text", bool: "boolean", list: "array", dict: "object"}[type(v)]
-        out.append((k, kind, None if v is None else _dump(v)))
+        said = None if v is None else v if kind == "text" else _dump(v)
+        out.append((_whole_pairs(k), kind, said and _whole_pairs(said)))
     return out
 
 
 @F.pandas_udf(_CELL)
 def _cells_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([[dict(zip(("field", "kind", "value"), c)) for c in cells_of(t)] for t in texts], dtype=object)
+        yield pd.Series([None if t is None else [dict(zip(("field", "kind", "value"), c)) for c in cells_of(t)] for t in texts], dtype=object)
+
+
+#: Reading options: limits of the parser are no limits of the data.
+_JSON = {"allowSingleQuotes": "false", "maxNumLen": "2147483647", "maxStringLen": "2147483647"}
+#: Numbers that a double does not keep, exponents and what is no JSON number, wherever they may stand.
+_INEXACT = r"[:\[,]\s*-?(?:[0-9.]*[eE]|NaN|Inf|(?=[0-9.]{16})[0-9]*\.)"
+
+
+def _built_in(text: Column) -> tuple[Column, Column]:
+    """(cells, whether they say exactly what the text says)."""
+    said, meant = F.from_json(text, "map<string,string>", _JSON), F.from_json(text, "map<string,variant>", _JSON)
+    pairs = F.arrays_zip(F.map_keys(said).alias("k"), F.map_values(said).alias("s"), F.map_values(meant).alias("v"))
+
+    def cell(x: Column) -> Column:
+        shape = F.schema_of_variant(x["v"])
+        kind = (
+            F.when(shape == "STRING", "text").when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object")
+            .when(shape != "VOID", F.when(x["s"].rlike(r"^-?[0-9]+$"), "whole").otherwise("decimal"))
+        )
+        value = F.when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), F.to_json(x["v"])).when(shape != "VOID", x["s"])
+        return F.struct(x["k"].alias("field"), kind.alias("kind"), value.alias("value"))
+
+    keys = F.map_keys(said)
+    exact = ~text.rlike(_INEXACT) & meant.isNotNull() & (F.size(keys) == F.size(F.array_distinct(keys))) & ~text.contains("\\ud") & ~text.contains("\\uD")
+    return F.transform(pairs, cell), F.coalesce(exact, F.lit(False))
+
+
+def _cells(rows: DataFrame, json_column: str, name: str) -> DataFrame:
+    """rows with the cells of a column of JSON objects."""
+    text = F.col(json_column)
+    fast, exact = _built_in(text)
+    out = rows.withColumn("_exact", exact)
+    read = _cells_udf(F.when(~F.col("_exact") & text.isNotNull(), text))
+    return out.withColumn("_read", read).withColumn(name, F.when(F.col("_exact"), fast).otherwise(F.col("_read"))).drop("_exact", "_read")
 
 
 def cells(rows: DataFrame, keep: list[str], layers: list[str] = LAYERS) -> DataFrame:
     """keep..., layer, field, kind, value: one row per top-level member of each layer."""
     layer = F.explode(F.array(*[F.struct(F.lit(x).alias("layer"), F.col(x).alias("json")) for x in layers]))
-    return (
-        rows.select(*keep, layer.alias("_l"))
-        .select(*keep, F.col("_l.layer"), F.explode(_cells_udf(F.col("_l.json"))).alias("_c"))
-        .select(*keep, "layer", "_c.*")
-    )
+    flat = rows.select(*keep, layer.alias("_l")).select(*keep, "_l.layer", F.col("_l.json").alias("_json"))
+    return _cells(flat, "_json", "_c").select(*keep, "layer", F.explode("_c").alias("_c")).select(*keep, "layer", "_c.*")
+
+
+def as_json(kind: Column, value: Column) -> Column:
+    """A cell's value as JSON text."""
+    quoted = F.to_json(F.array(value))
+    return F.when(kind == "text", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(value)
 
 
 def ordered_files(files: DataFrame) -> DataFrame:
@@ -103,43 +158,67 @@ def _types(per_kind: DataFrame) -> DataFrame:
     return per_kind.groupBy("stream_id", "ord", "layer", "field").agg(F.coalesce(best["k"], F.lit("")).alias("kind"))
 
 
+def knows(target: Column, kind: Column) -> Column:
+    """Whether a schema takes a cell of that kind: null values always, others if they are of the field's own type or the field has none yet."""
+    return target.isNotNull() & (kind.isNull() | (target == "") | (kind == target))
+
+
+def _met(files: DataFrame, now: DataFrame) -> DataFrame:
+    """file_id, layer, field, target: the schema each file meets, which is what the file before it promoted."""
+    before = now.select("stream_id", (F.col("ord") + 1).alias("ord"), "layer", "field", F.col("kind").alias("target"))
+    return before.join(files, ["stream_id", "ord"]).select("file_id", "layer", "field", "target")
+
+
+def _joined(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a small stored side, broadcast if its count allows it."""
+    small = side.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return df.join(F.broadcast(side) if small else side, on, how)
+
+
 def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     """file_id, layer, change, field, old_field for every file against the one before it in its stream.
 
-    Three shuffles of counts: cells combine per file, field, kind and value hash on the map
-    side, so a file of a third of all rows moves as its distinct values. Only lost and new
-    fields take part in the comparison of values.
+    The first pass moves counts per file, field and kind, combined on the map side: as many rows
+    as the files' schemas have. Values are compared in a second pass over the files that both
+    lost and gained fields, and only the values of those fields move, as hashes, combined per file.
     """
     ordered = ordered_files(files)
-    counted = stored(
-        cells(rows, ["file_id"])
-        .groupBy("file_id", "layer", "field", "kind", F.xxhash64("value").alias("h"))
-        .agg(F.count("*").alias("n")),
-        "cells",
-    )
-    values = counted.join(ordered, "file_id")
-    now = _types(values.groupBy("stream_id", "ord", "layer", "field", "kind").agg(F.sum("n").alias("n")))
-    before = now.select("stream_id", (F.col("ord") + 1).alias("ord"), "layer", "field", F.col("kind").alias("was"))
-    # a file after the last one of its stream is no file; the first one has none before it
-    both = now.join(before, ["stream_id", "ord", "layer", "field"], "full").join(ordered.where("ord > 1"), ["stream_id", "ord"])
-    marked = stored(
-        both.select(
-            "stream_id", "ord", "file_id", "layer", "field",
-            F.when(F.col("was").isNull(), "added").when(F.col("kind").isNull(), "removed")
-            .when((F.col("kind") != F.col("was")) & (F.col("kind") != "") & (F.col("was") != ""), "retyped").alias("change"),
-        ).where(F.col("change").isNotNull()),
-        "marked",
+    counted = stored(cells(rows, ["file_id"]).groupBy("file_id", "layer", "field", "kind").agg(F.count("*").alias("n")), "cells")
+    now = _types(counted.join(ordered, "file_id"))
+    # ingestion of each file under the schema of the file before; the first file of a stream is its baseline
+    later = ordered.where("ord > 1").select("file_id")
+    met = _met(ordered, now)
+    got = counted.join(later, "file_id").withColumn("_there", F.lit(True)).join(met, ["file_id", "layer", "field"], "full")
+    rescued = F.col("_there") & ~F.coalesce(knows(F.col("target"), F.col("kind")), F.lit(False))
+    rank = F.element_at(F.create_map(*[x for i, k in enumerate(TYPES) for x in (F.lit(k), F.lit(-i))]), F.col("kind"))
+    weight = F.struct(F.col("n"), rank.alias("r"))
+    held = got.groupBy("file_id", "layer", "field", "target").agg(
+        F.max("_there").alias("there"), F.max(F.when(rescued & F.col("kind").isNotNull(), weight)).alias("most_rescued"),
+        F.max(F.when(~rescued & F.col("kind").isNotNull(), weight)).alias("most_taken"),
     )
-    # values of new fields against values that stood under lost names in the file before
-    at = ["stream_id", "ord", "layer"]
-    known = values.where(F.col("kind").isNotNull())
-    new = known.join(marked.where("change = 'added'").select(*at, "field"), [*at, "field"]).groupBy(*at, "field", "h").agg(F.sum("n").alias("n"))
-    lost = (
-        known.withColumn("ord", F.col("ord") + 1)
-        .join(marked.where("change = 'removed'").select(*at, "field"), [*at, "field"])
-        .select(*at, F.col("field").alias("old_field"), "h")
-        .distinct()
-    )
+    outvoted = F.col("most_rescued").isNotNull() & (F.col("most_taken").isNull() | (F.col("most_rescued") > F.col("most_taken")))
+    change = F.when(F.col("target").isNull(), "added").when(F.col("there").isNull(), "removed").when((F.col("target") != "") & outvoted, "retyped")
+    marked = stored(held.select("file_id", "layer", "field", change.alias("change")).where(F.col("change").isNotNull()), "marked")
+    rest, renamed = _renames(ordered, rows, marked)
+    return rest.select("file_id", "layer", "change", "field", F.lit("").alias("old_field")).unionByName(renamed)
+
+
+def _renames(ordered: DataFrame, rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What of marked is left, and the renamed fields: a new field most of whose values stood under a lost name in the file before."""
+    at = ["file_id", "layer"]
+    moves = marked.where("change != 'retyped'").groupBy(*at).agg(F.max(F.col("change") == "added").alias("a"), F.max(F.col("change") == "removed").alias("r")).where("a AND r").select(*at)
+    before = ordered.select(F.col("file_id").alias("prev"), "stream_id", (F.col("ord") + 1).alias("ord")).join(ordered.select("file_id", "stream_id", "ord"), ["stream_id", "ord"]).select("prev", "file_id")
+    asked = marked.where("change != 'retyped'").join(moves, at).join(before, "file_id")
+    # place: the file whose values are asked for; file_id: the file that changed
+    asked = stored(asked.select(F.when(F.col("change") == "added", F.col("file_id")).otherwise(F.col("prev")).alias("place"), "file_id", "layer", "field", "change"), "asked")
+    own = _joined(rows.withColumnRenamed("file_id", "place"), stored(asked.select("place").distinct(), "places"), ["place"])
+    values = cells(own, ["place"]).where(F.col("kind").isNotNull())
+    h = F.xxhash64(F.col("kind") == "text", "value").alias("h")
+    # a field may be new in its file and lost in the next one: counted once, then joined with what is asked
+    seen = _joined(values, stored(asked.select("place", "layer", "field").distinct(), "wanted"), ["place", "layer", "field"]).groupBy("place", "layer", "field", h).agg(F.count("*").alias("n"))
+    seen = stored(seen.join(asked, ["place", "layer", "field"]).select(*at, "field", "change", "h", "n"), "values")
+    new = seen.where("change = 'added'").drop("change")
+    lost = seen.where("change = 'removed'").select(*at, F.col("field").alias("old_field"), "h")
     total = new.groupBy(*at, "field").agg(F.sum("n").alias("total"))
     share = (
         new.join(lost, [*at, "h"]).groupBy(*at, "field", "old_field").agg(F.sum("n").alias("same"))
@@ -150,10 +229,9 @@ def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     best = share.withColumn("a", F.row_number().over(W.partitionBy(*at, "field").orderBy(F.desc("share"), F.desc("same"), "old_field"))).where("a = 1")
     best = best.withColumn("b", F.row_number().over(W.partitionBy(*at, "old_field").orderBy(F.desc("share"), F.desc("same"), "field"))).where("b = 1")
     renamed = stored(best.select(*at, "field", "old_field"), "renamed")
-    gone = renamed.select(*at, F.col("field").alias("_f"), F.lit("added").alias("change")).union(renamed.select(*at, F.col("old_field").alias("_f"), F.lit("removed").alias("change")))
-    rest = marked.join(gone.withColumnRenamed("_f", "field"), [*at, "field", "change"], "left_anti").select("file_id", "layer", "change", "field", F.lit("").alias("old_field"))
-    named = renamed.join(ordered, ["stream_id", "ord"]).select("file_id", "layer", F.lit("renamed").alias("change"), "field", "old_field")
-    return rest.unionByName(named)
+    gone = renamed.select(*at, "field", F.lit("added").alias("change")).union(renamed.select(*at, "old_field", F.lit("removed")))
+    rest = marked.join(gone, [*at, "field", "change"], "left_anti")
+    return rest, renamed.select(*at, F.lit("renamed").alias("change"), "field", "old_field")
 
 
 #: What a target type accepts of a cell, as a Spark type.
@@ -170,24 +248,48 @@ def _exact(value: Column) -> Column:
 
 def _typed(kind: str, have: Column, value: Column) -> Column:
     """The value as the target type, or null if it can't be cast without loss."""
-    if kind == "text":
-        return F.when(have == "text", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
     if kind == "decimal":
         return F.when(have.isin("decimal", "whole"), _exact(value))
     return F.when(have == kind, value.try_cast(_CAST[kind]))
 
 
+AS = ["as_text", "as_whole", "as_decimal", "as_boolean", "as_json"]
+
+
 def enforce(cells: DataFrame, keep: list[str]) -> DataFrame:
-    """keep..., target, as_... (a column per type), rescued of cells with their target type: a value is in one column or rescued.
+    """keep..., target, as_... (a column per type), rescued of cells with their target type: a value is in one column or rescued as JSON.
 
-    The same casts as in ingest, for cells of many schemas at once.
+    The same casts as in ingest, for cells of many schemas at once. A cell without a target is rescued.
     """
     target, have, value = F.col("target"), F.col("kind"), F.col("value")
-    as_json = F.coalesce(*[F.when(target == k, _typed(k, have, value)) for k in ("array", "object")])
-    columns = {f"as_{k}": F.when(target == k, _typed(k, have, value)) for k in ("text", "whole", "decimal", "boolean")} | {"as_json": as_json}
-    out = cells.select(*keep, "target", "value", *[c.alias(k) for k, c in columns.items()])
+    json_value = F.coalesce(*[F.when(target == k, _typed(k, have, value)) for k in ("array", "object")])
+    columns = {f"as_{k}": F.when(target == k, _typed(k, have, value)) for k in ("text", "whole", "decimal", "boolean")} | {"as_json": json_value}
+    out = cells.select(*keep, "target", "kind", "value", *[c.alias(k) for k, c in columns.items()])
     held = F.coalesce(*[F.col(k).cast("string") for k in columns]).isNotNull()
-    return out.withColumn("rescued", F.when(~held, F.col("value"))).drop("value")
+    return out.withColumn("rescued", F.when(~held, as_json(have, value))).drop("kind", "value")
+
+
+def typed(files: DataFrame, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., stream_id, layer, field, target, as_..., rescued, how: one consistent table of all rows.
+
+    Each file's cells are ingested under the schema of the file before (a stream's first file under
+    its own). Then the fields of the stream are approved with the type that most values of all its
+    files have, and replayed: what was rescued, or held as another type, is cast again. how is held,
+    replayed or rescued; null for a null value.
+    """
+    ordered = ordered_files(files)
+    counted = stored(cells(rows, ["file_id"]).groupBy("file_id", "layer", "field", "kind").agg(F.count("*").alias("n")), "kinds")
+    counted = counted.join(ordered, "file_id")
+    now = _types(counted)
+    met = _met(ordered, now).unionByName(now.where("ord = 1").join(ordered, ["stream_id", "ord"]).select("file_id", "layer", "field", F.col("kind").alias("target")))
+    approved = _types(counted.withColumn("ord", F.lit(0)).groupBy("stream_id", "ord", "layer", "field", "kind").agg(F.sum("n").alias("n"))).select("stream_id", "layer", "field", F.col("kind").alias("target"))
+    fields = counted.select("file_id", "stream_id", "layer", "field").distinct()
+    # both targets of every field of a file, in one table of the schemas' size
+    both = fields.join(met.withColumnRenamed("target", "_met"), ["file_id", "layer", "field"], "left").join(approved, ["stream_id", "layer", "field"])
+    c = _joined(cells(rows, keep + [k for k in ("file_id",) if k not in keep]), stored(both, "schemas"), ["file_id", "layer", "field"])
+    first = F.when(F.col("kind").isNull(), None).when(knows(F.col("_met"), F.col("kind")) & (F.col("_met") == F.col("target")), "held").otherwise("replayed")
+    out = enforce(c.withColumn("_how", first), [*keep, "stream_id", "layer", "field", "_how"])
+    return out.withColumn("how", F.when(F.col("rescued").isNotNull(), "rescued").otherwise(F.col("_how"))).drop("_how")
 
 
 def ingest(rows: DataFrame, target: dict[str, str], keep: list[str], layer: str = "vendor_fields") -> DataFrame:
@@ -197,7 +299,7 @@ def ingest(rows: DataFrame, target: dict[str, str], keep: list[str], layer: str
     which is null where there is none. Names that clash with keep get a trailing '_'.
     """
     c = F.col("_cells")
-    out = rows.select(*keep, _cells_udf(F.col(layer)).alias("_cells"))
+    out = _cells(rows.select(*keep, F.col(layer).alias("_json")), "_json", "_cells")
 
     def named(field: str) -> Column:
         return F.get(F.filter(c, lambda x: x["field"] == field), F.lit(0))
@@ -210,12 +312,11 @@ def ingest(rows: DataFrame, target: dict[str, str], keep: list[str], layer: str
         return fits
 
     def member(x: Column) -> Column:
-        key = F.to_json(F.array(x["field"]))
-        return F.concat(F.substring(key, F.lit(2), F.length(key) - 2), F.lit(":"), F.coalesce(x["value"], F.lit("null")))
+        return F.concat(as_json(F.lit("text"), x["field"]), F.lit(":"), F.coalesce(as_json(x["kind"], x["value"]), F.lit("null")))
 
     out = out.withColumns({f"{field}_" if field in keep else field: _typed(kind, named(field)["kind"], named(field)["value"]) for field, kind in target.items()})
     rest = F.transform(F.filter(c, lambda x: ~taken(x)), member)
-    return out.withColumn("_rest", rest).withColumn("_rescued", F.when(F.size("_rest") > 0, F.concat(F.lit("{"), F.array_join("_rest", ","), F.lit("}")))).drop("_cells", "_rest")
+    return out.withColumn("_rest", rest).withColumn("_rescued", F.when(F.size("_rest") > 0, F.concat(F.lit("{"), F.array_join("_rest", ","), F.lit("}")))).drop("_cells", "_rest", "_json")
 
 
 def replay(table: DataFrame, approved: dict[str, str]) -> DataFrame:

@@ -20,12 +20,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_typed(spark: SparkSession, d: str) -> DataFrame:
     """One consistent table of all rows: a typed cell per row and field, or the value as rescued JSON."""
-    files = drift.ordered_files(table(spark, d, "spool_files")).select("file_id", "stream_id")
-    c = drift.cells(table(spark, d, "spool_rows"), ["spool_row_id", "file_id"]).join(files, "file_id")
-    target = drift._types(c.groupBy("stream_id", F.lit(0).alias("ord"), "layer", "field", "kind").agg(F.count("*").alias("n"))).select(
-        "stream_id", "layer", "field", F.col("kind").alias("target")
-    )
-    return drift.enforce(c.join(target, ["stream_id", "layer", "field"]), ["spool_row_id", "stream_id", "layer", "field"])
+    return drift.typed(table(spark, d, "spool_files"), table(spark, d, "spool_rows"), ["spool_row_id"])
+
+
+def p1_accounted(spark: SparkSession, d: str) -> DataFrame:
+    """Per layer: members of all objects, and how many are null, in a typed column, or rescued."""
+    t = p1_typed(spark, d)
+    held = F.coalesce(*[F.col(c).cast("string") for c in drift.AS]).isNotNull()
+    one = t.groupBy("layer").agg(F.count("*").alias("n_members"), F.count_if(~held & F.col("rescued").isNull()).alias("n_null"), F.count_if(held | F.col("rescued").isNotNull()).alias("n_kept"), F.count_if(held & F.col("rescued").isNotNull()).alias("n_twice"))
+    return one
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +137,7 @@ def p7_ambiguity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_typed, p2_found, p3_found, p3_keys, p3_sizes, p4_found, p4_tables, p5_found, p5_hours, p5_watermarks, p5_closings, p6_found, p6_kept, p7_found, p7_ambiguity)
+    for f in (p1_found, p1_typed, p1_accounted, p2_found, p3_found, p3_keys, p3_sizes, p4_found, p4_tables, p5_found, p5_hours, p5_watermarks, p5_closings, p6_found, p6_kept, p7_found, p7_ambiguity)
 }
 
 _KEY = "regexp_replace(regexp_replace(lower(event_id), '^[\\s{(]*(urn:)?(uuid:)?', ''), '[\\s{}()-]', '', 'g')"
@@ -151,6 +154,9 @@ _PASSED = f"""t AS (SELECT coalesce(source_name, chr(1)) AS s, {_US} AS us FROM
  passed AS (SELECT h.s, hour_us, least(t.us, hour_us + 7800000000) AS passed_us FROM h ASOF LEFT JOIN t ON h.s = t.s AND hour_us + 4200000000 < t.us)"""
 
 ORACLES: dict[str, str] = {
+    "p1_accounted": """WITH l AS (SELECT 'vendor_fields' AS layer, try_cast(vendor_fields AS JSON) AS j FROM spool_rows UNION ALL SELECT 'unknown_fields', try_cast(unknown_fields AS JSON) FROM spool_rows),
+ o AS (SELECT layer, j FROM l WHERE json_type(j) = 'OBJECT'), m AS (SELECT layer, unnest(map_values(from_json(j, '"MAP(VARCHAR, JSON)"'))) AS v FROM o)
+ SELECT layer, count(*) AS n_members, count_if(v IS NULL OR v::VARCHAR = 'null')::BIGINT AS n_null, count_if(NOT (v IS NULL OR v::VARCHAR = 'null'))::BIGINT AS n_kept, 0::BIGINT AS n_twice FROM m GROUP BY layer""",
     "p5_watermarks": f"WITH {_PASSED} SELECT nullif(s, chr(1)) AS source_name, hour_us, passed_us FROM passed",
     "p5_closings": f"WITH {_PASSED} SELECT hour_us, max(passed_us) AS closed_us, count(*) AS n_sources, count_if(passed_us = hour_us + 7800000000)::BIGINT AS n_idle FROM passed GROUP BY hour_us",
     "p3_found": f"WITH {_PAIRS} SELECT field, key_value FROM pairs WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) >= {SHARE} * (SELECT count(*) FROM telemetry)",

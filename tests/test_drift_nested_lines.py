@@ -32,11 +32,43 @@ def test_changes_of_nothing(spark):
 def test_cells():
     got = dict((f, (k, v)) for f, k, v in drift.cells_of('{"t": "5", "w": 5, "d": 5.0, "e": 1e5, "b": false, "a": [2, 1], "o": {"y": 1, "x": 2.50}, "n": null}'))
     assert got == {
-        "t": ("text", '"5"'), "w": ("whole", "5"), "d": ("decimal", "5.0"), "e": ("decimal", "1e5"), "b": ("boolean", "false"), "a": ("array", "[2,1]"), "o": ("object", '{"x":2.50,"y":1}'), "n": (None, None),
+        "t": ("text", "5"), "w": ("whole", "5"), "d": ("decimal", "5.0"), "e": ("decimal", "1e5"), "b": ("boolean", "false"), "a": ("array", "[2,1]"), "o": ("object", '{"x":2.50,"y":1}'), "n": (None, None),
     }
+    assert drift.cells_of('{"a": "\\ud800x", "b": 1} then text') == [("a", "text", "\ufffdx"), ("b", "whole", "1")]
     assert drift.cells_of(None) == drift.cells_of("") == drift.cells_of("[1]") == drift.cells_of("{") == []
 
 
+def test_built_in_cells_say_what_python_says(spark):
+    objects = [
+        '{"t": "5", "w": 5, "d": 5.0, "f": 2.50, "b": false, "a": [2, {"y": 1, "x": "q\\"u"}], "o": {"y": 1, "x": [null]}, "n": null, "é": "\\u00e9\\n", "": ""}',
+        '{"a": 1, "a": "two"}', '{"e": 1e5}', '{"long": 0.12345678901234567890}', '{"big": 123456789012345678901234567890123456789012345}', '{"x": NaN}', '{"o": {"x": 1, "x": 2}}', '{"s": "\\ud800"}',
+        '{"a": 1} {"b": 2}', '{"a": 1', "{'a': 1}", "[1]", "null", '"s"', "", " ", None, "{}", ' {"a": 9223372036854775808}', '{"a": ' + "9" * 2000 + "}", '{"a": "' + "x" * 300_000 + '"}', "[" * 3000, '{"a": "\t"}',
+    ]
+    df = spark.createDataFrame([(i, o, "clash") for i, o in enumerate(objects)], "id int, unknown_fields string, kind string")
+    got = {i: [] for i in range(len(objects))}
+    for r in drift.cells(df, ["id"], ["unknown_fields"]).collect():
+        got[r["id"]].append((r["field"], r["kind"], r["value"]))
+    number = lambda k, v: float(v) if k == "decimal" else json.loads(v) if k in ("array", "object") else v
+    for i, o in enumerate(objects):
+        same = lambda cells: sorted((f, k or "", str(number(k, v))) for f, k, v in cells)
+        assert same(got[i]) == same(drift.cells_of(o)), o
+    exact = {(i, c[0]): c[2] for i, cs in got.items() for c in cs}
+    assert exact[3, "long"] == "0.12345678901234567890" and exact[2, "e"] == "1e5" and len(exact[4, "big"]) == 45
+
+
+def test_typed_table_accounts_for_every_cell(spark):
+    f = spark.sql("SELECT * FROM VALUES (1, 1, timestamp '2025-01-01'), (2, 1, timestamp '2025-01-02'), (3, 1, timestamp '2025-01-03') AS t(file_id, stream_id, opened_at)")
+    rows = [(1, 1, '{"a": "x", "b": 1, "n": null}'), (2, 2, '{"a": 5, "b": 2.5, "new": true}'), (3, 3, '{"a": "y", "b": 0.5, "new": false}'), (4, 3, '{"a": "z", "b": "?"}'), (5, 3, None)]
+    df = spark.createDataFrame([(*r, None, "clash", "clash") for r in rows], "spool_row_id bigint, file_id bigint, vendor_fields string, unknown_fields string, target string, how string")
+    t = {(r["spool_row_id"], r["field"]): r for r in drift.typed(f, df, ["spool_row_id"]).collect()}
+    assert {k: r["how"] for k, r in t.items()} == {
+        (1, "a"): "held", (1, "b"): "replayed", (1, "n"): None, (2, "a"): "rescued", (2, "b"): "replayed", (2, "new"): "replayed",
+        (3, "a"): "replayed", (3, "b"): "held", (3, "new"): "held", (4, "a"): "replayed", (4, "b"): "rescued",
+    }
+    assert t[1, "b"]["as_decimal"] == 1.0 and t[2, "a"]["rescued"] == "5" and t[4, "b"]["rescued"] == '"?"' and t[2, "new"]["as_boolean"] is True
+    assert drift.typed(f, df.limit(0), ["spool_row_id"]).count() == drift.typed(f.limit(0), df, ["spool_row_id"]).count() == 0
+
+
 def test_rescue_promote_replay(spark):
     rows = [(1, '{"a": "x", "b": 5, "new": [1]}'), (2, '{"a": 7, "b": "five", "c \\"q\\"": 1.5}'), (3, None), (4, '{"b": null}')]
     df = spark.createDataFrame(rows, "id bigint, vendor_fields string")
@@ -49,7 +81,7 @@ def test_rescue_promote_replay(spark):
 
 def test_what_does_not_cast_without_loss_is_rescued(spark):
     values = [("whole", "whole", "9" * 39), ("whole", "whole", "9" * 38), ("decimal", "whole", "9007199254740993"), ("decimal", "whole", "5"), ("decimal", "decimal", "0.1234567890123456789"), ("decimal", "decimal", "2.50"),
-              ("decimal", "decimal", "1e999"), ("whole", "text", '"x"'), ("text", "text", '"x"'), ("object", "object", "{}"), ("text", None, None)]
+              ("decimal", "decimal", "1e999"), ("whole", "text", "x"), ("text", "text", "x"), ("object", "object", "{}"), ("text", None, None)]
     df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "id int, target string, kind string, value string")
     rows = drift.enforce(df, ["id"]).orderBy("id").collect()
     assert [r["id"] for r in rows if r["rescued"] is not None] == [0, 2, 4, 6, 7]
