@@ -105,39 +105,57 @@ _JSON = {"allowSingleQuotes": "false", "maxNumLen": "2147483647", "maxStringLen"
 _INEXACT = r"[:\[,]\s*-?(?:[0-9.]*[eE]|NaN|Inf|(?=[0-9.]{16})[0-9]*\.)"
 
 
-def _built_in(text: Column) -> tuple[Column, Column]:
-    """(cells, whether they say exactly what the text says)."""
-    said, meant = F.from_json(text, "map<string,string>", _JSON), F.from_json(text, "map<string,variant>", _JSON)
-    pairs = F.arrays_zip(F.map_keys(said).alias("k"), F.map_values(said).alias("s"), F.map_values(meant).alias("v"))
+def _kind(shape: Column, said: Column) -> Column:
+    number = F.when(said.rlike(r"^-?[0-9]+$"), "whole").otherwise("decimal")
+    return F.when(shape == "STRING", "text").when(shape == "BOOLEAN", "boolean").when(shape == "ARRAY", "array").when(shape == "OBJECT", "object").when(shape != "VOID", number)
 
-    def cell(x: Column) -> Column:
-        shape = F.schema_of_variant(x["v"])
-        kind = (
-            F.when(shape == "STRING", "text").when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object")
-            .when(shape != "VOID", F.when(x["s"].rlike(r"^-?[0-9]+$"), "whole").otherwise("decimal"))
-        )
-        value = F.when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), F.to_json(x["v"])).when(shape != "VOID", x["s"])
-        return F.struct(x["k"].alias("field"), kind.alias("kind"), value.alias("value"))
 
-    keys = F.map_keys(said)
-    exact = ~text.rlike(_INEXACT) & meant.isNotNull() & (F.size(keys) == F.size(F.array_distinct(keys))) & ~text.contains("\\ud") & ~text.contains("\\uD")
-    return F.transform(pairs, cell), F.coalesce(exact, F.lit(False))
+def _value(shape: Column, said: Column, meant: Column) -> Column:
+    return F.when(shape.isin("ARRAY", "OBJECT"), F.to_json(meant)).when(shape != "VOID", said)
+
+
+def _shape(meant: Column) -> Column:
+    return F.substring_index(F.schema_of_variant(meant), "<", 1)
+
+
+def _pairs(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds _pairs array<struct<k, s, v>> of the objects that built-in functions read exactly, and _read, the cells of the others.
+
+    Each reading is a column of its own before it is used: an expression inside a lambda is
+    computed as often as it stands there.
+    """
+    out = rows.withColumns({"_said": F.from_json(text, "map<string,string>", _JSON), "_meant": F.from_json(text, "map<string,variant>", _JSON)})
+    keys = F.map_keys("_said")
+    exact = ~text.rlike(_INEXACT) & F.col("_meant").isNotNull() & (F.size(keys) == F.size(F.array_distinct(keys))) & ~text.contains("\\ud") & ~text.contains("\\uD")
+    out = out.withColumn("_exact", F.coalesce(exact, F.lit(False)))
+    pairs = F.when(F.col("_exact"), F.arrays_zip(keys.alias("k"), F.map_values("_said").alias("s"), F.map_values("_meant").alias("v")))
+    out = out.withColumn("_read", _cells_udf(F.when(~F.col("_exact") & text.isNotNull(), text)))
+    return out.withColumn("_pairs", pairs).drop("_said", "_meant", "_exact")
 
 
 def _cells(rows: DataFrame, json_column: str, name: str) -> DataFrame:
     """rows with the cells of a column of JSON objects."""
-    text = F.col(json_column)
-    fast, exact = _built_in(text)
-    out = rows.withColumn("_exact", exact)
-    read = _cells_udf(F.when(~F.col("_exact") & text.isNotNull(), text))
-    return out.withColumn("_read", read).withColumn(name, F.when(F.col("_exact"), fast).otherwise(F.col("_read"))).drop("_exact", "_read")
+    out = _pairs(rows, F.col(json_column))
+    shaped = F.transform("_pairs", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["v"].alias("v"), _shape(x["v"]).alias("shape")))
+    out = out.withColumn("_shaped", shaped)
+    built_in = F.transform("_shaped", lambda x: F.struct(x["k"].alias("field"), _kind(x["shape"], x["s"]).alias("kind"), _value(x["shape"], x["s"], x["v"]).alias("value")))
+    return out.withColumn(name, F.coalesce(built_in, "_read")).drop("_shaped", "_pairs", "_read")
 
 
 def cells(rows: DataFrame, keep: list[str], layers: list[str] = LAYERS) -> DataFrame:
     """keep..., layer, field, kind, value: one row per top-level member of each layer."""
     layer = F.explode(F.array(*[F.struct(F.lit(x).alias("layer"), F.col(x).alias("json")) for x in layers]))
     flat = rows.select(*keep, layer.alias("_l")).select(*keep, "_l.layer", F.col("_l.json").alias("_json"))
-    return _cells(flat, "_json", "_c").select(*keep, "layer", F.explode("_c").alias("_c")).select(*keep, "layer", "_c.*")
+    out = _pairs(flat, F.col("_json"))
+    # one list of both readings; what was read in Python has its kind already
+    both = F.coalesce(
+        F.transform("_pairs", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["v"].alias("v"), F.lit(None).cast("string").alias("kind"))),
+        F.transform("_read", lambda x: F.struct(x["field"].alias("k"), x["value"].alias("s"), F.lit(None).cast("variant").alias("v"), F.coalesce(x["kind"], F.lit("")).alias("kind"))),
+    )
+    out = out.select(*keep, "layer", F.explode(both).alias("_c")).select(*keep, "layer", "_c.*").withColumn("_shape", F.when(F.col("kind").isNull(), _shape(F.col("v"))))
+    kind = F.when(F.col("kind").isNull(), _kind(F.col("_shape"), F.col("s"))).when(F.col("kind") != "", F.col("kind"))
+    value = F.when(F.col("kind").isNull(), _value(F.col("_shape"), F.col("s"), F.col("v"))).otherwise(F.col("s"))
+    return out.select(*keep, "layer", F.col("k").alias("field"), kind.alias("kind"), value.alias("value"))
 
 
 def as_json(kind: Column, value: Column) -> Column:
