@@ -69,8 +69,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The flat tables: each element with its table, its foreign key and its inlined members."""
-    n = nested.nodes(table(spark, d, "telemetry"), with_attrs=True)
+    """The rows of the flat tables: each root and element with its table, its foreign key and its inlined members."""
+    n = nested.rows(table(spark, d, "telemetry"))
     return n.select(event_hex(F.col("event_key")).alias("event_id"), "field", "table", "node", "parent", "attrs")
 
 
@@ -153,7 +153,34 @@ _PASSED = f"""t AS (SELECT coalesce(source_name, chr(1)) AS s, {_US} AS us FROM
  h AS (SELECT s, unnest(generate_series((lo - 600000000 + 3599999999) // 3600000000 - 1, (hi + 3000000000) // 3600000000 - 1)) * 3600000000 AS hour_us FROM span),
  passed AS (SELECT h.s, hour_us, least(t.us, hour_us + 7800000000) AS passed_us FROM h ASOF LEFT JOIN t ON h.s = t.s AND hour_us + 4200000000 < t.us)"""
 
+
+def _untext(j: str) -> str:
+    inner = f"try_cast({j}->>'$' AS JSON)"
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' AND regexp_matches({j}->>'$', '^[\\[{{ \\n\\t]') AND json_type({inner}) IN ('OBJECT', 'ARRAY') THEN {inner} ELSE {j} END"
+
+
+_MEMBERS = "map_entries(from_json(j, '\"MAP(VARCHAR, JSON)\"'))"
+_STEP = "'/' || replace(replace(x.key, '~', '~0'), '/', '~1')"
+#: The schema graph by one recursion over all rows, the nodes by another over the first copies.
+_NODES = f"""WITH RECURSIVE t AS (SELECT row_id, {_KEY} AS k, {_US} AS us, vendor_fields, validation_problems FROM telemetry),
+ docs AS (SELECT row_id, 'vendor_fields' AS field, try_cast(vendor_fields AS JSON) AS j FROM t WHERE vendor_fields IS NOT NULL
+  UNION ALL SELECT row_id, 'validation_problems', to_json(list_transform(validation_problems, lambda x: CASE WHEN x IS NULL THEN NULL ELSE {{'value': coalesce(try_cast(x.value AS JSON), to_json(x.value))}} END)) FROM t WHERE len(validation_problems) > 0),
+ shape AS (SELECT row_id, field, '' AS path, false AS element, {_untext("j")} AS j FROM docs
+  UNION ALL SELECT row_id, field, path || e.step, e.element, {_untext("e.v")} FROM (SELECT row_id, field, path, unnest(CASE json_type(j)
+   WHEN 'OBJECT' THEN list_transform({_MEMBERS}, lambda x: {{'step': {_STEP}, 'element': false, 'v': x.value}})
+   WHEN 'ARRAY' THEN list_transform(from_json(j, '["JSON"]'), lambda x: {{'step': '', 'element': true, 'v': x}}) END) AS e FROM shape WHERE json_type(j) IN ('OBJECT', 'ARRAY'))),
+ odd AS (SELECT field, path FROM shape WHERE json_type(j) = 'ARRAY' OR (json_type(j) = 'OBJECT' AND NOT element) GROUP BY ALL HAVING count(DISTINCT json_type(j)) = 2),
+ firsts AS (SELECT k, row_id FROM t WHERE regexp_full_match(k, '[0-9a-f]{{32}}') QUALIFY row_number() OVER (PARTITION BY k ORDER BY us NULLS LAST, row_id) = 1),
+ walk AS (SELECT k, field, '' AS path, '' AS node, '' AS parent, false AS element, {_untext("j")} AS j FROM docs JOIN firsts USING (row_id)
+  UNION ALL SELECT k, field, path || e.step, node || e.at, CASE WHEN is_node THEN node ELSE parent END, e.element, {_untext("e.v")} FROM (SELECT w.k, w.field, w.path, w.node, w.parent, w.element AND json_type(j) = 'OBJECT' AS is_node, unnest(CASE
+   WHEN json_type(j) = 'OBJECT' AND NOT element AND o.path IS NOT NULL THEN [{{'step': '', 'at': '/0', 'element': true, 'v': j}}]
+   WHEN json_type(j) = 'OBJECT' THEN list_transform({_MEMBERS}, lambda x: {{'step': {_STEP}, 'at': {_STEP}, 'element': false, 'v': x.value}})
+   WHEN json_type(j) = 'ARRAY' THEN list_transform(from_json(j, '["JSON"]'), lambda x, i: {{'step': '', 'at': '/' || (i - 1), 'element': true, 'v': x}}) END) AS e
+   FROM walk w LEFT JOIN odd o ON o.field = w.field AND o.path = w.path WHERE json_type(j) IN ('OBJECT', 'ARRAY')))
+ SELECT k AS event_id, field, node, parent FROM walk WHERE element AND json_type(j) = 'OBJECT'"""
+
 ORACLES: dict[str, str] = {
+    "p4_found": _NODES,
     "p1_accounted": """WITH l AS (SELECT 'vendor_fields' AS layer, try_cast(vendor_fields AS JSON) AS j FROM spool_rows UNION ALL SELECT 'unknown_fields', try_cast(unknown_fields AS JSON) FROM spool_rows),
  o AS (SELECT layer, j FROM l WHERE json_type(j) = 'OBJECT'), m AS (SELECT layer, unnest(map_values(from_json(j, '"MAP(VARCHAR, JSON)"'))) AS v FROM o)
  SELECT layer, count(*) AS n_members, count_if(v IS NULL OR v::VARCHAR = 'null')::BIGINT AS n_null, count_if(NOT (v IS NULL OR v::VARCHAR = 'null'))::BIGINT AS n_kept, 0::BIGINT AS n_twice FROM m GROUP BY layer""",

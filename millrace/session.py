@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import wraps
 from pathlib import Path
 
@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    Only a session of one machine without that setting (a test) gets a folder of its own; on a
+    cluster a folder of the driver's would lose what executors write, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, _own[app], True)
@@ -51,10 +54,10 @@ def release(spark: SparkSession) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write df to the shared folder (partitioned by columns, if given) and read it back: lineage is cut, a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

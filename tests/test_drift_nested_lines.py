@@ -106,9 +106,44 @@ def test_nodes(spark):
         (2, "v", "/as/0", ""), (2, "v", "/as/0/os/0", "/as/0"),
         (5, "v", "/as/0", ""), (5, "v", "/m/0/0", ""),
     ]
-    attrs = {(r["table"], r["node"]): json.loads(r["attrs"]) for r in nested.nodes(df, with_attrs=True).collect() if r["field"] == "vendor_fields"}
-    assert attrs[("/as/os", "/as/0/os/2")] == {"y.z": [2, 1]} or attrs[("/as/os", "/as/0/os/2")] == {"y.z": [1, 2]}
-    assert nested.nodes(df.limit(0)).count() == 0
+    attrs = {(r["table"], r["node"]): json.loads(r["attrs"]) for r in nested.rows(df).collect() if r["field"] == "vendor_fields"}
+    assert attrs[("/as/os", "/as/0/os/2")] == {"y/z": [1, 2]}
+    assert nested.nodes(df.limit(0)).count() == nested.rows(df.limit(0)).count() == 0
+
+
+def records(spark, docs):
+    problems = "array<struct<field:string,problem:string,value:string>>"
+    return spark.createDataFrame([(f"{i:032x}", 1e9, i, d, None, "clash") for i, d in enumerate(docs)], f"event_id string, ingested_at_unix_utc double, row_id bigint, vendor_fields string, validation_problems {problems}, table string")
+
+
+def test_tables_are_shared_as_the_graph_says(spark):
+    docs = [
+        '{"id": 7, "meta": {"site": "x", "deep": {"on": true}}, "arr": [{"x": 1}], "children": [{"n": "a", "children": [{"n": "b", "sub": {"children": [{"n": "c"}]}}]}]}',
+        '{"id": 8, "left": {"owners": [{"team": "t"}]}, "right": [{"owners": [{"team": "u"}, null, {"team": null}], "x": 2.5}]}', '{"only": "scalars"}', "{}",
+    ]
+    df = records(spark, docs)
+    got = sorted((r["table"], r["node"], r["parent"]) for r in nested.rows(df).collect() if r["node"])
+    assert got == [
+        ("/arr", "/arr/0", ""), ("/children", "/children/0", ""), ("/children", "/children/0/children/0", "/children/0"), ("/children", "/children/0/children/0/sub/children/0", "/children/0/children/0"),
+        ("/right", "/right/0", ""), ("owners", "/left/owners/0", ""), ("owners", "/right/0/owners/0", "/right/0"), ("owners", "/right/0/owners/2", "/right/0"),
+    ]
+    t = {name: df for (field, name), df in nested.flat_tables(df).items() if field == "vendor_fields"}
+    assert set(t) == {nested.ROOT, "/arr", "/children", "/right", "owners"}
+    roots = {r["id"]: (r["meta/site"], r["meta/deep/on"], r["only"]) for r in t[nested.ROOT].where("id IS NOT NULL").collect()}
+    assert roots == {7: ("x", True, None), 8: (None, None, None)} and t[nested.ROOT].count() == 4
+    assert [r["x"] for r in t["/right"].collect()] == [2.5] and t["owners"].where("team IS NOT NULL").count() == 2 and sorted(r["n"] for r in t["/children"].collect()) == ["a", "b", "c"]
+
+
+def test_members_that_look_alike_are_kept_apart(spark):
+    docs = ['{"r": [{"a": {"b": [2]}, "a.b": 1, "a/b": 3}]}', '{"r": [{"a.b": "t", "l": [[1, null], [2], 3]}]}', '{"a": 1, "arr": [{"x": 1}]}']
+    got = {r["node"] + str(i): json.loads(r["attrs"]) for i, d in enumerate(docs) for r in nested.rows(records(spark, [d])).collect()}
+    assert got["/r/00"] == {"a/b": [2], "a.b": 1, "a~1b": 3} and got["/r/01"]["a.b"] == "t" and sorted(map(str, got["/r/01"]["l"])) == ["1", "2", "3", "None"]
+    assert got["2"] == {"a": 1} and got["/arr/02"] == {"x": 1}
+
+
+def test_an_events_nodes_are_its_first_copys(spark):
+    df = records(spark, ["{}", '{"r": [{"x": 1}]}']).withColumn("event_id", F.lit("0" * 32))
+    assert nested.nodes(df).count() == 0
 
 
 def test_header_lines():
