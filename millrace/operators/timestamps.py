@@ -4,11 +4,12 @@ A stamp may allow several readings: no year, day or month first, an hour repeate
 change. Each reading is an interpretation of its layout. Per source, expectation-maximisation
 fits the mixture of interpretations and of ingestion delays: a value gives each of its valid
 readings a share of itself. The posteriors stay with every event; a reading that is not clear
-(posterior under CLEAR) is marked. Where a rule fixes the choice (the latest reading not after
-ingestion), the rule decides among the readings with a posterior above 0.
+(posterior under CLEAR) is marked. A rule fixes the choice where it can: the latest reading not
+after ingestion counts, whatever its posterior. Where every reading lies after ingestion, or that
+is unknown, the rule says nothing and the reading of the highest posterior counts.
 
 Defined results: no message or no valid time in it: no instant. A null source, peer and path:
-UTC. A null ingestion: readings count from year 2025 and the earliest wins. Repeated rows: one
+UTC. A null ingestion: readings count from year 2025. Equal posteriors: the earliest instant. Repeated rows: one
 event. Empty table: no rows.
 """
 
@@ -312,7 +313,7 @@ def mixtures(cands: DataFrame) -> DataFrame:
 
 
 def resolve(cands: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Adds event_us, posterior, n_readings, clear and likeliest_us to each event.
+    """Adds event_us, posterior, n_readings, clear, likeliest_us and by_rule (whether the rule chose) to each event.
 
     fitted has one row per configured source (and one for none), so it is broadcast.
     """
@@ -326,15 +327,13 @@ def resolve(cands: DataFrame, fitted: DataFrame) -> DataFrame:
         ),
     )
     j = j.withColumn("_like", like).withColumn("_z", F.aggregate("_like", F.lit(0.0), lambda a, c: a + c["like"]))
-    possible = F.filter("_like", lambda c: c["like"] > 0)
-    before = F.array_max(F.transform(F.filter(possible, lambda c: c["us"] <= F.col("ingest_us")), lambda c: c["us"]))
-    event_us = F.coalesce(before, F.array_min(F.transform(possible, lambda c: c["us"])))
-    j = j.withColumn("event_us", event_us)
+    likeliest = -F.array_max(F.transform("_like", lambda c: F.struct(c["like"].alias("like"), (-c["us"]).alias("sooner"))))["sooner"]
+    before = F.array_max(F.transform(F.filter("_like", lambda c: c["us"] <= F.col("ingest_us")), lambda c: c["us"]))
+    j = j.withColumn("likeliest_us", likeliest).withColumn("by_rule", before.isNotNull()).withColumn("event_us", F.coalesce(before, "likeliest_us"))
     chosen = F.aggregate(F.filter("_like", lambda c: c["us"] == F.col("event_us")), F.lit(0.0), lambda a, c: a + c["like"]) / F.col("_z")
-    likeliest = F.array_max(F.transform("_like", lambda c: F.struct(c["like"], c["us"])))["us"]
     return j.select(
         "event_key", "row_id", "ingest_us", "source_name", "source", "zone", "layout", "event_us",
-        chosen.alias("posterior"), F.size("cands").alias("n_readings"), (chosen >= CLEAR).alias("clear"), likeliest.alias("likeliest_us"),
+        chosen.alias("posterior"), F.size("cands").alias("n_readings"), (chosen >= CLEAR).alias("clear"), "likeliest_us", "by_rule",
     )
 
 

@@ -127,11 +127,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ambiguity(spark: SparkSession, d: str) -> DataFrame:
-    """Per source and layout: events, events with several readings, unclear ones, and those where the likeliest reading isn't the chosen one."""
+    """Per source and layout: events, events with several readings, unclear ones, those where the likeliest reading isn't the chosen one, and those of several readings where the rule left the choice to the posterior."""
     t = _times(spark, d)
     return t.groupBy("source", "layout").agg(
         F.count("*").alias("n_events"), F.count_if(F.col("n_readings") > 1).alias("n_several"), F.count_if(~F.col("clear")).alias("n_unclear"),
-        F.count_if(F.col("likeliest_us") != F.col("event_us")).alias("n_other"),
+        F.count_if(F.col("likeliest_us") != F.col("event_us")).alias("n_other"), F.count_if(~F.col("by_rule") & (F.col("n_readings") > 1)).alias("n_by_posterior"),
     )
 
 

@@ -91,6 +91,15 @@ def test_em_prefers_what_a_source_writes(spark):
     assert r["n_readings"] == 2 and r["event_us"] == us("2025-11-05T10:00:00") == r["likeliest_us"] and r["posterior"] > 0.9 and r["clear"]
 
 
+def test_the_posterior_chooses_where_the_rule_does_not(spark):
+    at = us("2025-01-02T00:00:00") / US
+    sure = [("%032x" % i, us("2025-12-31T00:00:00") / US, i, "s", None, None, f"{13 + i % 10}/11/2025 10:00:00 x") for i in range(40)]
+    got = resolved(spark, sure + [("f" * 32, at, 99, "s", None, None, "05/11/2025 10:00:00 x"), ("e" * 32, None, 98, "s", None, None, "06/11/2025 10:00:00 x")], [("s", None, None, None)])
+    # every reading lies after ingestion: the source writes the day first, so the later of the two counts
+    assert got["f" * 32]["event_us"] == us("2025-11-05T10:00:00") and not got["f" * 32]["by_rule"]
+    assert got["e" * 32]["event_us"] == us("2025-11-06T10:00:00")
+
+
 def test_empty(spark):
     assert resolved(spark, []) == {}
 
