@@ -37,13 +37,20 @@ def test_repeats_against_brute_force(spark):
 
 def test_upsert_is_idempotent_and_compaction_does_not_shuffle(spark):
     df = dedup.copies(spark.createDataFrame([("%032x" % (i % 5), 1e9 + i, i, "", "") for i in range(20)], ROWS))
-    store = dedup.BucketStore(spark, buckets=4)
-    store.upsert(df)
-    store.upsert(df)
-    assert "Exchange" not in store.firsts()._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
-    store.compact()
-    store.upsert(df)
-    assert sorted((r["row_id"]) for r in store.compact().collect()) == [0, 1, 2, 3, 4]
+    for buckets in (None, 4):
+        store = dedup.BucketStore(spark, buckets=buckets)
+        store.upsert(df)
+        store.upsert(df.where("row_id > 3"))
+        store.upsert(df)
+        spark.conf.set(dedup._ORDER, "true")
+        plan = store._merged(store.runs[0][1], store.runs[1][1])._jdf.queryExecution().sparkPlan().toString() + store._merged(store.runs[0][1], store.runs[1][1])._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset(dedup._ORDER)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "+- Sort " not in plan
+        store.compact()
+        store.upsert(df)
+        assert sorted((r["row_id"]) for r in store.compact().collect()) == [0, 1, 2, 3, 4]
+    assert dedup.BucketStore(spark).compact().count() == 0
+    assert dedup.BucketStore(spark, rows=dedup.BUCKET_ROWS * 50).buckets == 50
 
 
 def test_skew_per_key(spark):
