@@ -1,20 +1,26 @@
 """Evaluation texts that leaked into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-The items' word n-grams are seeds. One pass over all documents finds the seeds each holds and
-keeps the text of those with enough places that hold one; how many documents hold a seed tells how rare it
-is. A run of RUN words with one in ten edited keeps at least NEED of its n-grams whole (the
-q-gram bound), so of the RARE rarest n-grams of each window of RUN item words at least one is
-kept: only those rare seeds join documents to items, and no leak is lost. Where a document's
-seeds of an item lie close together and are NEED or more, the two word sequences are aligned by
-a local alignment without gaps in the item, which finds the longest run of successive item
-words with each number of edits.
+The items' word n-grams are seeds. One pass over all documents reads each text once into word
+hashes, tells which seeds it holds, and keeps the words of those with NEED places of seeds within
+SPAN. How many documents hold a seed tells how rare it is: of the RARE rarest n-grams of each
+window of RUN item words at least one must be held, and only those rare seeds join documents to
+items. Where a document's seeds of an item lie that close, the two word sequences are aligned by a
+local alignment without gaps in the item, which finds the longest run of successive item words
+with each number of edits.
+
+No leak is lost. A run of RUN words with one in ten edited keeps NEED of its n-grams whole (the
+q-gram bound), within SPAN places as at most one word in ten is put in. A longer run holds such a
+window of RUN words, or else (30 to 39 words with all three edits so far inside that every window
+has them) begins with ten words in a row unedited, which are NEED n-grams as well. Seeds are
+counted by place, so repeated wording counts as often as it stands.
 
 Words are casefolded letters and digits; case, punctuation, spacing and markup (tags, entities,
-list numbers, quote marks) do not count.
+list numbers, quote marks) do not count. Words are compared by 64-bit hashes.
 
 Defined results: null or empty texts have no words; an item of fewer than RUN words can't leak;
-repeated documents each count; without items nothing is found. Items are a stated evaluation
-set: its seeds are sent to the tasks in blocks of BLOCK items.
+repeated documents each count; without items nothing is found. Items are a stated evaluation set,
+sent to the tasks in blocks of at most about BLOCK_CHARS characters; with several blocks the
+documents are still read once, into a table of word hashes that each block scans.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +43,16 @@ N = 5
 RUN = 20
 NEED = RUN - N + 1 - N * (RUN // 10)
 RARE = RUN - N + 1 - NEED + 1
-#: Items that may be sent to the tasks with their words; beyond, they are worked off in blocks of as many.
-BLOCK = 20_000
+#: Places of n-grams over which those NEED are spread: the window and the words put into it.
+SPAN = RUN - N + 1 + RUN // 10
+#: Characters of items whose words and seeds (8 bytes each) go to the driver and the tasks at once.
+BLOCK_CHARS = 12_000_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
+#: A tag: a name, attributes whose values may be quoted and of any length, the end.
+_TAG = re.compile(r"""</?[A-Za-z][\w:.-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*\s*/?>|<!--.*?-->""", re.S)
 _MARK = re.compile(r"^[ \t]*(?:(?:>|[-*+•]|\d{1,4}[.)]|#{1,6})[ \t]+)+|^[ \t]*>+", re.M)
 _WORD = re.compile(r"[^\W_]+")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,13 +62,50 @@ def words_of(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFKC", text)
-    text = _MARK.sub("", _INVISIBLE.sub("", text))
-    return _WORD.findall(text.casefold())
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return _WORD.findall(_MARK.sub("", text).casefold())
 
 
-def grams(words: list[str]) -> list[str]:
-    return [" ".join(words[i : i + N]) for i in range(len(words) - N + 1)]
+_KNOWN: dict[str, int] = {}
+_BASE = [pow(0x9E3779B97F4A7C15, N - 1 - i, 1 << 64) for i in range(N)]
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word; a worker remembers the words it has met, up to a million."""
+    if len(_KNOWN) > 1_000_000:
+        _KNOWN.clear()
+    out = []
+    for w in words:
+        h = _KNOWN.get(w)
+        if h is None:
+            h = _KNOWN[w] = xxhash.xxh64_intdigest(w)
+        out.append(h)
+    return np.array(out, dtype=np.uint64)
+
+
+def grams(words: np.ndarray) -> np.ndarray:
+    """A hash of each n-gram of word hashes."""
+    if len(words) < N:
+        return np.zeros(0, dtype=np.uint64)
+    n = len(words) - N + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for i, b in enumerate(_BASE):
+        out += words[i : i + n] * np.uint64(b)
+    return out
+
+
+def _held(of: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand in a sorted array."""
+    if not len(known):
+        return np.zeros(len(of), dtype=bool)
+    at = np.searchsorted(known, of)
+    return known[np.minimum(at, len(known) - 1)] == of
+
+
+def close(places: np.ndarray) -> bool:
+    """Whether NEED of the sorted places lie within SPAN."""
+    return len(places) >= NEED and bool((places[NEED - 1 :] - places[: len(places) - NEED + 1] < SPAN).any())
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -96,94 +143,124 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, edits
 
 
-def rare_seeds(words: tuple[str, ...], spread: dict[str, int]) -> set[str]:
-    """Of each window of RUN words the RARE n-grams that the fewest documents hold."""
-    gs = grams(list(words))
-    out: set[str] = set()
-    for lo in range(len(gs) - (RUN - N)):
-        out.update(sorted(gs[lo : lo + RUN - N + 1], key=lambda g: (spread.get(g, 0), g))[:RARE])
+def rare_seeds(item: np.ndarray, spread: dict[int, int]) -> np.ndarray:
+    """Which of an item's n-grams are, in some window of RUN words, among the RARE that the fewest documents hold."""
+    gs = [int(g) for g in grams(item)]
+    order = [(spread.get(g, 0), g) for g in gs]
+    out = np.zeros(len(gs), dtype=bool)
+    width = RUN - N + 1
+    for lo in range(len(gs) - width + 1):
+        out[sorted(range(lo, lo + width), key=order.__getitem__)[:RARE]] = True
     return out
 
 
-def leaked_in(words: list[str], by_gram: dict[str, set[int]], rare: dict[str, set[int]], items: dict[int, tuple[str, ...]]) -> list[tuple[int, int, int]]:
-    """(item_id, length, edits) of every item that leaked into a document of these words."""
+class Seeds:
+    """The items of a block, by number, with the places of their n-grams sorted by hash."""
+
+    def __init__(self, items: dict[int, np.ndarray], spread: dict[int, int] | None = None) -> None:
+        self.ids = list(items)
+        self.words = list(items.values())
+        gs = [grams(w) for w in self.words]
+        every = np.concatenate([*gs, np.zeros(0, dtype=np.uint64)])
+        owner = np.repeat(np.arange(len(gs)), [len(g) for g in gs])
+        rare = np.concatenate([*[rare_seeds(w, spread) for w in self.words], np.zeros(0, dtype=bool)]) if spread is not None else np.ones(len(every), dtype=bool)
+        order = np.argsort(every, kind="stable")
+        self.gram, self.owner, self.rare = every[order], owner[order], rare[order]
+        self.known = np.unique(every)
+
+
+def leaked_in(words: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int]]:
+    """(item_id, length, edits) of every item that leaked into a document of these word hashes."""
     gs = grams(words)
-    joined = {k for g in gs for k in rare.get(g, ())}
-    if not joined:
+    places = np.flatnonzero(_held(gs, seeds.known))
+    lo, hi = np.searchsorted(seeds.gram, gs[places], "left"), np.searchsorted(seeds.gram, gs[places], "right")
+    if not len(places):
         return []
-    hits: dict[int, list[int]] = {}
-    for at, g in enumerate(gs):
-        for k in by_gram.get(g, ()):
-            if k in joined:
-                hits.setdefault(k, []).append(at)
+    # every (place, item) whose n-gram is the same
+    n = hi - lo
+    at = np.repeat(places, n)
+    which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    owner, rare = seeds.owner[which], seeds.rare[which]
     out = []
-    for k, got in hits.items():
-        item = items[k]
-        code = {w: i for i, w in enumerate(dict.fromkeys(item))}
-        numbers = np.array([code[w] for w in item], dtype=np.int32)
+    for k in np.unique(owner[rare]):
+        got = np.unique(at[owner == k])
+        if not close(got):
+            continue
+        item = seeds.words[k]
+        vocabulary = np.unique(item)
+        numbers = np.searchsorted(vocabulary, item).astype(np.int32)
         reach = len(item) + len(item) // 10 + N  # a run through a seed lies within so many words of it
-        best, lo = (0, 0), 0
-        for i in range(1, len(got) + 1):
-            if i < len(got) and got[i] - got[i - 1] <= reach:
-                continue
-            if i - lo >= NEED:  # seeds that lie together; a run's own always do
-                part = words[max(0, got[lo] - reach) : got[i - 1] + reach + N]
-                best = max(best, align(np.array([code.get(w, -1) for w in part], dtype=np.int32), numbers))
-            lo = i
+        best = (0, 0)
+        for part in np.split(got, np.flatnonzero(np.diff(got) > reach) + 1):
+            if close(part):
+                own = words[max(0, part[0] - reach) : part[-1] + reach + N]
+                code = np.where(_held(own, vocabulary), np.searchsorted(vocabulary, own), -1).astype(np.int32)
+                best = max(best, align(code, numbers))
         if best[0]:
-            out.append((k, *best))
+            out.append((seeds.ids[k], *best))
     return out
 
 
-_SEEDS = T.StructType([T.StructField("seeds", T.ArrayType(T.StringType())), T.StructField("places", T.IntegerType())])
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("run_words", T.IntegerType()), T.StructField("edits", T.IntegerType())]))
+_WORDS = T.ArrayType(T.LongType())
+_FOUND = T.StructType([T.StructField("seeds", _WORDS), T.StructField("words", _WORDS)])
+_RESULT = "doc_id bigint, item_id bigint, run_words int, edits int"
+
+
+@F.pandas_udf(_WORDS)
+def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([hashes_of(words_of(t)).view(np.int64) for t in texts], dtype=object)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, run_words, edits of every leak."""
     held = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     docs = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    blocks = max(1, -(-held.count() // BLOCK))
+    blocks = max(1, -(-(held.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    if blocks > 1:
+        docs = stored(docs.select("doc_id", _hashed("text").alias("words")), "words")
     out = None
     for b in range(blocks):
         own = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else held
-        part = _leaks_of_block(docs, {r[0]: tuple(words_of(r[1])) for r in own.collect()})
+        part = _leaks_of_block(docs, {r[0]: hashes_of(words_of(r[1])) for r in own.collect()})
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _by_gram(seeds: dict[int, set[str]]) -> dict[str, set[int]]:
-    out: dict[str, set[int]] = {}
-    for k, gs in seeds.items():
-        for g in gs:
-            out.setdefault(g, set()).add(k)
-    return out
-
-
-def _leaks_of_block(docs: DataFrame, items: dict[int, tuple[str, ...]]) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
+def _leaks_of_block(docs: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     items = {k: v for k, v in items.items() if len(v) >= RUN}
-    by_gram = _by_gram({k: set(grams(list(v))) for k, v in items.items()})
-    known = sc.broadcast(frozenset(by_gram))
+    if not items:
+        return spark.createDataFrame([], _RESULT)
+    known = sc.broadcast(Seeds(items).known)
+    hashed = "words" in docs.columns
 
-    @F.pandas_udf(_SEEDS)
+    @F.pandas_udf(_FOUND)
     def seeds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        """The seeds of each text, and how many places hold one: repeated wording counts as often as it stands."""
+        """The seeds of each text, and its words if enough of them lie close together."""
         for texts in batches:
-            held = [[g for g in grams(words_of(t)) if g in known.value] for t in texts]
-            yield pd.DataFrame({"seeds": [sorted(set(h)) for h in held], "places": [len(h) for h in held]})
+            held, kept = [], []
+            for t in texts:
+                words = np.asarray(t, dtype=np.int64).view(np.uint64) if hashed else hashes_of(words_of(t))
+                gs = grams(words)
+                at = np.flatnonzero(_held(gs, known.value))
+                held.append(np.unique(gs[at]).view(np.int64))
+                kept.append(words.view(np.int64) if close(at) else None)
+            yield pd.DataFrame({"seeds": held, "words": kept})
 
     # the one pass over all texts; written, so that texts without enough seeds are never read again
-    found = docs.select("doc_id", "text", seeds("text").alias("s")).select("doc_id", "s.seeds", F.when(F.col("s.places") >= NEED, F.col("text")).alias("text"))
-    found = stored(found, "seeds")
-    # documents per seed, over all documents; as many rows as the items have seeds
-    spread = {r[0]: r[1] for r in found.select(F.explode("seeds").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
-    shared = sc.broadcast((by_gram, _by_gram({k: rare_seeds(v, spread) for k, v in items.items()}), items))
+    found = stored(docs.select("doc_id", seeds("words" if hashed else "text").alias("s")).select("doc_id", "s.*"), "seeds")
+    # documents per seed, over all documents: as many rows as the block has seeds
+    spread = found.select(F.explode("seeds").alias("g")).groupBy("g").agg(F.count("*").alias("n")).toArrow()
+    counts = dict(zip(spread.column("g").to_numpy().view(np.uint64).tolist(), spread.column("n").to_pylist()))
+    shared = sc.broadcast(Seeds(items, counts))
 
     @F.pandas_udf(_LEAKS)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[dict(zip(("item_id", "run_words", "edits"), x)) for x in leaked_in(words_of(t), *shared.value)] for t in texts], dtype=object)
+            yield pd.Series([[dict(zip(("item_id", "run_words", "edits"), x)) for x in leaked_in(np.asarray(w, dtype=np.int64).view(np.uint64), shared.value)] for w in texts], dtype=object)
 
-    candidates = found.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return candidates.select("doc_id", F.explode(find("text")).alias("l")).select("doc_id", "l.*")
+    candidates = found.where(F.col("words").isNotNull()).select("doc_id", "words")
+    return candidates.select("doc_id", F.explode(find("words")).alias("l")).select("doc_id", "l.*")
