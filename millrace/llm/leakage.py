@@ -108,38 +108,49 @@ def close(places: np.ndarray) -> bool:
     return len(places) >= NEED and bool((places[NEED - 1 :] - places[: len(places) - NEED + 1] < SPAN).any())
 
 
+_DEAD = -(1 << 20)
+
+
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """(length, edits) of the best run of successive item words in doc, (0, 0) if none is long enough.
 
     Smith-Waterman over levels of edits: run[e, i] is the longest run that ends in item word i at
     the present word of doc with e edited words, held[e, i] the same with one foreign word put in
-    after it. A run begins and ends with equal words. Of runs that satisfy the bound, the longest.
+    after it; level 0 of both arrays is a dead one, so that levels shift by slices. A run begins
+    and ends with equal words. Of runs that satisfy the bound, the longest.
     """
     m, levels = len(item), len(item) // 10 + 1
-    run = np.zeros((levels + 1, m + 1), dtype=np.int32)
-    held = np.zeros_like(run)
-    bound = 10 * np.arange(levels + 1)[:, None]
-    best, edits = 0, 0
-    alive = False
-    for w in doc:
-        if w < 0 and not alive:
-            continue
-        eq = item == w
-        before = np.maximum(run[:, :-1], held[:, :-1])
-        new = np.zeros_like(run)
-        new[:, 1:] = np.where(eq, np.where(before > 0, before + 1, 0), 0)
-        new[0, 1:] = np.maximum(new[0, 1:], eq)
-        altered = np.where(run[:-1, :-1] > 0, run[:-1, :-1] + 1, 0)
-        new[1:, 1:] = np.maximum(new[1:, 1:], np.where(eq, 0, altered))
-        held[1:, :] = run[:-1, :]
-        run = new
-        alive = bool(run.any() or held.any())
-        if eq.any():
-            ok = (run[:, 1:] >= np.maximum(RUN, bound)) & eq
-            if ok.any():
-                e, i = np.unravel_index(np.argmax(np.where(ok, run[:, 1:], 0)), ok.shape)
-                if run[e, i + 1] > best:
-                    best, edits = int(run[e, i + 1]), int(e)
+    equal = item == np.arange(item.max(initial=0) + 1)[:, None]
+    where = [np.flatnonzero(e) for e in equal]
+    least = np.maximum(RUN, 10 * np.arange(levels + 1))[:, None]
+    run = np.full((levels + 2, m + 1), _DEAD, dtype=np.int32)
+    new, held = run.copy(), run.copy()
+    best, edits, foreign = 0, 0, levels + 2
+    for w in doc.tolist():
+        if not 0 <= w < len(where):
+            foreign += 1
+            if foreign > levels + 1:  # every run has spent its edits by now
+                if foreign == levels + 2:
+                    run[:], held[:] = _DEAD, _DEAD
+                continue
+            new[1:, 1:] = run[:-1, :-1]
+            new[1:, 1:] += 1
+        else:
+            foreign = 0
+            at = where[w]
+            new[1:, 1:] = run[:-1, :-1]
+            met = np.maximum(run[1:, at], held[1:, at])
+            met[0] = np.maximum(met[0], 0)
+            new[1:, at + 1] = met
+            new[1:, 1:] += 1
+            met += 1
+            if met.max() >= RUN:
+                ok = np.where(met >= least, met, 0)
+                e, i = divmod(int(ok.argmax()), len(at))
+                if ok[e, i] > best:
+                    best, edits = int(ok[e, i]), e
+        held[2:] = run[1:-1]
+        run, new = new, run
     return best, edits
 
 
