@@ -6,7 +6,7 @@ size and a rest. The tiers are packed from the largest down, best fit first; gap
 windows keep are filled from the shorter tiers before those are packed themselves. Containers
 of a tier are then dealt into step groups of nearly equal token counts.
 
-Packing runs on shards of a bounded number of pieces (a hash of the text's id picks the shard),
+Packing runs on shards of a bounded number of pieces (a hash of the text's id and the piece picks the shard),
 so no task ever holds an unbounded group; each shard leaves at most a few containers half full.
 
 Defined results: a null text is no item; an empty text has 0 tokens and takes no container
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import stored
+
 #: Word characters are letters, numbers and the underscore, as in the tokenizer's Unicode classes.
 WORDPUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
 #: Pieces in a shard: what one task packs at once.
@@ -43,19 +45,14 @@ def capacities(pack_sizes: DataFrame) -> list[int]:
 
 
 def route(documents: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, n_tokens, tier (the smallest size that holds the text, the largest if none does), exceeds (sizes it doesn't fit).
+    """doc_id, n_tokens, tier (the smallest size that holds the text, the largest if none does).
 
     Row-local and JVM-side: only doc_id and text are read.
     """
     sized = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", tokens(F.col("text")).cast("long").alias("n_tokens"))
     all_sizes = F.array(*[F.lit(c).cast("long") for c in sizes])
     n = F.col("n_tokens")
-    return sized.withColumns(
-        {
-            "tier": F.coalesce(F.array_min(F.filter(all_sizes, lambda c: c >= n)), F.array_max(all_sizes)),
-            "exceeds": F.filter(all_sizes, lambda c: c < n),
-        }
-    )
+    return sized.withColumn("tier", F.coalesce(F.array_min(F.filter(all_sizes, lambda c: c >= n)), F.array_max(all_sizes)))
 
 
 def pieces(routed: DataFrame, sizes: list[int]) -> DataFrame:
@@ -120,13 +117,17 @@ def steps(capacity: list[int], filled: list[int], group: int = STEP) -> list[int
 
 
 def pack(documents: DataFrame, sizes: list[int]) -> DataFrame:
-    """shard, container, capacity, filled, step, doc_id, piece, size: every piece in exactly one container."""
-    out_type = "shard bigint, container bigint, capacity bigint, filled bigint, step bigint, doc_id bigint, piece int, size bigint"
+    """shard, container, capacity, filled, step, doc_id, piece, size, tier: every piece in exactly one container.
+
+    Texts are sized once, into a table of ids and sizes; what is shuffled are its pieces.
+    """
+    out_type = "shard bigint, container bigint, capacity bigint, filled bigint, step bigint, doc_id bigint, piece int, size bigint, tier bigint"
     spark = documents.sparkSession
     if not sizes:
         return spark.createDataFrame([], out_type)
-    shards = max(1, -(-documents.count() // SHARD))
-    items = pieces(route(documents, sizes), sizes).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    cut = pieces(stored(route(documents, sizes), "sizes"), sizes)
+    shards = max(1, -(-cut.count() // SHARD))
+    items = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
@@ -135,15 +136,18 @@ def pack(documents: DataFrame, sizes: list[int]) -> DataFrame:
         return pd.DataFrame(
             {
                 "shard": pdf["shard"], "container": where, "capacity": [capacity[c] for c in where], "filled": [filled[c] for c in where],
-                "step": [group[c] for c in where], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "size": pdf["size"],
+                "step": [group[c] for c in where], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "size": pdf["size"], "tier": pdf["tier"],
             }
         )
 
     return items.groupBy("shard").applyInPandas(fill, out_type)
 
 
-def exceeding(documents: DataFrame, sizes: list[int]) -> DataFrame:
-    """capacity, doc_id of every text that a container can't hold whole."""
-    if not sizes:
-        return documents.sparkSession.createDataFrame([], "capacity bigint, doc_id bigint")
-    return route(documents, sizes).select(F.explode("exceeds").alias("capacity"), "doc_id")
+def exceeding(packed: DataFrame, sizes: list[int]) -> DataFrame:
+    """capacity, doc_id of every text that the packing did not leave whole for a container of that capacity.
+
+    A text was routed above every capacity that can't hold it whole; one that was split exceeds them all.
+    """
+    out = packed.groupBy("doc_id").agg(F.max("tier").alias("tier"), F.count("*").alias("n"))
+    all_sizes = F.array(*[F.lit(c).cast("long") for c in sizes])
+    return out.select(F.explode(F.filter(all_sizes, lambda c: (c < F.col("tier")) | (F.col("n") > 1))).alias("capacity"), "doc_id")

@@ -22,9 +22,18 @@ def test_tokens_are_wordpunct(spark):
 
 
 def test_exceeding(spark):
-    df = docs(spark, ["a " * 10, "a " * 11, None, "a " * 30])
-    assert sorted(tuple(r) for r in packing.exceeding(df, [10, 20]).collect()) == [(10, 1), (10, 3), (20, 3)]
-    assert packing.exceeding(df, []).count() == packing.exceeding(df.limit(0), [10]).count() == 0
+    df = docs(spark, ["a " * 10, "a " * 11, None, "a " * 30, "", "a " * 20])
+    exceeding = lambda df, sizes: sorted(tuple(r) for r in packing.exceeding(packing.pack(df, sizes), sizes).collect())
+    assert exceeding(df, [10, 20]) == [(10, 1), (10, 3), (10, 5), (20, 3)]
+    assert exceeding(df, [10]) == [(10, 1), (10, 3), (10, 5)]
+    assert exceeding(df, []) == exceeding(df.limit(0), [10]) == []
+
+
+def test_shards_are_bounded_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    df = docs(spark, ["a " * 1000, "b " * 1000, "c"])
+    per = [r["count"] for r in packing.pack(df, [10]).groupBy("shard").count().collect()]
+    assert sum(per) == 201 and len(per) == 5 and max(per) < 100
 
 
 def test_pack_shard_keeps_everything_within_capacity():
