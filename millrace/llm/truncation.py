@@ -8,9 +8,14 @@ those that the other texts show, so a source may have several, in both units. A
 posterior is the share of the values on its own limit that the fit does not explain; a text longer
 than that was not cut there. In bytes, a replacement character stands for one to three bytes. How
 a text ends (mid-word, mid-sentence, an open code block, a broken character, a sign-off, a full
-stop...) is the other evidence: the likelihood of each ending among cut and whole texts is
-learned by EM from all texts, with the censored values as anchors. Both are combined into the
-posterior that a text is cut.
+stop...) is the other evidence. Some endings mean what they are in any data (nobody ends inside a
+word, an end mark of whatever script ends a text); the likelihood of the others among cut and whole
+texts is learned by EM from all texts, with the censored values and those endings as anchors. Both
+are combined into the posterior that a text is cut.
+
+Whether a last word is whole is told by the corpus: a part of a word begins many words and is
+hardly one itself. A source that ends without an end mark after whole words far more often than
+its cuts inside words go with writes in that style, and is not cut.
 
 Short closing lines (signatures, references, list items, catch phrases) are whole if they recur
 as they are: a closing line that is the beginning of a much more frequent one is a cut of it.
@@ -33,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,17 +57,25 @@ RATIO = 3
 #: Dots close a text only as a phrase whose recurrence cuts don't explain: this unlikely over all dotted
 #: lines, where a cut may fall on one place of a text this many times as often as on the average place.
 CHANCE, UNEVEN = 0.01, 10.0
+#: A closing line of more characters is a sentence like others unless it recurs as dotted ones must.
 KEY_CHARS = 80
-
-_STOP = re.compile(r"[.!?。！？][\"'”’»)\]*_`]*$")
-_GREETING = re.compile(r"^\w[\w ]{0,30},$")
-_SPEAKER = re.compile(r"^[\w.-]{1,30}: ")
+#: A text's last word is whole if of the words that begin like it at least this share are that word.
+WHOLE_WORD = 0.02
+#: Rows of a side that is broadcast, as counted; beyond it is joined by shuffle.
+MAX_BROADCAST_ROWS = 100_000
+
+#: What ends a sentence in any script, behind it what may close around it.
+_STOP = regex.compile(r"[\p{Sentence_Terminal}][\p{Pe}\p{Pf}\p{Pi}\p{M}\"'*_`]*$")
+_GREETING = re.compile(r"^\w[\w ]*,$")
+_SPEAKER = re.compile(r"^[\w.-]+: ")
+_ITEM = re.compile(r"^([-*•] |[A-Z]\w+: )")
+_LAST = re.compile(r"[^\W\d_]+$")
 #: Endings: what a text's last line looks like.
-ENDINGS = ["broken", "open_block", "open", "closing", "stop", "block", "empty"]
+ENDINGS = ["broken", "open_block", "open", "open_word", "open_odd", "style", "closing", "stop", "block", "empty"]
 
 
 def ending_of(text: str) -> tuple[str, str]:
-    """(ending, key): key is the closing line with digits folded, for endings that only its recurrence can judge."""
+    """(ending, key): key is what only recurrence can judge, the closing line with its numbers folded (how long a number is says nothing) or an open text's last word."""
     t = text.rstrip()
     if not t:
         return "empty", ""
@@ -71,16 +85,16 @@ def ending_of(text: str) -> tuple[str, str]:
         return "open_block", ""
     if t.endswith("```"):
         return "block", ""
-    lines = t[-400:].split("\n")
-    last, above = lines[-1].strip(), lines[-2].strip() if len(lines) > 1 else ""
+    at = t.rfind("\n")
+    last, above = t[at + 1 :].strip(), t[t.rfind("\n", 0, max(at, 0)) + 1 : at].strip() if at >= 0 else ""
     dots = last.endswith(("...", "…"))
     if _STOP.search(last) and not dots:
         return "stop", ""
-    whole_line = len(lines) > 1 or len(t) <= 400
-    key = re.sub(r"\d", "9", _SPEAKER.sub("", last))
-    if whole_line and len(key) <= KEY_CHARS and (dots or above in ("--", "-- ") or _GREETING.match(above) or re.match(r"^([-*•] |[A-Z]\w{1,12}: )", last)):
+    key = re.sub(r"\d+", "9", _SPEAKER.sub("", last))
+    if dots or above == "--" or _GREETING.match(above) or _ITEM.match(last):
         return "closing", key
-    return "open", ""
+    word = _LAST.search(last)
+    return "open", word[0].lower() if word else ""
 
 
 _END = T.StructType([T.StructField("ending", T.StringType()), T.StructField("key", T.StringType())])
@@ -92,7 +106,7 @@ def _ending_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([ending_of(t) for t in texts], columns=["ending", "key"])
 
 
-_SPEAKER_SQL, _DIGIT_SQL = r"(?U)^[\w.-]{1,30}: ", r"(?U)\d"
+_SPEAKER_SQL, _DIGIT_SQL = r"(?U)^[\w.-]+: ", r"(?U)\d+"
 
 
 def _fold() -> Column:
@@ -104,6 +118,10 @@ def _dotted(key: Column) -> Column:
     return key.endswith("...") | key.endswith("…")
 
 
+def _doubtful(key: Column) -> Column:
+    return _dotted(key) | (F.length(key) > KEY_CHARS)
+
+
 @F.pandas_udf(T.DoubleType())
 def _by_chance(n: pd.Series, mean: pd.Series) -> pd.Series:
     """P(at least n | at least 1) of a Poisson variable."""
@@ -124,27 +142,26 @@ def poisson_tail(k: int, mean: float) -> float:
 
 
 def phrases(documents: DataFrame, keys: DataFrame, measured: DataFrame) -> DataFrame | None:
-    """key of every dotted closing line that is a phrase; None where no dotted line closes two texts.
+    """key of every dotted or long closing line that is a phrase; None where no such line closes two texts.
 
     keys: key, n (texts it closes). The texts that have a line with that beginning, whether it goes
     on or not, are the chances of a cut there; they and n grow alike with the corpus.
     """
-    dotted = keys.where(_dotted(F.col("key")))
-    n_keys, n_texts = dotted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    several = stored(dotted.where("n > 1").select("key", "n", F.regexp_replace("key", r"[.…]+$", "").alias("begin")), "dotted")
-    lengths = sorted(r[0] for r in several.select(F.length("begin")).distinct().collect())  # KEY_CHARS at most
+    doubtful = keys.where(_doubtful(F.col("key")))
+    n_keys, n_texts = doubtful.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    several = stored(doubtful.where("n > 1").select("key", "n", F.regexp_replace("key", r"[.…]+$", "").alias("begin")), "dotted")
+    lengths = sorted(r[0] for r in several.select(F.length("begin")).distinct().collect())  # of lines that recur
     if not lengths:
         return None
     chars = measured.select("fold", "chars").distinct().agg(F.sum("chars")).first()[0]
     lines = documents.where(F.col("text").isNotNull()).select(_fold().alias("fold"), F.explode(F.split("text", "\n")).alias("line"))
-    line = F.substring(F.trim("line"), 1, KEY_CHARS + 32)
+    line = F.trim("line")
     lines = lines.select("fold", F.when(line.contains(": "), F.regexp_replace(line, _SPEAKER_SQL, "")).otherwise(line).alias("line"))
-    folded = lambda n: F.regexp_replace(F.substring("line", 1, n), _DIGIT_SQL, "9")
+    lines = lines.withColumn("line", F.when(F.col("line").rlike("(?U)\\d"), F.regexp_replace("line", _DIGIT_SQL, "9")).otherwise(F.col("line")))
     # most lines begin like none of them; a list of heads too long to test is not tested
     heads = [r[0] for r in several.select(F.substring("begin", 1, min(3, lengths[0]))).distinct().limit(1001).collect()]
     if len(heads) <= 1000:
-        lines = lines.where(folded(min(3, lengths[0])).isin(heads))
-    lines = lines.select("fold", folded(KEY_CHARS).alias("line"))
+        lines = lines.where(F.substring("line", 1, min(3, lengths[0])).isin(heads))
     begins = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.col("line").substr(F.lit(1), n)))
     held = lines.select("fold", F.explode(begins).alias("begin")).join(several.select("begin").distinct(), "begin").distinct().groupBy("begin").agg(F.count("*").alias("texts"))
     mean = F.greatest(F.col("n"), F.coalesce("texts", F.lit(0))) * F.lit(UNEVEN * n_texts / max(1, chars))
@@ -152,6 +169,24 @@ def phrases(documents: DataFrame, keys: DataFrame, measured: DataFrame) -> DataF
     return tried.where(F.col("p") * n_keys < CHANCE).select("key")
 
 
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else side
+
+
+def last_words(documents: DataFrame, measured: DataFrame) -> DataFrame:
+    """key, open_as of the last words of open texts: open_word, or open_odd if nothing in the corpus begins like it; others are parts of words.
+
+    A part of a word begins many words and is hardly one itself, in whatever language. The corpus is
+    its own vocabulary; last words themselves have no say. Words combine to their counts before they move.
+    """
+    last = stored(measured.where("ending = 'open' AND key != ''").groupBy("key").agg(F.count("*").alias("n_last")), "last")
+    words = documents.where(F.col("text").isNotNull()).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    begins = words.select("word", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.col("word").substr(F.lit(1), i))).alias("key"))
+    n = begins.join(_small(last), "key").groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("word") == F.col("key"), F.col("n")).otherwise(0)).alias("same"), F.max("n_last").alias("n_last"))
+    others, same = F.col("all") - F.col("n_last"), F.col("same") - F.col("n_last")
+    return n.select("key", F.when(others <= 0, "open_odd").when(same >= others * WHOLE_WORD, "open_word").alias("open_as")).where(F.col("open_as").isNotNull())
+
+
 def _phi(z: np.ndarray | float) -> np.ndarray | float:
     return np.exp(-0.5 * np.square(z)) / np.sqrt(2 * np.pi)
 
@@ -257,42 +292,64 @@ def source_fits(measured: DataFrame) -> DataFrame:
     return hist.groupBy("source").applyInPandas(fit_source, _FIT)
 
 
-#: How sure an ending alone is that the text is cut: the prior of the EM. A full stop or a closed
-#: block is an end even where the text fills its field to the last character.
-SURE = {"broken": 0.99, "open_block": 0.98, "open": 0.97, "closing_cut": 0.95, "dots": 0.9, "closing": 0.01, "stop": 1e-5, "block": 1e-5, "empty": 1e-9}
-#: Weight of that prior against the texts themselves.
-STRENGTH = 4.0
+#: How sure an ending alone is that the text is cut. A full stop or a closed block is an end even
+#: where the text fills its field to the last character, and nobody ends inside a word, a character,
+#: a block, or with dots that are no phrase: what these say is not up to the data. Of the others it is the EM's prior.
+SURE = {
+    "broken": 0.99, "open_block": 0.98, "open": 0.97, "open_word": 0.9, "open_odd": 0.9, "closing_cut": 0.95, "dots": 0.9,
+    "style": 0.05, "closing": 0.01, "stop": 1e-5, "block": 1e-5, "empty": 1e-9,
+}
+MEANT = {"broken", "open_block", "open", "dots", "stop", "block", "empty"}
+#: That prior counts as so many texts of each ending, whatever the number of texts.
+PRIOR_TEXTS = 50.0
+#: Of cut texts without an end mark, how many are cut inside a word, after one, in none that is known; with the texts' own counts from the limits added.
+CUT_IN = {"open": 14.0, "open_word": 4.0, "open_odd": 2.0}
 
 
 def ending_weights(counts: list[tuple[str, float, int]]) -> tuple[dict[str, float], float]:
     """(likelihood ratio cut : whole of each ending, share of cut texts off the limits), by EM.
 
     counts: (ending, censoring posterior, number of texts). A handful of rows whatever the input.
-    The prior counts as STRENGTH times the texts of an ending, so that an ending keeps its
-    meaning while its weight follows the data.
     """
     ratio: dict[str, float] = {}
     base = 0.05
-    resp = {(e, c): c + (1 - c) * SURE[e] if SURE[e] > 1e-3 else SURE[e] for e, c, _ in counts}
+    sure = lambda e, c: c + (1 - c) * SURE[e] if SURE[e] > 1e-3 else SURE[e]
+    resp = {(e, c): sure(e, c) for e, c, _ in counts}
     for _ in range(20):
-        cut, whole = dict.fromkeys(SURE, 0.0), dict.fromkeys(SURE, 0.0)
+        cut, whole = {e: PRIOR_TEXTS * p for e, p in SURE.items()}, {e: PRIOR_TEXTS * (1 - p) for e, p in SURE.items()}
         off_cut, off_all = 0.5, 10.0
         for e, c, n in counts:
             r = resp[e, c]
-            cut[e] += n * (r + STRENGTH * SURE[e]) / (1 + STRENGTH)
-            whole[e] += n * (1 - r + STRENGTH * (1 - SURE[e])) / (1 + STRENGTH)
+            cut[e] += n * r
+            whole[e] += n * (1 - r)
             if c < CUT:
                 off_cut, off_all = off_cut + n * r, off_all + n
-        zc, zw = sum(cut.values()) + 1, sum(whole.values()) + 1
-        ratio = {e: ((cut[e] + SURE[e]) / zc) / ((whole[e] + 1 - SURE[e]) / zw) for e in SURE}
+        zc, zw = sum(cut.values()), sum(whole.values())
+        ratio = {e: (cut[e] / zc) / (whole[e] / zw) for e in SURE}
         base = off_cut / off_all
         for e, c, _ in counts:
             prior = c + (1 - c) * base
             odds = prior / max(1e-9, 1 - prior) * ratio[e]
-            resp[e, c] = odds / (1 + odds) if SURE[e] > 1e-3 else SURE[e]
+            resp[e, c] = sure(e, c) if e in MEANT else odds / (1 + odds)
     return ratio, base
 
 
+def habits(rows: DataFrame, counts: list[tuple[str, float, int]]) -> DataFrame:
+    """_source, as_cut map of ending -> share of a source's texts with that open ending that cuts explain.
+
+    Cuts fall inside words as often as the texts on the limits tell; a source that ends without an
+    end mark after whole words much more often than its cuts inside words go with writes that way:
+    that is its style.
+    """
+    at_limit = {e: p + sum(n for x, c, n in counts if x == e and c >= 0.9) for e, p in CUT_IN.items()}
+    total = sum(at_limit.values())
+    n = {e: F.count_if((F.col("ending") == e) & (F.col("censored") < CUT)) for e in CUT_IN}
+    per = rows.groupBy(F.coalesce("source", F.lit("")).alias("_source")).agg(*[c.alias(e) for e, c in n.items()])
+    cuts = (F.col("open") + 1) / (at_limit["open"] / total)
+    share = lambda e: F.least(F.lit(1.0), (cuts * (at_limit[e] / total) + 1) / (F.col(e) + 1))
+    return per.select("_source", F.create_map(F.lit("open_word"), share("open_word"), F.lit("open_odd"), share("open_odd")).alias("as_cut"))
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source, chars, limit and unit (the source's foremost), ending, censored (posterior by length), posterior (that the text is cut)."""
     base_rows = documents.where(F.col("text").isNotNull()).select(
@@ -301,12 +358,14 @@ def judged(documents: DataFrame) -> DataFrame:
     measured = stored(base_rows.select("doc_id", "source", "chars", "bytes", "fold", "replaced", "e.*"), "endings")
     # closing lines that begin a much more frequent one; both sides combine to distinct lines before they move
     keys = measured.where("ending = 'closing'").select("key", "fold").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    longer = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.col("key").substr(F.lit(1), i))).alias("key"), F.col("n").alias("m"), F.length("key").alias("len"))
+    shorter = F.sequence(F.lit(1), F.greatest(F.least(F.length("key") - 1, F.lit(KEY_CHARS)), F.lit(1)))
+    longer = keys.select(F.explode(F.transform(shorter, lambda i: F.col("key").substr(F.lit(1), i))).alias("key"), F.col("n").alias("m"), F.length("key").alias("len"))
     longer = longer.where("length(key) < len").groupBy("key").agg(F.max("m").alias("m"))
     kept = phrases(documents, keys, measured)
     keys = keys.withColumn("phrase", F.lit(None).cast("boolean")) if kept is None else keys.join(kept.withColumn("phrase", F.lit(True)), "key", "left")
-    verdict = F.when(_dotted(F.col("key")) & F.col("phrase").isNull(), "dots").when(F.col("m") >= RATIO * F.col("n"), "closing_cut")
-    odd_keys = keys.join(longer, "key", "left").select("key", verdict.alias("verdict")).where(F.col("verdict").isNotNull())
+    verdict = F.when(_doubtful(F.col("key")) & F.col("phrase").isNull(), F.when(_dotted(F.col("key")), "dots").otherwise("open")).when(F.col("m") >= RATIO * F.col("n"), "closing_cut")
+    odd_keys = keys.join(longer, "key", "left").select(F.lit("closing").alias("ending"), "key", verdict.alias("verdict")).where(F.col("verdict").isNotNull())
+    odd_keys = odd_keys.unionByName(last_words(documents, measured).select(F.lit("open").alias("ending"), "key", F.col("open_as").alias("verdict")))
     own = F.coalesce("source", F.lit(""))
     fits = source_fits(measured).withColumnRenamed("source", "_source")
 
@@ -316,20 +375,23 @@ def judged(documents: DataFrame) -> DataFrame:
         on_bytes = F.when((n == at) | (F.col("replaced") & n.between(at, at + ADDED)), lim["at_limit"]).when(n.between(at - LOST, at), lim["at_limit"] / 2)
         return F.coalesce(F.when(lim["unit"] == "bytes", on_bytes).when(F.col("chars") == at, lim["at_limit"]), F.lit(0.0))
 
-    # texts without a closing line get a key of their own, or they would all meet in one task
-    keyed = measured.withColumn("key", F.when(F.col("ending") == "closing", F.col("key")).otherwise(F.concat(F.lit("\u0000"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = keyed.join(odd_keys, "key", "left").join(fits, own == F.col("_source"), "left").select(
-        "doc_id", "source", "chars", "limit", "unit",
-        F.when(F.col("ending") == "closing", F.coalesce("verdict", "ending")).otherwise(F.col("ending")).alias("ending"),
+    # texts that have no key get one of their own, or they would all meet in one task; the verdicts, a row per key, are broadcast if few
+    keyed = measured.withColumn("key", F.when(F.col("key") != "", F.col("key")).otherwise(F.concat(F.lit("\u0000"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = keyed.join(_small(stored(odd_keys, "verdicts")), ["ending", "key"], "left").join(fits, own == F.col("_source"), "left").select(
+        "doc_id", "source", "chars", "limit", "unit", F.coalesce("verdict", "ending").alias("ending"),
         F.coalesce(F.array_max(F.transform("limits", censored)), F.lit(0.0)).alias("censored"),
     )
     rows = stored(rows, "judged")
-    counts = [(r[0], r[1], r[2]) for r in rows.groupBy("ending", F.round("censored", 2).alias("c")).count().collect()]  # endings x 101 at most
-    ratio, base = ending_weights(counts)
-    r = F.element_at(F.create_map(*[x for k, v in ratio.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("ending"))
+    tally = lambda df: [(r[0], r[1], r[2]) for r in df.groupBy("ending", F.round("censored", 2).alias("c")).count().collect()]  # noqa: E731  endings x 101 at most
+    by_habit = F.element_at("as_cut", F.col("ending")) < CUT
+    rows = rows.join(habits(rows, tally(rows)), own == F.col("_source"), "left").withColumn("ending", F.when(by_habit, "style").otherwise(F.col("ending"))).drop("_source", "as_cut")
+    ratio, base = ending_weights(tally(rows))
+    of = lambda values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("ending"))
     prior = F.col("censored") + (1 - F.col("censored")) * F.lit(float(base))
-    odds = prior / F.greatest(F.lit(1e-9), 1 - prior) * r
-    return rows.withColumn("posterior", F.when(F.col("ending") == "empty", 0.0).otherwise(odds / (1 + odds)))
+    odds = prior / F.greatest(F.lit(1e-9), 1 - prior) * of(ratio)
+    sure = of({k: SURE[k] for k in sorted(MEANT)})
+    meant = F.when(sure > 1e-3, F.col("censored") + (1 - F.col("censored")) * sure).otherwise(sure)
+    return rows.withColumn("posterior", F.coalesce(meant, odds / (1 + odds)))
 
 
 def rates(judgement: DataFrame) -> DataFrame:

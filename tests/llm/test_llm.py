@@ -136,8 +136,35 @@ def test_endings():
         "stop", "stop", "stop", "block", "open_block", "open", "broken", "broken", "broken", "empty",
     ]
     assert truncation.ending_of("x.\n-- \nEdge crew") == ("closing", "Edge crew")
-    assert truncation.ending_of("x.\n\nRef: TK-123") == ("closing", "TK-999")
+    assert truncation.ending_of("x.\n\nRef: TK-123") == ("closing", "TK-9")
     assert truncation.ending_of("a: x.\nb.c: let us see...") == ("closing", "let us see...")
+    assert truncation.ending_of("the Mai") == ("open", "mai") and truncation.ending_of("port 12") == ("open", "")
+    assert {end(t) for t in ("هل انتهى العمل؟", "काम हो गया।", "作業は終わった。」", "Ya está?)**", "完了！", "Սա վերջն է։", "x" * 5000 + ".")} == {"stop"}
+    long = "Signed by the whole of the night shift, " * 5
+    assert truncation.ending_of(f"x.\n-- \n{long}") == ("closing", long.strip()) and end("Kind regards from all of us at the relay desk of the north,\nAda") == "closing"
+
+
+def test_a_source_without_end_marks_is_no_source_of_cuts(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(4, 9))) for _ in range(120)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    titles = [prose(rnd.randint(4, 9)) for _ in range(300)]
+    whole = [prose(rnd.randint(20, 60)) + "." for _ in range(300)]
+    cut = [prose(40)[: rnd.randint(90, 200)] for _ in range(60)]
+    cut = [t if not t.endswith(" ") else t[:-3] for t in cut]
+    df = docs(spark, titles, "titles").unionByName(docs(spark, whole + cut, "prose").selectExpr("doc_id + 1000 AS doc_id", "text", "source", "lang", "n_tokens", "ending"))
+    got = {r["doc_id"] for r in truncation.judged(df).where(f"posterior >= {truncation.CUT}").collect()}
+    assert not {i for i in got if i < 1300} and len(got) >= 55
+
+
+def test_long_signatures_close_a_text_if_they_recur(spark):
+    rnd = random.Random(9)
+    prose = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(50, 400))) + "."
+    signature = "Written by the operators of the northern relay desk, who can be reached at any hour of the day"
+    assert len(signature) > truncation.KEY_CHARS
+    signed, cut = [f"{prose()}\n-- \n{signature}" for _ in range(40)], [f"{prose()}\n-- \n{signature[:88]}"]
+    got = {r["doc_id"] for r in truncation.judged(docs(spark, signed + cut + [prose() for _ in range(100)])).where(f"posterior >= {truncation.CUT}").collect()}
+    assert got == {40}
 
 
 def test_censored_fit_finds_what_the_limit_hides():
