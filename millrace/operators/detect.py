@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What the rules of detection test, which decides results.
 RFC5424, RFC3164 = r"^<\d{1,3}>[1-9]\d* \S", r"^(?:<\d{1,3}>)?[A-Z][a-z]{2} {1,2}\d{1,2} \d{2}:\d{2}:\d{2} \S"
 CEF, LEEF = r"(?:^|\s)CEF:\d+\|", r"(?:^|\s)LEEF:\d+\.\d+\|"
 KEY = r"(?:^|\s)[A-Za-z][A-Za-z0-9_.-]*="

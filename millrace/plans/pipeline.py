@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,45 @@ META = {
 LAYERS = ("normalized", "vendor_fields", "unknown_fields")
 
 
+#: Columns that the parse of the message itself decides, or of what is in its envelope too; all others stand without a parse.
+UNPARSED = frozenset(META) | {"raw_message", "raw_size_bytes", "decode_notes", "delivery_status", "delivery_target", "delivery_error", "delivery_attempts"}
+IDENTITY = frozenset({"source_status", "vendor", "product", "source_evidence"})
+EVENT = UNPARSED - {"decode_note"} | IDENTITY | {
+    "format_detected", "parser_name", "parser_version", "parse_status", "parse_notes", "hostname", "truncated", "validation_status", "validation_problems",
+    "normalized", "vendor_fields", "unknown_fields", "original_fields", "decoded", "protocol_metadata",
+}
+
+
+def placed_id() -> Column:
+    """The identifier of a line of a file: equal whenever the file is read again. Null for what has no such place."""
+    place = F.concat_ws("\u0001", "file_path", F.col("file_line_number").cast("string"), F.coalesce("raw_message", F.lit("")))
+    return F.when(F.col("file_path").isNotNull() & F.col("file_line_number").isNotNull(), F.left(F.sha2(place, 256), F.lit(32)))
+
+
 def with_meta(raw: DataFrame, at: float | None = None) -> DataFrame:
-    """Adds what the input lacks. Identifiers are derived from place and text, so a replay repeats them."""
+    """Adds what the input lacks.
+
+    A line of a file is identified by its place, so that a replay repeats it; listeners give their
+    messages identifiers of their own; any other row gets one that no other row has, however equal.
+    """
     have = set(raw.columns)
     raw = raw.withColumns({c: F.lit(None).cast(t) for c, t in META.items() if c not in have})
     now = F.lit(at).cast("double") if at is not None else F.unix_micros(F.current_timestamp()) / 1e6
-    place = F.concat_ws("\u0001", F.coalesce("file_path", F.lit("")), F.coalesce(F.col("file_line_number").cast("string"), F.lit("")), F.coalesce("raw_message", F.lit("")))
-    return raw.withColumns({"ingested_at_unix_utc": F.coalesce("ingested_at_unix_utc", now), "event_id": F.coalesce("event_id", F.left(F.sha2(place, 256), F.lit(32)))})
+    own = F.coalesce("event_id", placed_id(), F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))
+    return raw.withColumns({"ingested_at_unix_utc": F.coalesce("ingested_at_unix_utc", now), "event_id": own})
 
 
-def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.Parser] | None = None, at: float | None = None) -> DataFrame:
+def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.Parser] | None = None, at: float | None = None, columns: Collection[str] | None = None) -> DataFrame:
     """raw_message (and any of META, and columns of the caller's own) to events.
 
     Null messages count as empty ones. Columns of the input that clash with an event's own are
-    replaced. No value is ever dropped or cut: limits and type checks only annotate.
+    replaced. No value is ever dropped or cut: limits and type checks only annotate. With columns,
+    only those of the event's are built (the caller's own stay): stages that none of them needs,
+    a parse, that of the envelope's content, a check, are not in the plan at all.
     """
+    asked = EVENT if columns is None else EVENT & set(columns)
+    inside = bool(asked - UNPARSED - IDENTITY - {"format_detected"}) or bool(cfg.sources and asked & IDENTITY)
+    outside = inside or bool(asked & IDENTITY)
     registry = registry or parsers.REGISTRY
     df = with_meta(raw, at).withColumn("_text", F.coalesce("raw_message", F.lit("")))
     text = F.col("_text")
@@ -44,17 +70,21 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
     walked = parsers.resolve(text, F.col("_fmt"), cfg, registry)
     df = df.withColumn("_p1", F.when(F.col("_ok"), hint).otherwise(walked))
     df = df.withColumn("_lost", F.col("_p1").isNull()).withColumn("_p1", F.coalesce("_p1", F.lit("plain_text")))
-    df = parsers.parse(df, "_text", "_p1", "_r1", cfg, registry)
+    nothing = F.lit(None).cast(parsers.RESULT)
+    df = parsers.parse(df, "_text", "_p1", "_r1", cfg, registry) if outside else df.withColumn("_r1", nothing)
 
     # what is inside a syslog envelope
-    inner = F.when(F.col("_p1").isin(*detect.SYSLOG), X.blank_to_null(F.col("_r1")["message"]))
-    df = parsers.fenced(df, "_inner", inner).withColumn("_ifmt", F.when(F.col("_inner").isNotNull(), detect.detect(F.col("_inner"))))
-    df = df.withColumn("_behind", F.when(F.col("_ifmt").isin(*detect.SYSLOG), detect.behind_syslog(F.col("_inner"), F.col("_ifmt"))))
-    df = df.withColumn("_sub", F.when(F.col("_behind").isNotNull(), detect.detect(F.col("_behind"))))
-    df = df.withColumn("_ifmt", detect.inner_format(F.col("_inner"), F.col("_ifmt"), F.coalesce("_sub", F.lit(""))))
-    df = df.withColumn("_p2", F.when(F.col("_inner").isNotNull(), parsers.resolve(F.col("_inner"), F.col("_ifmt"), cfg, registry)))
-    df = df.withColumn("_p2", F.when((F.col("_p2") != F.col("_p1")) & (F.col("_p2") != "plain_text"), F.col("_p2")))
-    df = parsers.parse(df, "_inner", "_p2", "_r2", cfg, registry)
+    if inside:
+        inner = F.when(F.col("_p1").isin(*detect.SYSLOG), X.blank_to_null(F.col("_r1")["message"]))
+        df = parsers.fenced(df, "_inner", inner).withColumn("_ifmt", F.when(F.col("_inner").isNotNull(), detect.detect(F.col("_inner"))))
+        df = df.withColumn("_behind", F.when(F.col("_ifmt").isin(*detect.SYSLOG), detect.behind_syslog(F.col("_inner"), F.col("_ifmt"))))
+        df = df.withColumn("_sub", F.when(F.col("_behind").isNotNull(), detect.detect(F.col("_behind"))))
+        df = df.withColumn("_ifmt", detect.inner_format(F.col("_inner"), F.col("_ifmt"), F.coalesce("_sub", F.lit(""))))
+        df = df.withColumn("_p2", F.when(F.col("_inner").isNotNull(), parsers.resolve(F.col("_inner"), F.col("_ifmt"), cfg, registry)))
+        df = df.withColumn("_p2", F.when((F.col("_p2") != F.col("_p1")) & (F.col("_p2") != "plain_text"), F.col("_p2")))
+        df = parsers.parse(df, "_inner", "_p2", "_r2", cfg, registry)
+    else:
+        df = df.withColumns({"_p2": F.lit(None).cast("string"), "_r2": nothing})
 
     # one event of both
     r1, r2, chained = F.col("_r1"), F.col("_r2"), F.col("_p2").isNotNull()
@@ -89,8 +119,11 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
     vendor_of = lambda k: F.try_variant_get(F.get(F.filter("_decoded", lambda e: e["k"] == k), F.lit(0))["v"], "$", "string")
     by_format = lambda a, b: F.when(F.col("_fmt") == "cef", vendor_of(a)).when(F.col("_fmt") == "leef", vendor_of(b))
     ident = identity.identify(F.col("_def"), F.col("_sig"), F.col("format_detected"), by_format("cef_device_vendor", "leef_vendor"), by_format("cef_device_product", "leef_product"), r1["tag"])
-    df = parsers.fenced(df, "_six", checks.ipv6_values(F.col("_normalized")))
-    df = df.withColumn("_bad6", F.when(F.col("_six").isNotNull(), checks._bad_ipv6(F.col("_six"))))
+    if asked & {"validation_status", "validation_problems"}:
+        df = parsers.fenced(df, "_six", checks.ipv6_values(F.col("_normalized")))
+        df = df.withColumn("_bad6", F.when(F.col("_six").isNotNull(), checks._bad_ipv6(F.col("_six"))))
+    else:
+        df = df.withColumn("_bad6", F.lit(None).cast("array<string>"))
     missing = F.when(text == "", F.struct(F.lit("raw").alias("field"), F.lit("raw_message missing").alias("problem"), F.lit(None).cast("string").alias("value")))
     as_map = lambda c: F.map_from_entries(F.col(c))
     df = df.withColumns(
@@ -112,7 +145,7 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
             "delivery_status": F.lit("PENDING"), "delivery_target": F.lit(None).cast("string"), "delivery_error": F.lit(None).cast("string"), "delivery_attempts": F.lit(0),
         }
     )
-    return df.drop("decode_note", *[c for c in df.columns if c.startswith("_")])
+    return df.select(*[c for c in df.columns if c in asked or (c not in EVENT and c != "decode_note" and not c.startswith("_"))])
 
 
 def text_of(layer: str, key: str) -> Column:

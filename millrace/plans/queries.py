@@ -24,8 +24,8 @@ def _c(*parts: str | Column) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts])
 
 
-def _parsed(df: DataFrame, raw: Column, cfg: Config = CFG) -> DataFrame:
-    return P.parse_events(spread(df.withColumn("raw_message", raw)), cfg, at=1_760_000_000.0)
+def _parsed(df: DataFrame, raw: Column, cfg: Config = CFG, columns: tuple[str, ...] | None = None) -> DataFrame:
+    return P.parse_events(spread(df.withColumn("raw_message", raw)), cfg, at=1_760_000_000.0, columns=columns)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,7 +383,7 @@ def source_configured(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT row_id, CASE WHEN regexp_matches(raw_message, '%ASA-\\d-\\d+:') THEN 'Cisco' WHEN regexp_matches(raw_message, '\\blogid=\\d{10}\\b.*\\btype=\\w+.*\\bsubtype=\\w+', 's') THEN 'Fortinet'
  WHEN regexp_matches(raw_message, '^CEF:0\\|') THEN 'Haldenworks' WHEN regexp_matches(raw_message, '^LEEF:') THEN 'Norvane' END AS vendor FROM telemetry""")
 def source_identity(spark: SparkSession, d: str) -> DataFrame:
-    return P.parse_events(spread(table(spark, d, "telemetry").select("row_id", "raw_message")), CFG).select("row_id", "vendor")
+    return P.parse_events(spread(table(spark, d, "telemetry").select("row_id", "raw_message")), CFG, columns=["vendor"]).select("row_id", "vendor")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'plain_text' ELSE 'key_value' END AS parser, CASE WHEN event_id % 2 = 0 THEN 'PARSER_HINT:hint_used:plain_text' ELSE 'PARSER_HINT:hint_rejected_fallback:cef' END AS note,
@@ -398,14 +398,15 @@ def hint_routing(spark: SparkSession, d: str) -> DataFrame:
 # ---- whole pipeline over the raw messages ----------------------------------------------------
 
 
-def _all_events(spark: SparkSession, d: str) -> DataFrame:
+def _all_events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Events of all messages: every column, or the asked ones."""
     t = table(spark, d, "telemetry").select("row_id", "ingested_at_unix_utc", "transport", "transport_protocol", "peer_ip", "peer_port", "source_name", "file_path", "file_line_number", "raw_message")
-    return P.parse_events(spread(t), CFG)
+    return P.parse_events(spread(t), CFG, columns=columns or None)
 
 
 @query()
 def status_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _all_events(spark, d).groupBy("format_detected", "parser_name", "parse_status").agg(F.count("*").alias("n"))
+    return _all_events(spark, d, "format_detected", "parser_name", "parse_status").groupBy("format_detected", "parser_name", "parse_status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'events_received' AS name, count(*) AS value FROM telemetry")
@@ -421,7 +422,7 @@ def metrics_counters(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT row_id, raw_message, strlen(raw_message) AS size FROM telemetry")
 def lossless_raw(spark: SparkSession, d: str) -> DataFrame:
     """One event per message, the message itself untouched."""
-    return _all_events(spark, d).select("row_id", "raw_message", F.col("raw_size_bytes").alias("size"))
+    return _all_events(spark, d, "raw_message", "raw_size_bytes").select("row_id", "raw_message", F.col("raw_size_bytes").alias("size"))
 
 
 @query("SELECT row_id FROM telemetry ORDER BY ingested_at_unix_utc DESC, row_id DESC LIMIT 100")
