@@ -1,23 +1,28 @@
-"""python -m millrace.cli parse|replay|test-parser|run: the pipeline from a shell."""
+"""python -m millrace.cli parse|replay|test-parser|run|serve: the pipeline from a shell."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import threading
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace import config
+from millrace import api, config
 from millrace.operators import parsers, serialize
 from millrace.plans import pipeline
+from millrace.session import ship
 from millrace.sources import readers
 
 
 def _spark() -> SparkSession:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -34,6 +39,18 @@ def accepting(spark: SparkSession, text: str, name: str | None, cfg: config.Conf
     return out
 
 
+def _serve(spark: SparkSession, cfg: config.Config, events: DataFrame, port: int) -> int:
+    surface = api.server(spark, lambda: events, cfg, port=port)
+    print(f"http://127.0.0.1:{surface.server_address[1]}", file=sys.stderr)
+    try:
+        surface.serve_forever()
+    except KeyboardInterrupt:
+        pass
+    finally:
+        surface.server_close()
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(prog="millrace")
     sub = a.add_subparsers(dest="cmd", required=True)
@@ -42,13 +59,17 @@ def main(argv: list[str] | None = None) -> int:
     many = sub.add_parser("replay", help="parse the lines of a file")
     many.add_argument("file")
     many.add_argument("--summary", action="store_true")
+    many.add_argument("--api", action="store_true", help="serve the replayed events over HTTP until interrupted")
+    many.add_argument("--api-port", type=int, default=8080)
+    box = sub.add_parser("serve", help="the HTTP surface alone, to look at what messages parse to")
+    box.add_argument("--api-port", type=int, default=8080)
     test = sub.add_parser("test-parser", help="which parsers accept a message")
     test.add_argument("text")
     test.add_argument("--parser")
     live = sub.add_parser("run", help="listen, parse and deliver as configured")
     live.add_argument("--spool", default="spool")
     live.add_argument("--checkpoint", default="checkpoint")
-    for p in (one, many, test, live):
+    for p in (one, many, test, live, box):
         p.add_argument("--config")
     args = a.parse_args(argv)
     try:
@@ -65,6 +86,10 @@ def main(argv: list[str] | None = None) -> int:
         shown = pipeline.summary(events.orderBy("file_line_number")) if args.summary else events.orderBy("file_line_number").select(serialize.spool_json().alias("j"))
         for r in shown.toLocalIterator():
             print("  ".join("-" if x is None else str(x) for x in r))
+        if args.api:
+            return _serve(spark, cfg, events.persist(), args.api_port)
+    elif args.cmd == "serve":
+        return _serve(spark, cfg, pipeline.parse_events(readers.replay(spark, []), cfg), args.api_port)
     elif args.cmd == "test-parser":
         if args.parser and args.parser not in {p.name for p in parsers.REGISTRY}:
             print(f"no parser named {args.parser}", file=sys.stderr)
@@ -76,8 +101,23 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from millrace.streaming import jobs
 
+        held: dict[int, DataFrame] = {}
+
+        def keep(i: int) -> Callable[[DataFrame], None]:
+            def each(events: DataFrame) -> None:
+                # the latest events of each listener, bounded, for the HTTP surface
+                rows = pipeline.recent(events, 1000)
+                held[i] = spark.createDataFrame(rows.collect(), rows.schema)
+
+            return each
+
         for i, stream in enumerate(jobs.listeners(spark, cfg)):
-            jobs.run(stream, cfg, args.spool, f"{args.checkpoint}/{i}")
+            jobs.run(stream, cfg, args.spool, f"{args.checkpoint}/{i}", each=keep(i) if cfg.api else None)
+        if cfg.api:
+            none = pipeline.parse_events(readers.replay(spark, []), cfg)
+            latest = lambda: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held.values(), none)
+            surface = api.server(spark, latest, cfg, cfg.api.get("host", "127.0.0.1"), int(cfg.api.get("port", 8080)))
+            threading.Thread(target=surface.serve_forever, daemon=True).start()
         spark.streams.awaitAnyTermination()
     return 0
 

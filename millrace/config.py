@@ -25,6 +25,10 @@ class Limits:
     retry_backoff_seconds: float = 1.0
 
 
+#: Limits that other engines know and that have no meaning here: queues are micro-batches, a column plan has no time per message, a spool is a folder.
+ELSEWHERE = frozenset({"max_queue_size", "max_parse_seconds", "max_spool_bytes"})
+
+
 @dataclass(frozen=True)
 class Source:
     """A configured source; unset members match anything, at least one of the four anchors must be set."""
@@ -58,8 +62,11 @@ def from_dict(cfg: Any) -> Config:
     known = {"limits", "listeners", "sources", "siem", "api"}
     if odd := sorted(set(cfg) - known):
         raise ConfigError(f"unknown keys: {', '.join(odd)}")
+    own = {f.name for f in fields(Limits)}
+    if odd := sorted(set(cfg.get("limits", {})) - own - ELSEWHERE):
+        raise ConfigError(f"unknown limits: {', '.join(odd)}")
     try:
-        limits = Limits(**{k: v for k, v in cfg.get("limits", {}).items() if k in {f.name for f in fields(Limits)}})
+        limits = Limits(**{k: v for k, v in cfg.get("limits", {}).items() if k in own})
         sources = tuple(Source(**s) for s in cfg.get("sources", []))
     except TypeError as e:
         raise ConfigError(str(e)) from e
@@ -72,6 +79,8 @@ def from_dict(cfg: Any) -> Config:
             raise ConfigError("a network listener needs a port")
     if (kind := cfg.get("siem", {}).get("type", "spool")) not in ("spool", "syslog", "qradar", "elastic"):
         raise ConfigError(f"siem type must be spool, syslog, qradar or elastic, not {kind!r}")
+    if low := [n for n in ("max_message_bytes", "max_field_bytes", "max_field_count", "max_nested_depth", "max_connections", "max_batch_events") if getattr(limits, n) < 1]:
+        raise ConfigError(f"must be at least 1: {', '.join(low)}")
     return Config(limits, sources, tuple(cfg.get("listeners", [])), cfg.get("siem", {}), cfg.get("api", {}))
 
 

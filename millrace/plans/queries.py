@@ -244,7 +244,7 @@ def parse_asa_connections(spark: SparkSession, d: str) -> DataFrame:
     ends = [" for outside:10.0.", F.col("l_partkey") % 250, ".1/", "$l_suppkey", " (10.1.1.1/1) to inside:10.9.0.", "$l_linenumber", "/", "$l_linenumber"]
     built = _c("<163>Jan 12 10:22:11 FW01 : %ASA-6-302013: Built outbound TCP connection 9", *ends)
     down = _c("<163>Jan 12 10:22:11 FW01 : %ASA-6-302014: Teardown TCP connection 9", *ends, " duration ", F.col("l_quantity").cast("bigint"), ":01:01 bytes ", "$l_partkey", " TCP FINs")
-    return _parsed(x, F.when(F.col("l_linenumber") % 2 == 0, down).otherwise(built)).select(
+    return _parsed(x, F.when(F.col("l_linenumber") % 2 == 0, down).otherwise(built), columns=("parser_name", "normalized")).select(
         "l_orderkey", "l_linenumber", F.col("parser_name").alias("parser"), _s("normalized", "source.ip").alias("src"), _n("normalized", "source.port").alias("sport"),
         _s("normalized", "destination.ip").alias("dst"), _n("normalized", "destination.port").alias("dport"), _n("normalized", "event.duration_seconds").alias("seconds"),
         _n("normalized", "network.bytes").alias("bytes"),
@@ -354,11 +354,11 @@ def field_limits(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(docs, F.col("j")).select("doc_id", "truncated", F.get(F.filter("parse_notes", lambda n: n.startswith("FIELD_LIMIT")), F.lit(0)).alias("note"))
 
 
-@query("SELECT event_id, user_id % 40 > 20 AS truncated, CASE WHEN user_id % 40 > 20 THEN 'FIELD_COUNT_LIMIT_EXCEEDED:' || (user_id % 40 - 20) || '_beyond_20' END AS note FROM events WHERE user_id % 40 > 1")
+@query("SELECT event_id, user_id % 40 > 18 AS truncated, CASE WHEN user_id % 40 > 18 THEN 'FIELD_COUNT_LIMIT_EXCEEDED:' || (user_id % 40 - 18) || '_beyond_20' END AS note FROM events")
 def field_count(spark: SparkSession, d: str) -> DataFrame:
-    # the condition keeps out messages of fewer than two pairs, which are no key=value messages
-    e = table(spark, d, "events").withColumnRenamed("event_id", "eid").where(F.col("user_id") % 40 > 1)
-    raw = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("user_id") % 40).cast("int")), lambda i: F.concat(F.lit("k"), i.cast("string"), F.lit("=1"))), " ")
+    # two pairs at least, or it is no key=value message
+    e = table(spark, d, "events").withColumnRenamed("event_id", "eid")
+    raw = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("user_id") % 40 + 2).cast("int")), lambda i: F.concat(F.lit("k"), i.cast("string"), F.lit("=1"))), " ")
     return _parsed(e, raw, Config(limits=Limits(max_field_count=20))).select(F.col("eid").alias("event_id"), "truncated", F.get(F.filter("parse_notes", lambda n: n.startswith("FIELD_COUNT")), F.lit(0)).alias("note"))
 
 
@@ -398,6 +398,13 @@ def hint_routing(spark: SparkSession, d: str) -> DataFrame:
 # ---- whole pipeline over the raw messages ----------------------------------------------------
 
 
+#: Format of an event: what detection says of the envelope, or unknown where no parser but the last resort takes it.
+_FORMAT_SQL = f"""CASE WHEN f IN ('cef', 'leef') AND regexp_matches(t, '^(?:<\\d{{1,3}}>)?[A-Z][a-z]{{2}} {{1,2}}\\d{{1,2}} \\d{{2}}:\\d{{2}}:\\d{{2}} \\S') THEN 'rfc3164' WHEN f IN ('cef', 'leef') AND regexp_matches(t, '^<\\d{{1,3}}>[1-9]\\d* \\S') THEN 'rfc5424'
+ WHEN f = 'key_value' AND NOT regexp_matches(t, '\\blogid=\\d{{10}}\\b') AND len(list_filter(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_.\\-]*=(?:"[^"\\\\]*(?:\\\\[^\\n][^"\\\\]*)*"|[^\\s]*)|[^ ]+'), lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9_.-]*='))) < 2 THEN 'unknown'
+ WHEN f = 'csv' AND contains(t, chr(10)) THEN 'unknown' WHEN f = 'plain_text' AND NOT regexp_matches(t, '%(ASA|PIX|FWSM|ASDM)-[0-7]-\\d{{5,6}}: ') THEN 'unknown' WHEN f = 'xml' THEN 'unknown' ELSE f END"""
+_FORMATS = f"f AS (SELECT row_id, event_id, coalesce(raw_message, '') AS t, {_detect_sql('raw_message')} AS f FROM telemetry), formats AS (SELECT row_id, event_id, t, {_FORMAT_SQL} AS format FROM f)"
+
+
 def _all_events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Events of all messages: every column, or the asked ones."""
     t = table(spark, d, "telemetry").select("row_id", "ingested_at_unix_utc", "transport", "transport_protocol", "peer_ip", "peer_port", "source_name", "file_path", "file_line_number", "raw_message")
@@ -431,11 +438,50 @@ def recent_events(spark: SparkSession, d: str) -> DataFrame:
     return P.recent(t, 100).select("row_id")
 
 
-@query("SELECT substr(event_id, 1, 8) AS id, row_id FROM telemetry")
+_VENDOR = """CASE WHEN regexp_matches(t, '%ASA-\\d-\\d+:') THEN 'Cisco' WHEN regexp_matches(t, '\\blogid=\\d{10}\\b.*\\btype=\\w+.*\\bsubtype=\\w+', 's') THEN 'Fortinet'
+ WHEN regexp_matches(t, '^CEF:0\\|') THEN 'Haldenworks' WHEN regexp_matches(t, '^LEEF:') THEN 'Norvane' END"""
+
+
+@query(f"WITH {_FORMATS} SELECT row_id, substr(event_id, 1, 8) AS id, format AS format_detected, {_VENDOR} AS vendor FROM formats")
 def replay_summary(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "telemetry").select("row_id", "event_id", "raw_message")
-    e = P.parse_events(t, CFG)
-    return e.select("row_id", F.left("event_id", F.lit(8)).alias("id"))
+    return P.parse_events(spread(t), CFG, columns=["event_id", "format_detected", "vendor"]).select("row_id", F.left("event_id", F.lit(8)).alias("id"), "format_detected", "vendor")
+
+
+@query("SELECT count(*) AS n_events, count(*) AS n_ids, count(DISTINCT row_id) AS n_rows FROM telemetry")
+def ids_unique(spark: SparkSession, d: str) -> DataFrame:
+    """Messages without identifiers, many of them equal: as many identifiers as messages."""
+    t = table(spark, d, "telemetry").select("row_id", "raw_message")
+    e = P.parse_events(spread(t), CFG, columns=["event_id"])
+    return e.groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("r")).agg(F.sum("n").alias("n_events"), F.count("*").alias("n_ids"), F.sum("r").alias("n_rows"))
+
+
+@query(f"WITH {_FORMATS} SELECT 'events_received' AS name, count(*) AS value FROM formats UNION ALL SELECT 'events_unknown_format', count_if(format = 'unknown')::BIGINT FROM formats")
+def metrics_formats(spark: SparkSession, d: str) -> DataFrame:
+    return P.metrics(_all_events(spark, d)).where("name IN ('events_received', 'events_unknown_format')")
+
+
+def _stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table's file, or folder of files, as a stream."""
+    schema = table(spark, d, name).schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    source = spark.readStream.schema(schema)
+    return source.parquet(f"{d}/{name}.parquet") if folder else source.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query(f"WITH {_FORMATS} SELECT event_id, format, t AS raw, count(*) AS n FROM formats GROUP BY ALL")
+def stream_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline as a stream: messages in, events parsed, spooled as JSON lines, and read back."""
+    from millrace.session import new_path
+    from millrace.streaming import jobs
+
+    messages = _stream_of(spark, d, "telemetry").select("event_id", "ingested_at_unix_utc", F.coalesce("raw_message", F.lit("")).alias("raw_message"))
+    out = new_path(spark, "spool")
+    jobs.run(messages, CFG, out, new_path(spark, "spool-checkpoint"), once=True).awaitTermination()
+    doc = F.col("value")
+    back = spark.read.text(out).select(F.get_json_object(doc, "$.ingestion.event_id").alias("event_id"), F.get_json_object(doc, "$.parser.format_detected").alias("format"), F.get_json_object(doc, "$.raw.raw_message").alias("raw"))
+    return back.groupBy("event_id", "format", "raw").agg(F.count("*").alias("n"))
 
 
 # ---- sinks -----------------------------------------------------------------------------------
@@ -444,7 +490,8 @@ def replay_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, 'LEEF:1.0|UnknownVendor|key_value|1.0|key_value' || chr(9) || 'sev=5' || chr(9) || 'src=10.0.0.1' || chr(9) || 'raw=src=10.0.0.1 my-key=' || event_type || chr(9) || 'u_kv.my-key=' || event_type AS line FROM events")
 def serialize_leef(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumnRenamed("event_id", "eid")
-    return _parsed(e, _c("src=10.0.0.1 my-key=", "$event_type")).select(F.col("eid").alias("event_id"), serialize.leef().alias("line"))
+    needs = ("vendor", "product", "parser_name", "normalized", "unknown_fields", "vendor_fields", "protocol_metadata", "raw_message")
+    return _parsed(e, _c("src=10.0.0.1 my-key=", "$event_type"), columns=needs).select(F.col("eid").alias("event_id"), serialize.leef().alias("line"))
 
 
 @query("SELECT event_id, '<134>Oct  9 08:53:20 h' || user_id || ' millrace: {' AS head, event_type AS message FROM events")
@@ -462,14 +509,9 @@ def spool_lines(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(e, F.col("event_type")).select(F.col("eid").alias("event_id"), serialize.spool_json().alias("j")).select("event_id", F.get_json_object(j, "$.raw.raw_message").alias("raw"), F.get_json_object(j, "$.delivery.status").alias("delivery"))
 
 
-@query("SELECT row_id, 'millrace-' || strftime(make_timestamp((floor(ingested_at_unix_utc) * 1000000)::BIGINT), '%Y.%m.%d') AS index FROM telemetry WHERE ingested_at_unix_utc < 1e11")
-def elastic_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "telemetry").where("ingested_at_unix_utc < 1e11").select("row_id", serialize.index_name("millrace").alias("index"))
-
-
 @query("""SELECT row_id, 'millrace-' || strftime(make_timestamp((CASE WHEN ingested_at_unix_utc < 1e11 THEN floor(ingested_at_unix_utc * 1e6) WHEN ingested_at_unix_utc < 1e14 THEN floor(ingested_at_unix_utc * 1e3)
  WHEN ingested_at_unix_utc < 1e17 THEN floor(ingested_at_unix_utc) ELSE floor(ingested_at_unix_utc / 1e3) END)::BIGINT), '%Y.%m.%d') AS index FROM telemetry""")
-def elastic_index_all(spark: SparkSession, d: str) -> DataFrame:
+def elastic_index(spark: SparkSession, d: str) -> DataFrame:
     """The index of every row, whatever the unit of its ingestion time."""
     return table(spark, d, "telemetry").select("row_id", serialize.index_name("millrace").alias("index"))
 
@@ -517,18 +559,21 @@ def decode_latin1(spark: SparkSession, d: str) -> DataFrame:
     return framing.decoded(e).select("event_id", F.col("raw_message").alias("text"), F.col("decode_note").alias("note"))
 
 
-@query("SELECT doc_id::VARCHAR AS connection, i::BIGINT AS seq, CASE WHEN i = 0 THEN text ELSE 'end' END AS text FROM documents, (SELECT unnest([0, 1]) AS i) WHERE text IS NOT NULL AND strlen(text) BETWEEN 1 AND 65536")
+@query("SELECT doc_id::VARCHAR AS connection, i::BIGINT AS seq, CASE WHEN i = 0 THEN text ELSE 'end' END AS text FROM documents, (SELECT unnest([0, 1]) AS i) WHERE text <> ''")
 def frame_octet(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.octet_length("text").between(1, 65_536))
+    """Every text as a counted frame, whatever its length; a frame of no octets is none."""
+    docs = table(spark, d, "documents").where("text <> ''")
     blob = F.encode(F.concat(F.octet_length("text").cast("string"), F.lit(" "), F.col("text"), F.lit("3 end")), "UTF-8")
-    f = framing.framed_blobs(docs.select(F.col("doc_id").cast("string").alias("connection"), blob.alias("data")))
+    f = framing.framed_blobs(docs.select(F.col("doc_id").cast("string").alias("connection"), blob.alias("data")), limit=1 << 31)
     return f.select("connection", "seq", F.decode("frame", "UTF-8").alias("text"))
 
 
-@query("SELECT batch_id::VARCHAR AS connection, (row_number() OVER (PARTITION BY batch_id ORDER BY row_id) - 1) AS seq, raw_message AS text FROM telemetry WHERE NOT contains(raw_message, chr(10))")
+@query("""WITH p AS (SELECT batch_id, row_id, string_split(raw_message || chr(13) || chr(10), chr(10)) AS parts FROM telemetry WHERE raw_message IS NOT NULL),
+ l AS (SELECT batch_id, row_id, unnest(generate_series(1, len(parts) - 1)) AS i, parts FROM p)
+ SELECT batch_id::VARCHAR AS connection, row_number() OVER (PARTITION BY batch_id ORDER BY row_id, i) - 1 AS seq, CASE WHEN ends_with(parts[i], chr(13)) THEN left(parts[i], len(parts[i]) - 1) ELSE parts[i] END AS text FROM l""")
 def frame_newline(spark: SparkSession, d: str) -> DataFrame:
     """A batch's messages as one connection, cut into chunks that split messages anywhere."""
-    t = table(spark, d, "telemetry").where(~F.contains("raw_message", F.lit("\n")))
+    t = table(spark, d, "telemetry").where("raw_message IS NOT NULL")
     parts = F.array(F.encode(F.left("raw_message", F.lit(7)), "UTF-8"), F.encode(F.concat(F.substring("raw_message", F.lit(8), F.length("raw_message")), F.lit("\r\n")), "UTF-8"))
     chunks = t.select(F.col("batch_id").cast("string").alias("connection"), "row_id", F.posexplode(parts).alias("i", "data")).withColumn("seq", F.col("row_id") * 2 + F.col("i"))
     return framing.frames(chunks.select("connection", "seq", "data")).select("connection", "seq", F.decode("frame", "UTF-8").alias("text"))
@@ -639,14 +684,10 @@ def event_lookup(spark: SparkSession, d: str) -> DataFrame:
  SELECT source_name, hour_us, CASE WHEN late <= 600000000 THEN 'on_time' WHEN late <= 21600000000 THEN 'late' ELSE 'expired' END AS kind, count(*) AS n FROM k GROUP BY ALL""")
 def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     """A streaming query over the events table: counts per source and hour with their corrections."""
-    from millrace.session import new_path, table as read
+    from millrace.session import new_path
     from millrace.streaming import jobs
 
-    schema = read(spark, d, "events").schema
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-    source = spark.readStream.schema(schema)
-    e = source.parquet(f"{d}/events.parquet") if folder else source.option("pathGlobFilter", "events.parquet").parquet(d)
+    e = _stream_of(spark, d, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     times = e.select(F.col("event_type").alias("source_name"), us.alias("event_us"), (us + (F.col("event_id") % 4) * 7_200_000_000).alias("ingest_us"))
     out = new_path(spark, "hourly")
@@ -664,7 +705,7 @@ COVERS = {
     "PAR8, FN8-FN9": ["parse_json_props", "json_duplicates"], "PAR9": ["parse_csv_noschema", "csv_schema", "csv_delimiter"], "PAR10": ["plain_stats"],
     "NRM1-NRM2, FN10": ["validate_ip", "validate_port", "validate_timestamp", "ipv4_check"], "LIM1-LIM2": ["field_limits", "field_count"], "VAL1": ["raw_missing"],
     "SID1": ["source_configured"], "SID2-SID4": ["source_identity", "source_evidence"], "SNK1": ["spool_lines"], "SNK2": ["serialize_syslog"], "SNK3, SNK5, FN13": ["serialize_leef", "leef_severity"],
-    "SNK4, FN14": ["elastic_index", "elastic_index_all", "elastic_bulk", "bulk_outcome"], "DLV1-DLV5": ["deliver_statuses", "delivery_pending"], "MET1": ["metrics_counters", "metrics_received"],
-    "INS1-INS2": ["recent_events", "event_lookup"], "CLI2": ["replay_summary"], "SRC8, FN16": ["lossless_raw", "replay_summary"], "FRM1-FRM3": ["frame_octet", "frame_newline"], "FRM5": ["frame_datagram"],
-    "DEC1": ["decode_utf8", "decode_latin1"], "RT1": ["stream_hourly_counts"],
+    "SNK4, FN14": ["elastic_index", "elastic_bulk", "bulk_outcome"], "DLV1-DLV5": ["deliver_statuses", "delivery_pending"], "MET1": ["metrics_counters", "metrics_received", "metrics_formats"],
+    "INS1-INS2": ["recent_events", "event_lookup"], "CLI2": ["replay_summary"], "SRC8, FN16": ["lossless_raw", "ids_unique", "replay_summary"], "FRM1-FRM3": ["frame_octet", "frame_newline"], "FRM5": ["frame_datagram"],
+    "DEC1": ["decode_utf8", "decode_latin1"], "RT1": ["stream_pipeline", "stream_hourly_counts"],
 }

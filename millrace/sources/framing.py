@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.config import Limits
@@ -122,8 +122,10 @@ def framed_blobs(blobs: DataFrame, limit: int = Limits.max_message_bytes) -> Dat
     return blobs.select("connection", "data").mapInPandas(run, _FRAMES)
 
 
-def datagrams(packets: DataFrame, limit: int = Limits.max_message_bytes) -> DataFrame:
-    """Packets (data) within the size limit; longer ones are no messages."""
+def datagrams(packets: DataFrame, limit: int = Limits.max_message_bytes, counters: Observation | None = None) -> DataFrame:
+    """Packets (data) within the size limit; longer ones are no messages, and are counted in counters (events_oversized_datagram)."""
+    if counters is not None:
+        packets = packets.observe(counters, F.count_if(F.octet_length("data") > limit).alias("events_oversized_datagram"))
     return packets.where(F.octet_length("data") <= limit)
 
 

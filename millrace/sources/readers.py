@@ -6,7 +6,7 @@ import socket
 import time
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -16,33 +16,53 @@ from millrace.config import Limits
 from millrace.sources.framing import Framer, decoded
 
 
-def read_files(spark: SparkSession, paths: str | list[str], limit: int = Limits.max_message_bytes) -> DataFrame:
+def oversized(column: str, limit: int, name: str) -> Column:
+    """The counter of messages that are left out for their size, for DataFrame.observe."""
+    return F.count_if(F.octet_length(column) > limit).alias(name)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Adds file_line_number (1-based) to lines with file_path and file_block_start, in the order they were read.
+
+    Lines are numbered within the part of a file that Spark read as one split, plus the number of
+    lines in the splits before: only counts per split are put in order, so a file of any size is
+    numbered by as many tasks as it has splits.
+    """
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file_path").orderBy("file_block_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = lines.groupBy("file_path", "file_block_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).withColumn("_before", before)
+    return lines.join(splits, ["file_path", "file_block_start"]).withColumn("file_line_number", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_id", "_n", "_first", "_before", "file_block_start")
+
+
+def _file_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("value").cast("binary").alias("data"), F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block_start"))
+
+
+def _as_file(rows: DataFrame) -> DataFrame:
+    out = decoded(rows).withColumns({"transport": F.lit("file"), "transport_protocol": F.lit("file/line")})
+    return out.select("transport", "transport_protocol", "file_path", *[c for c in ("file_line_number", "file_block_start") if c in out.columns], "raw_message", "raw_bytes_b64", "decode_note")
+
+
+def read_files(spark: SparkSession, paths: str | list[str], limit: int = Limits.max_message_bytes, counters: Observation | None = None) -> DataFrame:
     """Lines of log files: one event a line, blank lines included, with file_path and 1-based file_line_number.
 
-    Lines are numbered per file within blocks of the file that Spark read as one split, plus the
-    number of lines in the splits before: only counts per split are put in order, so a file of
-    any size is numbered by as many tasks as it has splits. Lines over the limit are left out.
+    Lines over the limit are left out, and counted in counters (events_oversized_file_line) when
+    the result has been consumed.
     """
-    lines = spark.read.format("text").load(paths).select(
-        F.col("value").cast("binary").alias("data"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")
-    )
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("file_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    splits = lines.groupBy("file_path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).withColumn("_before", before)
-    numbered = lines.join(splits, ["file_path", "_start"]).withColumn("file_line_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
-    kept = numbered.where(F.octet_length("data") <= limit)
-    return decoded(kept).select(
-        F.lit("file").alias("transport"), F.lit("file/line").alias("transport_protocol"), F.regexp_replace("file_path", "^file:/+", "/").alias("file_path"),
-        "file_line_number", "raw_message", "raw_bytes_b64", "decode_note",
-    )
+    numbered = number_lines(_file_lines(spark.read.format("text").load(paths)))
+    if counters is not None:
+        numbered = numbered.observe(counters, oversized("data", limit, "events_oversized_file_line"))
+    return _as_file(numbered.where(F.octet_length("data") <= limit))
 
 
-def stream_files(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
-    """The lines of files that arrive in a folder, as a stream."""
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path)
-    return decoded(lines.select(F.col("value").cast("binary").alias("data"), F.col("_metadata.file_path").alias("file_path"))).select(
-        F.lit("file").alias("transport"), F.lit("file/line").alias("transport_protocol"), F.regexp_replace("file_path", "^file:/+", "/").alias("file_path"),
-        "raw_message", "raw_bytes_b64", "decode_note",
-    )
+def stream_files(spark: SparkSession, path: str, per_trigger: int = 100, limit: int = Limits.max_message_bytes) -> DataFrame:
+    """The lines of files that arrive in a folder, as a stream. Line numbers are given per micro-batch (number_lines), which holds whole files.
+
+    Lines over the limit come with a null message, so that the numbers stay right; they are counted as the stream's metric.
+    """
+    lines = _file_lines(spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path))
+    lines = lines.observe("files", oversized("data", limit, "events_oversized_file_line"))
+    return _as_file(lines.withColumn("data", F.when(F.octet_length("data") <= limit, F.col("data"))))
 
 
 def replay(spark: SparkSession, messages: Sequence[str | bytes], transport: str = "replay") -> DataFrame:
@@ -58,9 +78,9 @@ def inline(spark: SparkSession, text: str, **meta: object) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in meta.items()})
 
 
-_NET = "data binary, peer_ip string, peer_port int, local_port int, received double"
-
-
+#: A row is a message, or tells of one (or of a connection) that was turned away: rejected is then the name of its counter.
+_NET = "data binary, peer_ip string, peer_port int, local_port int, received double, seq bigint, rejected string"
+REJECTIONS = ("events_oversized_datagram", "connections_rejected_limit", "error.FRAME_ERROR")
 
 class _NetReader(DataSourceStreamReader):
     """A listener on the driver; each read takes what has come in since.
@@ -75,13 +95,14 @@ class _NetReader(DataSourceStreamReader):
         self.address = (options.get("host", "127.0.0.1"), int(options["port"]))
         self.rows: list[tuple] = []
         self.base = 0
-        self.rejected = 0
         self.sock: socket.socket | None = None
 
     def _open(self) -> socket.socket:
         if self.sock is None:
             self.sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM if self.kind == "udp" else socket.SOCK_STREAM)
             self.sock.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
+            if self.kind == "udp":
+                self.sock.setsockopt(socket.SOL_SOCKET, socket.SO_RCVBUF, 4 << 20)
             self.sock.bind(self.address)
             self.sock.setblocking(False)
             self.peers: dict[socket.socket, tuple[tuple, Framer]] = {}
@@ -96,15 +117,18 @@ class _NetReader(DataSourceStreamReader):
             if not got:
                 time.sleep(0.005)
 
+    def _put(self, data: bytes | None, peer: tuple, rejected: str | None = None) -> None:
+        self.rows.append((data, peer[0], peer[1], self.address[1], time.time(), self.base + len(self.rows), rejected))
+
     def _poll_udp(self, s: socket.socket) -> bool:
         try:
             data, peer = s.recvfrom(self.limit + 1)
         except BlockingIOError:
             return False
         if len(data) > self.limit:
-            self.rejected += 1
+            self._put(None, peer, "events_oversized_datagram")
         else:
-            self.rows.append((data, peer[0], peer[1], self.address[1], time.time()))
+            self._put(data, peer)
         return True
 
     def _poll_tcp(self, s: socket.socket) -> bool:
@@ -113,7 +137,7 @@ class _NetReader(DataSourceStreamReader):
             conn, peer = s.accept()
             if len(self.peers) >= self.max_connections:
                 conn.close()
-                self.rejected += 1
+                self._put(None, peer, "connections_rejected_limit")
             else:
                 conn.setblocking(False)
                 self.peers[conn] = (peer, Framer(self.limit))
@@ -128,7 +152,10 @@ class _NetReader(DataSourceStreamReader):
             except OSError:
                 data = b""
             got = True
-            self.rows += [(f, peer[0], peer[1], self.address[1], time.time()) for f in framer.feed(data)]
+            for f in framer.feed(data):
+                self._put(f, peer)
+            if framer.error:
+                self._put(None, peer, "error.FRAME_ERROR")
             if not data or framer.error:
                 conn.close()
                 del self.peers[conn]
@@ -190,12 +217,18 @@ class TcpSource(UdpSource):
 
 
 def listen(spark: SparkSession, kind: str, port: int, host: str = "127.0.0.1", **options: object) -> DataFrame:
-    """A stream of the messages that reach a UDP or TCP port."""
+    """A stream of the messages that reach a UDP or TCP port.
+
+    Each has an identifier made of where, when and as the how manieth it came, which a micro-batch
+    that is run again repeats. What was turned away is counted as the stream's metrics.
+    """
     spark.dataSource.register(UdpSource if kind == "udp" else TcpSource)
     reader = spark.readStream.format(f"millrace_{kind}").option("host", host).option("port", port)
     for k, v in options.items():
         reader = reader.option(k, str(v))
-    return decoded(reader.load()).select(
-        F.lit(kind).alias("transport"), F.lit(f"syslog/{kind}").alias("transport_protocol"), "peer_ip", "peer_port", "local_port", F.col("received").alias("ingested_at_unix_utc"),
+    rows = reader.load().observe("net", *[F.count_if(F.col("rejected") == x).alias(x.replace(".", "_")) for x in REJECTIONS]).where("rejected IS NULL")
+    place = F.concat_ws("\u0001", F.lit(f"{kind}:{host}"), "local_port", "peer_ip", "peer_port", F.col("received").cast("string"), F.col("seq").cast("string"))
+    return decoded(rows).select(
+        F.left(F.sha2(place, 256), F.lit(32)).alias("event_id"), F.lit(kind).alias("transport"), F.lit(f"syslog/{kind}").alias("transport_protocol"), "peer_ip", "peer_port", "local_port", F.col("received").alias("ingested_at_unix_utc"),
         "raw_message", "raw_bytes_b64", "decode_note",
     )

@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.config import Config, secret
 from millrace.operators import late
-from millrace.plans.pipeline import parse_events
-from millrace.sources import readers, sinks
+from millrace.plans.pipeline import parse_events, placed_id
+from millrace.sources import sinks
+from millrace.sources.readers import listen, number_lines, stream_files
 
 
 def target_of(cfg: Config) -> sinks.Target | None:
@@ -23,38 +24,61 @@ def target_of(cfg: Config) -> sinks.Target | None:
     if kind == "qradar":
         return sinks.qradar(s["host"], int(s["port"]), s.get("transport", "tcp"))
     if kind == "elastic":
-        return sinks.elastic(s["url"], s.get("index_prefix", "millrace"), secret(s, "api_key"))
+        password = secret(s, "password")
+        basic = (s["username"], password) if s.get("username") and password is not None else None
+        return sinks.elastic(s["url"], s.get("index_prefix", "millrace"), secret(s, "api_key"), basic)
     return None
 
 
 def run(messages: DataFrame, cfg: Config, spool_path: str, checkpoint: str, outcome_path: str | None = None, once: bool = False, each: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Parse a stream of messages and deliver each batch; a batch's events are parsed once and kept while it is delivered."""
+    """Parse a stream of messages and deliver each batch.
+
+    The parse is part of the stream's own plan, which is analysed once; a batch's events are kept
+    while it is delivered. Lines of files get their numbers, and identifiers that derive from them,
+    in the batch, which holds whole files.
+    """
     target = target_of(cfg)
+    events = parse_events(messages, cfg)
+    of_files = "file_block_start" in messages.columns
 
     def batch(df: DataFrame, n: int) -> None:
-        events = parse_events(df, cfg).persist()
+        kept = df.persist()
         try:
+            out = kept
+            if of_files:
+                out = number_lines(kept.drop("file_line_number")).where(F.col("raw_message").isNotNull()).withColumn("event_id", F.coalesce(placed_id(), "event_id"))
             if target is None:
-                sinks.spool(events, spool_path)
+                sinks.spool(out, spool_path)
             else:
-                sinks.deliver_or_spool(events, target, f"{spool_path}", f"{outcome_path or spool_path + '-outcomes'}/batch={n}", cfg.limits)
+                sinks.deliver_or_spool(out, target, spool_path, f"{outcome_path or spool_path + '-outcomes'}/batch={n}", cfg.limits)
             if each:
-                each(events)
+                each(out)
         finally:
-            events.unpersist()
+            kept.unpersist()
 
-    writer = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
+def counters(query: StreamingQuery) -> dict[str, int]:
+    """What a stream has turned away, by counter, over the progress that Spark remembers."""
+    out: dict[str, int] = {}
+    for p in query.recentProgress:
+        for row in p.observedMetrics.values():
+            for k, v in row.asDict().items():
+                k = k.replace("error_", "error.", 1)
+                out[k] = out.get(k, 0) + (v or 0)
+    return out
+
+
 def listeners(spark: SparkSession, cfg: Config) -> list[DataFrame]:
     """A stream for each configured listener."""
     out = []
     for x in cfg.listeners:
         if x["type"] == "file":
-            out.append(readers.stream_files(spark, x["path"]))
+            out.append(stream_files(spark, x["path"], limit=cfg.limits.max_message_bytes))
         else:
-            out.append(readers.listen(spark, x["type"], int(x["port"]), x.get("host", "127.0.0.1"), limit=cfg.limits.max_message_bytes))
+            out.append(listen(spark, x["type"], int(x["port"]), x.get("host", "127.0.0.1"), limit=cfg.limits.max_message_bytes, maxConnections=cfg.limits.max_connections))
     return out
 
 

@@ -209,7 +209,9 @@ def test_serialised_events(spark):
 
 def test_bulk_answers(spark):
     item = sinks.bulk_errors(200, '{"errors":true,"items":[{"index":{"status":201}},{"index":{"error":{"type":"x"}}}]}', 3)
-    assert item == [None, 'ELASTIC_ITEM:{"type": "x"}', None]
+    assert item == [None, 'ELASTIC_ITEM:{"type": "x"}', "ELASTIC_ITEM_MISSING"]
+    assert sinks.bulk_errors(200, "{}", 2) == ["ELASTIC_ITEM_MISSING"] * 2 and sinks.bulk_errors(200, "[]", 1) == ["ELASTIC_BAD_RESPONSE"]
+    assert sinks.bulk_errors(200, '{"errors":false,"items":[{"create":{"status":201}},7]}', 2) == [None, None]
     assert sinks.bulk_errors(503, "", 2) == ["ELASTIC_HTTP:503"] * 2 and sinks.bulk_errors(200, "no", 1) == ["ELASTIC_BAD_RESPONSE"]
     rows = [(1, 200, '{"errors":true,"items":[{"index":{"status":201}},{"index":{"error":{"type":"x"}}}]}', 3), (2, 503, None, 1), (3, 200, "no", 1), (4, 200, "{}", 0)]
     got = sorted((r["batch_id"], r["position"], r["error"]) for r in serialize.bulk_outcome(spark.createDataFrame(rows, "batch_id bigint, http_status int, body string, n_events int")).collect())
@@ -234,15 +236,39 @@ def test_delivery_retries_and_spools(spark, tmp_path):
     out = {r["event_id"]: r for r in sinks.deliver_or_spool(events, target, str(tmp_path / "spool"), str(tmp_path / "out"), Limits(max_delivery_retries=1, retry_backoff_seconds=0.01), batch=1).collect()}
     assert (out["1"]["delivery_status"], out["1"]["delivery_attempts"], out["1"]["delivery_target"]) == ("DELIVERED", 2, "mine:x")
     assert (out["2"]["delivery_status"], out["2"]["delivery_error"]) == ("SPOOLED", "ADAPTER:RuntimeError:boom")
+    assert out["2"]["delivery_target"] == f"spool:{tmp_path / 'spool'}"
     assert [json.loads(r[0])["raw"]["raw_message"] for r in spark.read.text(str(tmp_path / "spool")).collect()] == ["boom"]
+    (tmp_path / "file").write_text("no folder")
+    lost = sinks.deliver_or_spool(events.where("event_id = '2'"), target, str(tmp_path / "file" / "spool"), str(tmp_path / "out2"), Limits(max_delivery_retries=0), batch=1).first()
+    assert lost["delivery_status"] == "REJECTED" and lost["delivery_error"].startswith("SPOOL_FAILED:") and lost["delivery_target"] is None
 
 
 def test_stream_of_files_to_spool(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.log").write_text("a=1 b=2\n{\"x\": 1}\n")
-    q = jobs.run(readers.stream_files(spark, str(tmp_path / "in")), CFG, str(tmp_path / "spool"), str(tmp_path / "cp"), once=True)
+    run = lambda: jobs.run(readers.stream_files(spark, str(tmp_path / "in"), limit=20), CFG, str(tmp_path / "spool"), str(tmp_path / "cp"), once=True)
+    (tmp_path / "in" / "a.log").write_text("a=1 b=2\n" + "x" * 21 + "\n{\"x\": 1}\na=1 b=2\n")
+    q = run()
     q.awaitTermination(120)
-    assert sorted(json.loads(r[0])["parser"]["name"] for r in spark.read.text(str(tmp_path / "spool")).collect()) == ["json", "key_value"]
+    assert jobs.counters(q) == {"events_oversized_file_line": 1}
+    (tmp_path / "in" / "b.log").write_text("a=1 b=2\n")
+    run().awaitTermination(120)
+    docs = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "spool")).collect()]
+    got = sorted((d["transport"]["file_path"][-5:], d["transport"]["file_line_number"], d["parser"]["name"]) for d in docs)
+    assert got == [("a.log", 1, "key_value"), ("a.log", 3, "json"), ("a.log", 4, "key_value"), ("b.log", 1, "key_value")]
+    ids = {d["ingestion"]["event_id"] for d in docs}
+    batch = P.parse_events(readers.read_files(spark, str(tmp_path / "in"), 20), CFG).select("event_id").collect()
+    assert len(ids) == 4 and {r[0] for r in batch} == ids
+
+
+def test_what_is_too_long_is_counted(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    (tmp_path / "a.log").write_text("short\n" + "x" * 50 + "\nlast\n")
+    seen = Observation("lines")
+    rows = readers.read_files(spark, str(tmp_path / "a.log"), 20, seen).collect()
+    assert [(r["file_line_number"], r["raw_message"]) for r in sorted(rows, key=lambda r: r["file_line_number"])] == [(1, "short"), (3, "last")] and seen.get == {"events_oversized_file_line": 1}
+    seen = Observation("packets")
+    assert framing.datagrams(spark.createDataFrame([(b"x" * 9,), (b"y",), (None,)], "data binary"), 5, seen).count() == 1 and seen.get == {"events_oversized_datagram": 1}
 
 
 def test_udp_and_tcp(spark, tmp_path):
@@ -250,7 +276,7 @@ def test_udp_and_tcp(spark, tmp_path):
     import time
 
     for kind, port, payload, want in (("udp", 15_514, b"a=1 b=2", ["a=1 b=2"]), ("tcp", 15_601, b"3 x=1one\n", ["x=1"])):
-        q = readers.listen(spark, kind, port).writeStream.format("memory").queryName(f"got_{kind}").start()
+        q = readers.listen(spark, kind, port, limit=1000).writeStream.format("memory").queryName(f"got_{kind}").start()
         deadline = time.time() + 60
         got = []
         while time.time() < deadline and not got:
@@ -258,13 +284,19 @@ def test_udp_and_tcp(spark, tmp_path):
                 s = socket.socket(socket.AF_INET, socket.SOCK_DGRAM if kind == "udp" else socket.SOCK_STREAM)
                 s.connect(("127.0.0.1", port))
                 s.sendall(payload)
+                if kind == "udp":
+                    s.sendall(b"z" * 2000)
+                    s.sendall(payload)
                 s.close()
             except OSError:
                 pass
             time.sleep(1)
-            got = [r["raw_message"] for r in spark.sql(f"SELECT raw_message FROM got_{kind}").collect()]
+            rows = spark.sql(f"SELECT raw_message, event_id FROM got_{kind}").collect()
+            got = [r["raw_message"] for r in rows]
+        counted = jobs.counters(q)
         q.stop()
-        assert got[:1] == want
+        assert got[:1] == want and len({r["event_id"] for r in rows}) == len(rows)
+        assert kind == "tcp" or (len(got) > 1 and set(got) == {"a=1 b=2"} and counted["events_oversized_datagram"] > 0)
 
 
 def test_metrics_and_inspection(spark):
@@ -280,8 +312,10 @@ def test_config(tmp_path, monkeypatch):
     good.write_text('{"sources": [{"source_id": "a", "peer_ip": "1.1.1.1"}], "siem": {"type": "elastic", "url": "http://x", "api_key_env": "KEY"}}')
     cfg = config.load(str(good))
     monkeypatch.setenv("KEY", "s3")
+    good.write_text('{"limits": {"max_queue_size": 5, "max_batch_events": 7}}')
+    assert config.load(str(good)).limits.max_batch_events == 7
     assert cfg.sources[0].source_id == "a" and config.secret(cfg.siem, "api_key") == "s3" and jobs.target_of(cfg).metric == "elastic"
-    for bad in ("[]", "{", '{"odd": 1}', '{"siem": {"type": "ftp"}}', '{"listeners": [{"type": "udp"}]}', '{"sources": [{"x": 1}]}'):
+    for bad in ("[]", "{", '{"odd": 1}', '{"siem": {"type": "ftp"}}', '{"listeners": [{"type": "udp"}]}', '{"limits": {"max_message_byte": 1}}', '{"limits": {"max_field_count": 0}}', '{"sources": [{"x": 1}]}'):
         good.write_text(bad)
         with pytest.raises(config.ConfigError):
             config.load(str(good))
@@ -350,6 +384,19 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["test-parser", "CEF:0|a|b|c|d|e|5|src=1.1.1.1"]) == 0
     assert {json.loads(x)["parser"] for x in capsys.readouterr().out.splitlines()} >= {"cef", "plain_text"}
     assert cli.main(["test-parser", "x", "--parser", "nope"]) == 2 and cli.main(["test-parser", "x", "--parser", "cef"]) == 1
+    served = []
+
+    class Surface:
+        server_address = ("127.0.0.1", 1)
+
+        def serve_forever(self):
+            raise KeyboardInterrupt
+
+        def server_close(self):
+            pass
+
+    monkeypatch.setattr(cli.api, "server", lambda spark, events, cfg, port: served.append((events().count(), port)) or Surface())
+    assert cli.main(["replay", str(tmp_path / "x.log"), "--summary", "--api", "--api-port", "81"]) == cli.main(["serve"]) == 0 and served == [(2, 81), (0, 8080)]
     (tmp_path / "bad.json").write_text("[]")
     assert cli.main(["parse", "x", "--config", str(tmp_path / "bad.json")]) == 2
 
