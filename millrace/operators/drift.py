@@ -229,11 +229,13 @@ def _renames(ordered: DataFrame, rows: DataFrame, marked: DataFrame) -> tuple[Da
     asked = marked.where("change != 'retyped'").join(moves, at).join(before, "file_id")
     # place: the file whose values are asked for; file_id: the file that changed
     asked = stored(asked.select(F.when(F.col("change") == "added", F.col("file_id")).otherwise(F.col("prev")).alias("place"), "file_id", "layer", "field", "change"), "asked")
-    own = _joined(rows.withColumnRenamed("file_id", "place"), stored(asked.select("place").distinct(), "places"), ["place"])
+    small = asked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    side = F.broadcast if small else (lambda df: df)
+    own = rows.withColumnRenamed("file_id", "place").join(side(asked.select("place").distinct()), "place")
     values = cells(own, ["place"]).where(F.col("kind").isNotNull())
     h = F.xxhash64(F.col("kind") == "text", "value").alias("h")
     # a field may be new in its file and lost in the next one: counted once, then joined with what is asked
-    seen = _joined(values, stored(asked.select("place", "layer", "field").distinct(), "wanted"), ["place", "layer", "field"]).groupBy("place", "layer", "field", h).agg(F.count("*").alias("n"))
+    seen = values.join(side(asked.select("place", "layer", "field").distinct()), ["place", "layer", "field"]).groupBy("place", "layer", "field", h).agg(F.count("*").alias("n"))
     seen = stored(seen.join(asked, ["place", "layer", "field"]).select(*at, "field", "change", "h", "n"), "values")
     new = seen.where("change = 'added'").drop("change")
     lost = seen.where("change = 'removed'").select(*at, F.col("field").alias("old_field"), "h")
