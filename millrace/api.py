@@ -1,4 +1,4 @@
-"""A small HTTP surface on the driver: /health, /metrics, /events, /events/ID, and POST /api/parse."""
+"""A small HTTP surface on the driver: an inspector page, /health, /metrics, /events, /events/ID, and POST /api/parse."""
 
 from __future__ import annotations
 
@@ -15,14 +15,31 @@ from millrace.plans import pipeline
 from millrace.sources import readers
 
 
+#: The inspector: the latest events, one of them in full, and a box to parse a message of one's own.
+PAGE = """<!doctype html><meta charset="utf-8"><title>millrace</title>
+<style>body{font:14px sans-serif;margin:2em}td,th{padding:2px 12px 2px 0;text-align:left}tr{cursor:pointer}pre{background:#f4f4f4;padding:1em;white-space:pre-wrap}textarea{width:100%}</style>
+<h1>Events</h1><textarea id="m" rows="3" placeholder="a message"></textarea><button id="p">Parse</button>
+<table><thead><tr><th>id<th>format<th>source<th>vendor<th>parser<th>status</thead><tbody id="t"></tbody></table><pre id="e"></pre>
+<script>
+const $ = x => document.getElementById(x), show = e => { $("e").textContent = JSON.stringify(e, null, 2) };
+$("p").onclick = async () => show(await (await fetch("/api/parse", {method: "POST", body: $("m").value})).json());
+fetch("/events?limit=100").then(r => r.json()).then(rows => rows.forEach(e => {
+  const tr = $("t").insertRow();
+  [e.ingestion.event_id.slice(0, 8), e.parser.format_detected, e.source.status, e.source.vendor, e.parser.name, e.parser.status].forEach(v => { tr.insertCell().textContent = v ?? "-" });
+  tr.onclick = () => show(e);
+}));
+</script>"""
+
+
 def server(spark: SparkSession, events: Callable[[], DataFrame], cfg: Config = Config(), host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
     """A server over the events that a call of events() gives (a table that streams write, say). The caller starts and stops it."""
 
     class Handler(BaseHTTPRequestHandler):
         def _say(self, code: int, body: object) -> None:
-            data = json.dumps(body, ensure_ascii=False).encode() if not isinstance(body, str) else body.encode()
+            page = isinstance(body, str)
+            data = body.encode() if page else json.dumps(body, ensure_ascii=False).encode()
             self.send_response(code)
-            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Type", f"{'text/html' if page else 'application/json'}; charset=utf-8")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
@@ -32,7 +49,9 @@ def server(spark: SparkSession, events: Callable[[], DataFrame], cfg: Config = C
 
         def do_GET(self) -> None:
             path, _, query = self.path.partition("?")
-            if path == "/health":
+            if path == "/":
+                self._say(200, PAGE)
+            elif path == "/health":
                 self._say(200, {"status": "ok"})
             elif path == "/metrics":
                 self._say(200, {r["name"]: r["value"] for r in pipeline.metrics(events()).collect()})

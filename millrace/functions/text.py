@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,13 +165,3 @@ def numbered(keys: Column) -> Column:
     dup = F.size(F.array_distinct(keys)) < F.size(keys)
     counts = F.transform(keys, lambda k, i: F.size(F.filter(F.slice(keys, 1, i + 1), lambda x: x == k)))
     return F.when(dup, counts).otherwise(F.transform(keys, lambda k: F.lit(1)))
-
-
-def cond(*cases: tuple[Column, Column], otherwise: Column) -> Column:
-    out = F
-    for c, v in cases:
-        out = out.when(c, v)
-    return out.otherwise(otherwise)
-
-
-When = Callable[[Column, Column], Column]

@@ -67,8 +67,13 @@ def leef() -> Column:
     return F.concat(head, F.array_join(attrs, "\t"))
 
 
+def _instant(unix: Column) -> Column:
+    """An ingestion time, whatever its unit; one that is no such time as it stands."""
+    return F.timestamp_micros(F.coalesce(ingest_us(unix), F.floor(unix * 1e6).cast("bigint")))
+
+
 def bsd_stamp(unix: Column) -> Column:
-    ts = F.timestamp_micros(F.floor(unix * 1e6).cast("bigint"))
+    ts = _instant(unix)
     return F.concat(F.date_format(ts, "MMM"), F.lit(" "), F.lpad(F.dayofmonth(ts).cast("string"), 2, " "), F.date_format(ts, " HH:mm:ss"))
 
 
@@ -79,9 +84,7 @@ def syslog_json(tag: str = "millrace", pri: int = 134) -> Column:
 
 def index_name(prefix: str) -> Column:
     """The index of the day of ingestion, whatever the unit of its time."""
-    at = F.col("ingested_at_unix_utc")
-    day = F.date_format(F.timestamp_micros(F.coalesce(ingest_us(at), F.floor(at * 1e6).cast("bigint"))), "yyyy.MM.dd")
-    return F.concat(F.lit(f"{prefix}-"), day)
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(_instant(F.col("ingested_at_unix_utc")), "yyyy.MM.dd"))
 
 
 def bulk_lines(prefix: str = "millrace") -> Column:

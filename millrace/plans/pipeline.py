@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.config import Config
 from millrace.functions import text as X
 from millrace.operators import checks, detect, identity, parsers
+from millrace.session import ship
 
 #: Columns an input may have; those it lacks are added as nulls. raw_message is required.
 META = {
@@ -55,6 +56,7 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
     only those of the event's are built (the caller's own stay): stages that none of them needs,
     a parse, that of the envelope's content, a check, are not in the plan at all.
     """
+    ship(raw.sparkSession)
     asked = EVENT if columns is None else EVENT & set(columns)
     inside = bool(asked - UNPARSED - IDENTITY - {"format_detected"}) or bool(cfg.sources and asked & IDENTITY)
     outside = inside or bool(asked & IDENTITY)

@@ -80,6 +80,7 @@ def inline(spark: SparkSession, text: str, **meta: object) -> DataFrame:
 
 #: A row is a message, or tells of one (or of a connection) that was turned away: rejected is then the name of its counter.
 _NET = "data binary, peer_ip string, peer_port int, local_port int, received double, seq bigint, rejected string"
+PARTITION_ROWS = 2_000
 REJECTIONS = ("events_oversized_datagram", "connections_rejected_limit", "error.FRAME_ERROR")
 
 class _NetReader(DataSourceStreamReader):
@@ -170,7 +171,8 @@ class _NetReader(DataSourceStreamReader):
         return {"n": self.base + len(self.rows)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Rows(self.rows[start["n"] - self.base : end["n"] - self.base])]
+        rows = self.rows[start["n"] - self.base : end["n"] - self.base]
+        return [_Rows(rows[i : i + PARTITION_ROWS]) for i in range(0, max(1, len(rows)), PARTITION_ROWS)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         return iter(partition.value)

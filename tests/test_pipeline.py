@@ -351,6 +351,8 @@ def test_http(spark):
     assert get("/health") == {"status": "ok"} and get("/metrics")["events_received"] == 1
     assert get("/events?limit=5")[0]["raw"]["raw_message"] == "a=1 b=2" and get("/events/id1")["parser"]["name"] == "key_value"
     assert get("/api/parse", b'{"x": 1}')["normalized"]["json.x"] == 1
+    with urllib.request.urlopen(base + "/", timeout=60) as page:
+        assert page.headers["Content-Type"].startswith("text/html") and b"/api/parse" in page.read()
     with pytest.raises(urllib.error.HTTPError):
         get("/events/none")
     s.shutdown()
