@@ -179,7 +179,77 @@ _NODES = f"""WITH RECURSIVE t AS (SELECT row_id, {_KEY} AS k, {_US} AS us, vendo
    FROM walk w LEFT JOIN odd o ON o.field = w.field AND o.path = w.path WHERE json_type(j) IN ('OBJECT', 'ARRAY')))
  SELECT k AS event_id, field, node, parent FROM walk WHERE element AND json_type(j) = 'OBJECT'"""
 
+_CHANGES = """WITH files AS (SELECT file_id, stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY opened_at, file_id) AS ord FROM spool_files),
+ l AS (SELECT file_id, 'vendor_fields' AS layer, try_cast(vendor_fields AS JSON) AS j FROM spool_rows UNION ALL SELECT file_id, 'unknown_fields', try_cast(unknown_fields AS JSON) FROM spool_rows),
+ m AS (SELECT file_id, layer, unnest(map_entries(from_json(j, '"MAP(VARCHAR, JSON)"'))) AS e FROM l WHERE json_type(j) = 'OBJECT'),
+ c AS (SELECT stream_id, ord, layer, e.key AS field, e.value::VARCHAR AS v, CASE json_type(e.value) WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 5 WHEN 'OBJECT' THEN 6 WHEN 'DOUBLE' THEN 3 WHEN 'NULL' THEN NULL ELSE 2 END AS kind FROM m JOIN files USING (file_id)),
+ k AS (SELECT stream_id, ord, layer, field, kind, count(*) AS n FROM c GROUP BY ALL),
+ t AS (SELECT stream_id, ord, layer, field, coalesce(arg_max(kind, n * 10 - kind) FILTER (kind IS NOT NULL), 0) AS kind FROM k GROUP BY ALL),
+ d AS (SELECT coalesce(a.stream_id, b.stream_id) AS stream_id, coalesce(a.ord, b.ord + 1) AS ord, coalesce(a.layer, b.layer) AS layer, coalesce(a.field, b.field) AS field,
+   CASE WHEN b.field IS NULL THEN 'added' WHEN a.field IS NULL THEN 'removed' WHEN a.kind <> b.kind AND a.kind > 0 AND b.kind > 0 THEN 'retyped' END AS change
+  FROM t a FULL JOIN t b ON a.stream_id = b.stream_id AND a.ord = b.ord + 1 AND a.layer = b.layer AND a.field = b.field),
+ changed AS (SELECT file_id, d.* FROM d JOIN files USING (stream_id, ord) WHERE change IS NOT NULL AND ord > 1),
+ new AS (SELECT x.file_id, x.stream_id, x.ord, x.layer, x.field, v, count(*) AS n FROM changed x JOIN c USING (stream_id, ord, layer, field) WHERE change = 'added' AND kind IS NOT NULL GROUP BY ALL),
+ lost AS (SELECT DISTINCT x.stream_id, x.ord, x.layer, x.field AS old_field, v FROM changed x JOIN c ON c.stream_id = x.stream_id AND c.ord = x.ord - 1 AND c.layer = x.layer AND c.field = x.field WHERE change = 'removed' AND kind IS NOT NULL),
+ same AS (SELECT file_id, stream_id, ord, layer, field, old_field, sum(n) AS same FROM new JOIN lost USING (stream_id, ord, layer, v) GROUP BY ALL),
+ total AS (SELECT stream_id, ord, layer, field, sum(n) AS total FROM new GROUP BY ALL),
+ pairs AS (SELECT *, same / total AS share FROM same JOIN total USING (stream_id, ord, layer, field) WHERE same * 2 > total),
+ best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY stream_id, ord, layer, field ORDER BY share DESC, same DESC, old_field) = 1),
+ renamed AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY stream_id, ord, layer, old_field ORDER BY share DESC, same DESC, field) = 1)
+ SELECT file_id, layer, 'renamed' AS change, field, old_field FROM renamed UNION ALL SELECT file_id, layer, change, field, '' FROM changed x
+ WHERE NOT EXISTS (FROM renamed r WHERE r.stream_id = x.stream_id AND r.ord = x.ord AND r.layer = x.layer AND ((change = 'added' AND r.field = x.field) OR (change = 'removed' AND r.old_field = x.field)))"""
+
+
+def _entries_sql() -> str:
+    """The entries of file_lines: one CASE over the layouts' expressions, a running maximum, one concatenation."""
+    words = "emergency|informational|information|critical|warning|verbose|notice|severe|emerg|panic|alert|fatal|error|debug|trace|crit|warn|info|err"
+    iso, hms = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?", r"\d{2}:\d{2}:\d{2}"
+    data = r'(?:-|(?:\[[^\s=\]"]+(?: [^\s=\]"]+="(?:[^"\\\]]|\\.)*")*\])+)'
+    # expression, and what its groups are: priority, time, level, component, message
+    layouts = [
+        (rf"^<(\d{{1,3}})>\d{{1,2}} ({iso}) \S+ (\S+) \S+ \S+ {data}(?: (.*))?$", "ptcm"),
+        (rf"^(?:<(\d{{1,3}})>)?((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d {hms}) \S+ ([^\s:\[\]]+)(?:\[\d+\])?: ?(.*)$", "ptcm"),
+        (rf"^({iso}) +({words}) +\[[^\]]*\] (\S+) +- ?(.*)$", "tlcm"),
+        (rf"^\[({iso})\] ([^\s/\]]+)[./]({words}): ?(.*)$", "tclm"),
+        (rf"^(\d{{1,2}}/\d{{1,2}}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}(?: [AP]M)?);({words});([^;]*);(.*)$", "tlcm"),
+        (rf"^([IWEFDV])(\d{{4}} {hms}(?:\.\d+)?) +\d+ ([^\s:\]]+):\d+\] ?(.*)$", "Ltcm"),
+        (rf"^(\d{{4}}/\d{{2}}/\d{{2}} {hms}(?:\.\d+)?) \[({words})\] ([^\s:]+): ?(.*)$", "tlcm"),
+        (rf"^(\d{{9,10}}(?:\.\d+)?) \[({words})\](?: \(([^)]*)\))?(?: (.*))?$", "tlcm"),
+    ]
+    arms = ""
+    for rx, groups in layouts:
+        flags = "si" if "l" in groups else "s"
+        level = "'P' || g.p" if "p" in groups else "g.l"
+        arms += f" WHEN regexp_matches(raw, '{rx}', '{flags}') THEN list_transform([regexp_extract(raw, '{rx}', {list(groups.lower())}, '{flags}')], lambda g: {{'ts': g.t, 'lvl': {level}, 'comp': g.c, 'msg': g.m}})[1]\n"
+
+    def members(at: str) -> str:
+        first = lambda *keys: "coalesce(" + ", ".join(at.replace("?", k) for k in keys) + ")"
+        return (
+            f"{{'ts': {first('@timestamp', 'timestamp', 'time', 'ts')}, 'lvl': coalesce({first('level', 'severity', 'lvl', 'loglevel')}, ''), "
+            f"'comp': coalesce({first('component', 'logger', 'mod', 'module', 'app', 'program')}, ''), 'msg': {first('message', 'msg', 'event')}}}"
+        )
+
+    pair = r'([A-Za-z@_][\w.@-]*)=("(?:[^"\\]|\\.)*"|\S*)'
+    unquoted = r"""replace(replace(replace(replace(replace(y.v[2:-2], '\\', chr(1)), '\n', chr(10)), '\t', chr(9)), '\"', '"'), chr(1), '\')"""
+    levels = {"emerg": "0 emerg emergency panic", "alert": "1 alert", "crit": "2 crit critical fatal f", "err": "3 err error severe e", "warning": "4 warning warn w", "notice": "5 notice", "info": "6 info information informational i", "debug": "7 debug trace verbose d v"}
+    level = " ".join(f"WHEN w IN ({', '.join(repr(w) for w in ws.split())}) THEN '{name}'" for name, ws in levels.items())
+    as_json, as_pairs = members("(j->>'$.\"?\"')"), members("p['?']")
+    return rf"""WITH once AS (SELECT file_path, file_line_number AS n, arg_max(coalesce(raw_message, ''), len(raw_message)) AS raw FROM file_lines WHERE file_path IS NOT NULL AND file_line_number IS NOT NULL GROUP BY ALL),
+ r AS (SELECT *, CASE WHEN raw[1] = '{{' AND json_type(try_cast(raw AS JSON)) = 'OBJECT' THEN try_cast(raw AS JSON) END AS j,
+  CASE WHEN regexp_full_match(raw, '(?:{pair}(?: +|$))+', 's') THEN map_from_entries(list_distinct(list_transform(regexp_extract_all(raw, '{pair}', 0), lambda x: list_transform([{{'k': split_part(x, '=', 1), 'v': substr(x, strpos(x, '=') + 1)}}],
+   lambda y: {{'k': y.k, 'v': CASE WHEN len(y.v) > 1 AND y.v[1] = '"' THEN {unquoted} ELSE y.v END}})[1]))) END AS p FROM once),
+ h AS (SELECT file_path, n, raw, CASE WHEN raw = '' OR regexp_matches(raw, '^\s') THEN NULL
+ {arms} WHEN j IS NOT NULL THEN {as_json} WHEN p IS NOT NULL THEN {as_pairs} END AS e FROM r),
+ hh AS (SELECT file_path, n, raw, CASE WHEN e.ts IS NOT NULL AND (e.msg IS NOT NULL OR e.lvl LIKE 'P%') THEN e END AS e FROM h),
+ g AS (SELECT *, max(CASE WHEN e IS NOT NULL THEN n END) OVER (PARTITION BY file_path ORDER BY n) AS first_line FROM hh),
+ a AS (SELECT file_path, first_line, any_value(e) AS e, string_agg(CASE WHEN e IS NOT NULL THEN coalesce(e.msg, '') ELSE raw END, chr(10) ORDER BY n) AS message FROM g WHERE first_line IS NOT NULL GROUP BY ALL),
+ s AS (SELECT *, CASE WHEN e.lvl LIKE 'P_%' THEN (substr(e.lvl, 2)::INT & 7)::VARCHAR ELSE lower(e.lvl) END AS w FROM a)
+ SELECT file_path, first_line, e.ts AS entry_ts, CASE {level} ELSE '' END AS level, CASE WHEN e.comp = '-' THEN '' ELSE coalesce(e.comp, '') END AS component, md5(regexp_replace(message, '^\s+|\s+$', '', 'g')) AS message_md5 FROM s"""
+
+
 ORACLES: dict[str, str] = {
+    "p1_found": _CHANGES,
+    "p2_found": _entries_sql(),
     "p4_found": _NODES,
     "p1_accounted": """WITH l AS (SELECT 'vendor_fields' AS layer, try_cast(vendor_fields AS JSON) AS j FROM spool_rows UNION ALL SELECT 'unknown_fields', try_cast(unknown_fields AS JSON) FROM spool_rows),
  o AS (SELECT layer, j FROM l WHERE json_type(j) = 'OBJECT'), m AS (SELECT layer, unnest(map_values(from_json(j, '"MAP(VARCHAR, JSON)"'))) AS v FROM o)
