@@ -152,17 +152,23 @@ def schema_graph(records: DataFrame, members: bool = False) -> DataFrame:
     return rows.groupBy("path").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).select(F.expr("substring(path, 1, instr(path, ':') - 1)").alias("field"), F.col("path").substr(place + 1, F.length("path")).alias("path"), "kinds")
 
 
-def _collected(graph: DataFrame) -> list[tuple[str, str, frozenset[str]]]:
+def _collected(graph: DataFrame) -> "Graph":
     rows = graph.limit(MAX_PATHS + 1).collect()
     if len(rows) > MAX_PATHS:
         raise ValueError(f"more than {MAX_PATHS} paths: these keys are data, not a schema")
     return [(r["field"], r["path"], frozenset(r["kinds"])) for r in rows]
 
 
+Graph = list[tuple[str, str, frozenset[str]]]
+
+
+def _conflicts(graph: Graph) -> dict[str, frozenset[str]]:
+    return {f: frozenset(p for g, p, k in graph if g == f and {"array", "object"} <= k) for f in FIELDS}
+
+
 def conflicts(records: DataFrame) -> dict[str, frozenset[str]]:
     """Per field the paths where some records have an array and others an object."""
-    rows = _collected(schema_graph(records).where(F.array_contains("kinds", "array") & F.array_contains("kinds", "object")))
-    return {f: frozenset(p for g, p, _ in rows if g == f) for f in FIELDS}
+    return _conflicts(_collected(schema_graph(records).where(F.array_contains("kinds", "array") & F.array_contains("kinds", "object"))))
 
 
 def tables_of(graph: list[tuple[str, frozenset[str]]]) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
@@ -203,14 +209,14 @@ def tables_of(graph: list[tuple[str, frozenset[str]]]) -> tuple[dict[str, str],
     return {p: renamed.get(t, t) for p, t in of.items()}, {renamed.get(t, t): ms for t, ms in one.items()}
 
 
-def nodes(records: DataFrame, with_attrs: bool = False) -> DataFrame:
+def nodes(records: DataFrame, with_attrs: bool = False, graph: Graph | None = None) -> DataFrame:
     """event_key, field, node, parent, path, attrs: one row per array element that is an object, and with attrs one per root.
 
     records: event_id, ingested_at_unix_utc, row_id, vendor_fields, validation_problems. JSON is
     read where it lies; what is shuffled per event is its list of nodes, combined to the first
     copy on the map side.
     """
-    own = conflicts(records)
+    own = conflicts(records) if graph is None else _conflicts(graph)
 
     @F.pandas_udf(_NODES)
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -232,14 +238,18 @@ def nodes(records: DataFrame, with_attrs: bool = False) -> DataFrame:
     return first.select("event_key", F.explode("nodes").alias("n")).select("event_key", "n.*")
 
 
-def _graphs(records: DataFrame) -> dict[str, tuple[dict[str, str], dict[str, dict[str, str]]]]:
-    rows = _collected(schema_graph(records, members=True))
-    return {f: tables_of([(p, k) for g, p, k in rows if g == f]) for f in FIELDS}
+Layout = dict[str, tuple[dict[str, str], dict[str, dict[str, str]]]]
+
+
+def _laid_out(records: DataFrame) -> tuple[Graph, Layout]:
+    """The schema graph with all members, and the tables it makes, from one pass."""
+    graph = _collected(schema_graph(records, members=True))
+    return graph, {f: tables_of([(p, k) for g, p, k in graph if g == f]) for f in FIELDS}
 
 
-def _table_column(graphs: dict) -> Column:
+def _table_column(layout: Layout) -> Column:
     """The table of a row by its field and path: a map of the schema's size."""
-    pairs = [x for f, (of, _) in graphs.items() for p, t in of.items() for x in (F.lit(f"{f}:{p}"), F.lit(t))]
+    pairs = [x for f, (of, _) in layout.items() for p, t in of.items() for x in (F.lit(f"{f}:{p}"), F.lit(t))]
     if not pairs:
         return F.col("path")
     return F.coalesce(F.element_at(F.create_map(*pairs), F.concat_ws(":", "field", "path")), F.col("path"))
@@ -247,7 +257,8 @@ def _table_column(graphs: dict) -> Column:
 
 def rows(records: DataFrame) -> DataFrame:
     """event_key, field, table, node, parent, attrs: the rows of all tables, their members as JSON."""
-    return nodes(records, with_attrs=True).select("event_key", "field", _table_column(_graphs(records)).alias("table"), "node", "parent", "attrs")
+    graph, layout = _laid_out(records)
+    return nodes(records, True, graph).select("event_key", "field", _table_column(layout).alias("table"), "node", "parent", "attrs")
 
 
 _SQL = {"text": "string", "whole": "decimal(38,0)", "decimal": "double", "boolean": "boolean", "list": "string", "json": "string"}
@@ -258,10 +269,10 @@ def flat_tables(records: DataFrame) -> dict[tuple[str, str], DataFrame]:
 
     The rows are written once and each table reads its own partition of them.
     """
-    graphs = _graphs(records)
-    all_rows = stored(nodes(records, with_attrs=True).withColumn("table", _table_column(graphs)), "nodes", by=["field", "table"])
+    graph, layout = _laid_out(records)
+    all_rows = stored(nodes(records, True, graph).withColumn("table", _table_column(layout)), "nodes", by=["field", "table"])
     out = {}
-    for field, (_, tables) in graphs.items():
+    for field, (_, tables) in layout.items():
         for name, members in tables.items():
             own = all_rows.where((F.col("field") == field) & (F.col("table") == name))
             v = F.from_json("attrs", "map<string,string>", {"maxNumLen": "2147483647", "maxStringLen": "2147483647"})
