@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["p3_found", "p3_keys", "p3_sizes", "p6_found", "p6_kept", "detect_documents", "detect_telemetry", "source_configured", "delivery_pending", "frame_octet", "decode_latin1", "csv_delimiter", "plain_stats", "bulk_outcome"]
+QUICK = ["p1_found", "p1_accounted", "p2_found", "p4_found", "p5_closings", "ids_unique", "p3_found", "p3_keys", "p3_sizes", "p6_found", "p6_kept", "detect_documents", "detect_telemetry", "source_configured", "delivery_pending", "frame_octet", "decode_latin1", "csv_delimiter", "plain_stats", "bulk_outcome"]
 
 
 def test_names():
