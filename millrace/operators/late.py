@@ -19,6 +19,8 @@ their punctuation; repeated rows are counted as often as they are given; no rows
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,17 +42,24 @@ def _next_bound(ingest_us: Column, bound_s: int) -> Column:
     return (F.ceil((ingest_us - bound_s * US) / HOUR) - 2).cast("long") * HOUR
 
 
-def punctuations(clock: DataFrame, hours: DataFrame, bound_s: int, idle_s: int) -> DataFrame:
-    """source_name, hour_us, passed_us for every (source_name, hour_us) of hours.
+def punctuations(clock: DataFrame, hours: DataFrame, bounds_s: Sequence[int], idle_s: int) -> DataFrame:
+    """source_name, hour_us, passed_us (one for each of bounds_s) for every (source_name, hour_us) of hours.
 
     clock: source_name, ingest_us, one row per delivery. passed_us is the source's first
-    ingestion after the hour's end plus the bound, and no later than idle_s after that point.
+    ingestion after the hour's end plus the bound, and no later than idle_s after that point. All
+    bounds are answered in one pass.
     """
-    firsts = clock.where(F.col("ingest_us").isNotNull()).groupBy("source_name", _next_bound(F.col("ingest_us"), bound_s).alias("hour_us")).agg(F.min("ingest_us").alias("first_us"))
-    asked = hours.select("source_name", "hour_us").distinct().withColumns({"asked": F.lit(True), "first_us": F.lit(None).cast("long")})
-    both = firsts.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("source_name", "hour_us").agg(F.max("asked").alias("asked"), F.min("first_us").alias("first_us"))
-    after = F.min("first_us").over(W.partitionBy("source_name").orderBy("hour_us").rowsBetween(0, W.unboundedFollowing))
-    return both.withColumn("after", after).where("asked").select("source_name", "hour_us", F.least("after", _due(F.col("hour_us"), bound_s + idle_s)).alias("passed_us"))
+    each = F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("bound_s"), _next_bound(F.col("ingest_us"), b).alias("hour_us")) for b in bounds_s])).alias("b")
+    firsts = clock.where(F.col("ingest_us").isNotNull()).select("source_name", "ingest_us", each).groupBy("source_name", "b.bound_s", "b.hour_us").agg(F.min("ingest_us").alias("first_us"))
+    asked = hours.select("source_name", F.explode(F.array(*[F.lit(b).cast("long") for b in bounds_s])).alias("bound_s"), "hour_us").distinct().withColumns({"first_us": F.lit(None).cast("long"), "asked": F.lit(True)})
+    both = firsts.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("source_name", "bound_s", "hour_us").agg(F.max("asked").alias("asked"), F.min("first_us").alias("first_us"))
+    after = F.min("first_us").over(W.partitionBy("source_name", "bound_s").orderBy("hour_us").rowsBetween(0, W.unboundedFollowing))
+    due = F.col("hour_us") + HOUR + (F.col("bound_s") + idle_s) * US
+    passed = both.withColumn("passed_us", F.least(after, due)).where("asked")
+    if len(bounds_s) == 1:
+        return passed.select("source_name", "hour_us", "passed_us")
+    per = [F.max(F.when(F.col("bound_s") == b, F.col("passed_us"))) for b in bounds_s]
+    return passed.groupBy("source_name", "hour_us").agg(F.array(*per).alias("passed_us"))
 
 
 def live_hours(clock: DataFrame, bound_s: int, idle_s: int) -> DataFrame:
@@ -66,7 +75,7 @@ def live_hours(clock: DataFrame, bound_s: int, idle_s: int) -> DataFrame:
 
 def closings(clock: DataFrame, bound_s: int = 600, idle_s: int = 3600) -> DataFrame:
     """hour_us, closed_us, n_sources, n_idle: an hour closes when its last live source passes it, by a record or its idle timeout."""
-    p = punctuations(clock, live_hours(clock, bound_s, idle_s), bound_s, idle_s)
+    p = punctuations(clock, live_hours(clock, bound_s, idle_s), [bound_s], idle_s)
     idle = F.col("passed_us") == _due(F.col("hour_us"), bound_s + idle_s)
     return p.groupBy("hour_us").agg(F.max("passed_us").alias("closed_us"), F.count("*").alias("n_sources"), F.count_if(idle).alias("n_idle"))
 
@@ -84,11 +93,8 @@ def classify(times: DataFrame, clock: DataFrame | None = None, bound_s: int = 60
     """
     events = times.where(F.col("event_us").isNotNull()).withColumn("hour_us", _hour_of(F.col("event_us")))
     moved = times.select("source_name", "ingest_us") if clock is None else clock.select("source_name", "ingest_us")
-    hours = events.select("source_name", "hour_us").distinct()
-    closed = punctuations(moved, hours, bound_s, idle_s)
-    gone = punctuations(moved, hours, cutoff_s, idle_s).select(F.col("source_name").alias("_s"), F.col("hour_us").alias("_h"), F.col("passed_us").alias("gone_us"))
-    marks = closed.join(gone, closed["source_name"].eqNullSafe(F.col("_s")) & (closed["hour_us"] == F.col("_h"))).select(F.col("source_name").alias("_s"), F.col("hour_us").alias("_h"), "passed_us", "gone_us")
-    marks = stored(marks, "marks")
+    both = punctuations(moved, events.select("source_name", "hour_us").distinct(), [bound_s, cutoff_s], idle_s)
+    marks = stored(both.select(F.col("source_name").alias("_s"), F.col("hour_us").alias("_h"), F.col("passed_us")[0].alias("passed_us"), F.col("passed_us")[1].alias("gone_us")), "marks")
     small = marks.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     own = events["source_name"].eqNullSafe(F.col("_s")) & (events["hour_us"] == F.col("_h"))
     at = F.col("ingest_us")

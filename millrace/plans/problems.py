@@ -103,7 +103,7 @@ def p5_hours(spark: SparkSession, d: str) -> DataFrame:
 def p5_watermarks(spark: SparkSession, d: str) -> DataFrame:
     """When each live source passed each hour, by a record or its idle timeout."""
     clock = _clock(spark, d)
-    return late.punctuations(clock, late.live_hours(clock, BOUND_S, IDLE_S), BOUND_S, IDLE_S)
+    return late.punctuations(clock, late.live_hours(clock, BOUND_S, IDLE_S), [BOUND_S], IDLE_S)
 
 
 def p5_closings(spark: SparkSession, d: str) -> DataFrame:

@@ -139,7 +139,7 @@ def test_watermarks_against_brute_force(spark, seed):
             if min(own) <= due <= max(own) + idle * US:
                 want[s, hour] = min([t for t in own if t > due] + [due + idle * US])
     hours = late.live_hours(df, bound, idle)
-    assert {(r["source_name"], r["hour_us"]): r["passed_us"] for r in late.punctuations(df, hours, bound, idle).collect()} == want
+    assert {(r["source_name"], r["hour_us"]): r["passed_us"] for r in late.punctuations(df, hours, [bound], idle).collect()} == want
     closed = {k: max(v for (_, j), v in want.items() if j == k) for k in {j for _, j in want}}
     assert {r["hour_us"]: r["closed_us"] for r in late.closings(df, bound, idle).collect()} == closed
 
