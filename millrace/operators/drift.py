@@ -18,7 +18,8 @@ numbers of more digits than a double holds, exponents, NaN) are read in Python.
 Defined results: a null layer or no JSON object: no cells; a duplicate key: its last value; null
 values: the field is there but has no say in its type; a field of nulls only has type '' and is
 never retyped; equal majorities: the type first in TYPES; a file without rows has no fields; text
-after the object does not count; half a surrogate pair is read as U+FFFD.
+after the object does not count; half a surrogate pair is read as U+FFFD; rows of no known file
+meet no schema and are in no report or table.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def _renames(ordered: DataFrame, rows: DataFrame, marked: DataFrame) -> tuple[Da
     asked = stored(asked.select(F.when(F.col("change") == "added", F.col("file_id")).otherwise(F.col("prev")).alias("place"), "file_id", "layer", "field", "change"), "asked")
     small = asked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     side = F.broadcast if small else (lambda df: df)
-    own = rows.withColumnRenamed("file_id", "place").join(side(asked.select("place").distinct()), "place")
+    own = rows.select(F.col("file_id").alias("place"), *LAYERS).join(side(asked.select("place").distinct()), "place")
     values = cells(own, ["place"]).where(F.col("kind").isNotNull())
     h = F.xxhash64(F.col("kind") == "text", "value").alias("h")
     # a field may be new in its file and lost in the next one: counted once, then joined with what is asked

@@ -14,7 +14,8 @@ buckets (no more than there are hours) carries it over hours in which the source
 
 Defined results: an event without a time has no hour and no kind; a null source is a source of
 its own; without an ingestion time a record is on time and moves no clock; equal instants share
-their punctuation; repeated rows are counted as often as they are given; no rows, no hours.
+their punctuation; repeated rows are counted as often as they are given; no rows, no hours;
+columns of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def classify(times: DataFrame, clock: DataFrame | None = None, bound_s: int = 60
     own if it is not given. Punctuations, one row per source and hour, are broadcast while they
     are few, as counted; else both sides are shuffled by source and hour.
     """
-    events = times.where(F.col("event_us").isNotNull()).withColumn("hour_us", _hour_of(F.col("event_us")))
+    events = times.where(F.col("event_us").isNotNull()).drop("passed_us", "kind").withColumn("hour_us", _hour_of(F.col("event_us")))
     moved = times.select("source_name", "ingest_us") if clock is None else clock.select("source_name", "ingest_us")
     both = punctuations(moved, events.select("source_name", "hour_us").distinct(), [bound_s, cutoff_s], idle_s)
     marks = stored(both.select(F.col("source_name").alias("_s"), F.col("hour_us").alias("_h"), F.col("passed_us")[0].alias("passed_us"), F.col("passed_us")[1].alias("gone_us")), "marks")

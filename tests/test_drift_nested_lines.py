@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from millrace.operators import drift, loglines, nested
 
 FILES = "file_id bigint, stream_id bigint, product string, opened_at timestamp, ord string"
-SPOOL = "spool_row_id bigint, file_id bigint, vendor_fields string, unknown_fields string, layer string, field string"
+SPOOL = "spool_row_id bigint, file_id bigint, vendor_fields string, unknown_fields string, layer string, field string, place string, kind string"
 
 
 def changes(spark, files, rows):
     f = spark.sql("SELECT * FROM VALUES " + ",".join(f"({i}, {s}, 'p', timestamp '{t}', 'clash')" for i, s, t in files) + " AS t(file_id, stream_id, product, opened_at, ord)")
-    r = spark.createDataFrame([(i, fid, v, u, "clash", "clash") for i, (fid, v, u) in enumerate(rows)], SPOOL)
+    r = spark.createDataFrame([(i, fid, v, u, *["clash"] * 4) for i, (fid, v, u) in enumerate(rows)], SPOOL)
     return sorted(tuple(x) for x in drift.changes(f, r).select("file_id", "layer", "change", "field", "old_field").collect())
 
 
@@ -18,7 +18,7 @@ def test_changes(spark):
     files = [(5, 1, "2025-01-01"), (2, 1, "2025-01-02"), (9, 2, "2025-01-01"), (7, 1, "2025-01-03")]
     old = [(5, json.dumps({"a": f"x{i}", "b": i, "gone": True, "n": None}), None) for i in range(4)] * 2  # repeated rows
     new = [(2, json.dumps({"A": f"x{i}", "b": i + 0.5, "fresh": [1]}), "{}") for i in range(4)] + [(2, '{"b": "?"}', "not json"), (2, None, None), (2, "[1]", '{"u": 1}')]
-    assert changes(spark, files, old + new + [(9, '{"z": 1}', None)]) == [
+    assert changes(spark, files, old + new + [(9, '{"z": 1}', None), (None, '{"z": 1}', None), (77, '{"z": 1}', None)]) == [
         (2, "unknown_fields", "added", "u", ""), (2, "vendor_fields", "added", "fresh", ""), (2, "vendor_fields", "removed", "gone", ""), (2, "vendor_fields", "removed", "n", ""),
         (2, "vendor_fields", "renamed", "A", "a"), (2, "vendor_fields", "retyped", "b", ""),
         (7, "unknown_fields", "removed", "u", ""), (7, "vendor_fields", "removed", "A", ""), (7, "vendor_fields", "removed", "b", ""), (7, "vendor_fields", "removed", "fresh", ""),

@@ -117,7 +117,7 @@ def test_late_kinds_and_hours(spark):
 def test_a_source_passes_with_its_first_record_after_the_bound(spark):
     m = 60 * US
     rows = [("a", 10 * m, 65 * m), ("a", 10 * m, 72 * m), ("a", 10 * m, 70 * m), ("b", 10 * m, 20 * m), (None, 5 * m, None), ("c", 10 * m, 500 * m), ("c", 10 * m, 80 * m)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "source_name string, event_us bigint, ingest_us bigint, passed_us string").drop("passed_us")
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "source_name string, event_us bigint, ingest_us bigint, passed_us string").withColumns({"kind": F.lit("clash"), "hour_us": F.lit("clash")})
     got = {(r["source_name"], r["ingest_us"]): (r["passed_us"] // m, r["kind"]) for r in late.classify(df, idle_s=1800).collect()}
     assert got == {
         ("a", 65 * m): (72, "on_time"), ("a", 72 * m): (72, "late"), ("a", 70 * m): (72, "on_time"), ("b", 20 * m): (100, "on_time"), (None, None): (100, "on_time"),
