@@ -258,10 +258,12 @@ def candidates(stamps: DataFrame) -> DataFrame:
         return F.struct(name.alias("label"), F.when(off.isNotNull(), wall - off.cast("long") * _US).otherwise(_utc(wall, zone)).alias("us"), wall.alias("wall"))
 
     base = F.transform(F.sequence(F.lit(1), F.size("walls")), instants)
-    hour = 3600 * _US
+    # the clock shows a wall time again if the offset is smaller a while later: at the instant which that offset makes of it
+    a_while = 3 * 3600 * _US
+    offset_after = lambda c: _local(c["us"] + a_while, zone) - c["us"] - a_while
+    moved = F.transform("_base", lambda c: F.struct(F.concat(c["label"], F.lit("/repeated")).alias("label"), (c["wall"] - offset_after(c)).alias("us"), c["wall"].alias("wall"), c["us"].alias("first")))
     again = F.transform(
-        F.filter("_base", lambda c: _local(c["us"] + hour, zone) == c["wall"]),
-        lambda c: F.struct(F.concat(c["label"], F.lit("/repeated")).alias("label"), (c["us"] + hour).alias("us"), c["wall"].alias("wall")),
+        F.filter(moved, lambda c: (c["us"] > c["first"]) & (_local(c["us"], zone) == c["wall"])), lambda c: F.struct(c["label"].alias("label"), c["us"].alias("us"), c["wall"].alias("wall"))
     )
     both = F.when(off.isNull() & (zone != "UTC"), F.concat("_base", again)).otherwise(F.col("_base"))
     return (

@@ -100,6 +100,74 @@ def test_the_posterior_chooses_where_the_rule_does_not(spark):
     assert got["e" * 32]["event_us"] == us("2025-11-06T10:00:00")
 
 
+def instants(wall, zone):
+    """Every instant (us) at which the zone's clock shows the wall time; a skipped one by the offset before the change."""
+    both = {int((wall.replace(tzinfo=zone, fold=f).astimezone(dt.timezone.utc) - EPOCH) / dt.timedelta(microseconds=1)) for f in (0, 1)}
+    shown = {x for x in both if (EPOCH + dt.timedelta(microseconds=x)).astimezone(zone).replace(tzinfo=None) == wall}
+    return shown or {int((wall.replace(tzinfo=zone, fold=0).astimezone(dt.timezone.utc) - EPOCH) / dt.timedelta(microseconds=1))}
+
+
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def written(rnd, at, zone):
+    """(text, every instant it may mean) of an instant, in a random layout."""
+    utc = EPOCH + dt.timedelta(microseconds=at)
+    wall = utc.astimezone(zone).replace(tzinfo=None)
+    sec = wall.replace(microsecond=0)
+    kind = rnd.randrange(10)
+    if kind == 0:
+        return sec.strftime("%Y-%m-%d %H:%M:%S"), instants(sec, zone)
+    if kind == 1:
+        off = rnd.choice([-570, -240, 0, 60, 345])
+        own = (utc + dt.timedelta(minutes=off)).replace(tzinfo=None)
+        return own.strftime("%Y-%m-%dT%H:%M:%S.%f") + f"{'-' if off < 0 else '+'}{abs(off) // 60:02}:{abs(off) % 60:02}", {at}
+    if kind == 2:
+        years = [y for y in range(2015, 2029) if y % 4 == 0 or (sec.month, sec.day) != (2, 29)]
+        return sec.strftime("%b ") + f"{sec.day:>2}" + sec.strftime(" %H:%M:%S"), {x for y in years for x in instants(sec.replace(year=y), zone)}
+    if kind == 3:
+        return sec.strftime("%b %d %Y %H:%M:%S"), instants(sec, zone)
+    if kind == 4:
+        days = {(sec.month, sec.day), (sec.day, sec.month)} if sec.day <= 12 else {(sec.month, sec.day)}
+        text = f"{sec.month}/{sec.day}/{sec.year} {sec.hour % 12 or 12}:{sec:%M:%S} {'AP'[sec.hour // 12]}M"
+        return text, {x for mo, d in days for x in instants(sec.replace(month=mo, day=d), zone)}
+    if kind == 5:
+        return sec.strftime("%d.%m.%Y %H:%M:%S"), instants(sec, zone)
+    if kind == 6:
+        return sec.strftime("%Y%m%d%H%M%S"), instants(sec, zone)
+    if kind == 7:
+        return f"date={sec:%Y-%m-%d} time={sec:%H:%M:%S}", instants(sec, zone)
+    if kind == 8:
+        ms = wall.replace(microsecond=wall.microsecond // 1000 * 1000)
+        return ms.strftime("%Y/%m/%d %H:%M:%S,") + f"{ms.microsecond // 1000:03}", instants(ms, zone)
+    digits = rnd.choice([0, 3, 6, 9])
+    n = at * 1000 // 10 ** (9 - digits)
+    return f"ts={n}", {n * 10 ** (9 - digits) // 1000}
+
+
+def test_any_instant_in_any_layout_against_brute_force(spark):
+    from zoneinfo import ZoneInfo
+
+    rnd = random.Random(11)
+    zones = ["America/Chicago", "Europe/Berlin", "Australia/Sydney", "Asia/Tokyo", "Europe/London", "America/Sao_Paulo", "Australia/Lord_Howe", "Asia/Kathmandu"]
+    near = [us(t) for t in ("2025-03-09T08:00:00", "2025-11-02T07:00:00", "2025-03-30T01:00:00", "2025-10-26T01:00:00", "2025-04-05T16:00:00", "2025-10-04T16:00:00", "2025-01-01T00:00:00", "2024-02-29T12:00:00", "2025-04-05T15:00:00")]
+    rows, want = [], {}
+    for i in range(1500):
+        name = rnd.choice(zones)
+        at = rnd.choice(near) + rnd.randrange(-3 * 3600 * US, 3 * 3600 * US) if rnd.random() < 0.6 else us("2024-06-01T00:00:00") + rnd.randrange(500 * 86_400 * US)
+        ingested = at + rnd.choice([rnd.randrange(1, 5 * US), rnd.randrange(7200 * US), rnd.randrange(9 * 86_400 * US)])
+        ingested = round(ingested / US, 3)
+        text, may = written(rnd, at, ZoneInfo(name))
+        key = f"{i:032x}"
+        rows.append((key, ingested, i, name, None, None, text + rnd.choice(["", " h app: x", ";y"])))
+        before = {x for x in may if x <= round(ingested * US)}
+        if before:
+            want[key] = max(before), text, name
+    got = resolved(spark, rows, [(z, None, None, z) for z in zones])
+    wrong = [(want[k], got[k]["event_us"] if k in got else None) for k in want if k not in got or got[k]["event_us"] != want[k][0]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_empty(spark):
     assert resolved(spark, []) == {}
 
