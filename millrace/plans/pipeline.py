@@ -165,20 +165,26 @@ def metrics(events: DataFrame) -> DataFrame:
         "events_received": F.count("*"),
         "events_parsed": F.count_if(F.col("parse_status") == "PARSED"),
         "events_partial_parsed": F.count_if(F.col("parse_status") == "PARTIAL"),
-        "events_failed": F.count_if(F.col("parse_status") == "FAILED"),
+        "events_parse_failed": F.count_if(F.col("parse_status") == "FAILED"),
         "events_unknown_format": F.count_if(F.col("parse_status") == "UNKNOWN_FORMAT"),
         "events_unknown_source": F.count_if(F.col("source_status") == "UNKNOWN"),
         "events_validation_failed": F.count_if(F.col("validation_status") == "INVALID"),
         "events_field_limits": F.count_if(F.col("truncated")),
+        "error.PARSE_ERROR": F.count_if(F.exists("parse_notes", lambda n: n.startswith("PARSE_ERROR:"))),
     }
-    one = events.agg(*[c.alias(n) for n, c in counts.items()])
-    return one.select(F.explode(F.create_map(*[x for n in counts for x in (F.lit(n), F.col(n))])).alias("name", "value"))
+    one = events.agg(*[c.alias(n.replace(".", "_")) for n, c in counts.items()])
+    return one.select(F.explode(F.create_map(*[x for n in counts for x in (F.lit(n), F.col(n.replace(".", "_")))])).alias("name", "value"))
 
 
 def delivery_metrics(outcomes: DataFrame) -> DataFrame:
-    """name, value: deliveries per kind of target (what its name says before ':'), and what was spooled or failed."""
-    kind = F.when(F.col("delivery_status") == "DELIVERED", F.concat(F.lit("delivery_delivered."), F.substring_index("delivery_target", ":", 1))).otherwise(F.concat(F.lit("events_"), F.lower("delivery_status")))
-    return outcomes.groupBy(kind.alias("name")).agg(F.count("*").alias("value"))
+    """name, value: deliveries per kind of target (what its name says before ':'), what was spooled or rejected, and errors of the target itself."""
+    status, error = F.col("delivery_status"), F.coalesce("delivery_error", F.lit(""))
+    kind = (
+        F.when(status == "DELIVERED", F.concat(F.lit("delivery_delivered."), F.substring_index("delivery_target", ":", 1)))
+        .when(status == "REJECTED", "delivery_rejected.spool").otherwise(F.concat(F.lit("events_"), F.lower(status)))
+    )
+    names = F.array_compact(F.array(kind, F.when(error.startswith("ADAPTER:"), "error.SIEM_DELIVERY_ERROR")))
+    return outcomes.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("value"))
 
 
 def recent(events: DataFrame, n: int = 100) -> DataFrame:

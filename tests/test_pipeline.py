@@ -302,7 +302,7 @@ def test_udp_and_tcp(spark, tmp_path):
 def test_metrics_and_inspection(spark):
     e = P.parse_events(spark.createDataFrame([(m,) for m in SHOWN], "raw_message string"), CFG, at=5.0)
     m = {r["name"]: r["value"] for r in P.metrics(e).collect()}
-    assert (m["events_received"], m["events_parsed"], m["events_unknown_format"], m["events_unknown_source"]) == (8, 7, 1, 4)
+    assert (m["events_received"], m["events_parsed"], m["events_unknown_format"], m["events_unknown_source"], m["events_parse_failed"], m["error.PARSE_ERROR"]) == (8, 7, 1, 4, 0, 0)
     one = P.recent(e, 1).first()["event_id"]
     assert P.event_by_id(e, one).count() == 1 and P.summary(e).columns == ["id", "format_detected", "source_status", "vendor", "parser_name", "parse_status"]
 
@@ -364,9 +364,9 @@ def test_delivery_metrics_and_release(spark):
 
     from millrace import session
 
-    rows = [("DELIVERED", "elastic:http://x"), ("DELIVERED", "elastic:http://y"), ("SPOOLED", None)]
-    m = P.delivery_metrics(spark.createDataFrame(rows, "delivery_status string, delivery_target string"))
-    assert {r["name"]: r["value"] for r in m.collect()} == {"delivery_delivered.elastic": 2, "events_spooled": 1}
+    rows = [("DELIVERED", "elastic:http://x", None), ("DELIVERED", "elastic:http://y", None), ("SPOOLED", "spool:s", "ADAPTER:KeyError:x"), ("REJECTED", None, "SPOOL_FAILED:x")]
+    m = P.delivery_metrics(spark.createDataFrame(rows, "delivery_status string, delivery_target string, delivery_error string"))
+    assert {r["name"]: r["value"] for r in m.collect()} == {"delivery_delivered.elastic": 2, "events_spooled": 1, "delivery_rejected.spool": 1, "error.SIEM_DELIVERY_ERROR": 1}
     df = session.stored(spark.range(3), "three")
     path = session._made[spark.sparkContext.applicationId][-1]
     assert df.count() == 3 and os.path.isdir(path)
