@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 SEP = "\ue000"
 
 
+def pace() -> Column:
+    """An argument that a UDF over rows that are mostly null takes and gives back, so that each row has bytes both ways.
+
+    Rows wait in the JVM until Python's answers are read, and Spark reads none while the socket takes
+    more input. Nulls are 4 bytes a row: the sockets' buffers hold those of a million rows, and as many
+    wide rows wait, on disk when memory is short. With these bytes it is some 10,000s, however long the input.
+    """
+    return F.lit(" " * 256)
+
+
 def groups(text: Column, rx: str, n: int) -> Column:
     """The n groups of rx, which must match the whole text, as an array; one element if it doesn't match."""
     marked = F.regexp_replace(text, rx, SEP.join(f"${i + 1}" for i in range(n)))

@@ -17,9 +17,8 @@ _OCTET = r"(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _bad_ipv6(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Of each list of values with a colon, those that are no IPv6 address."""
+@F.pandas_udf(T.StructType([T.StructField("bad", T.ArrayType(T.StringType())), T.StructField("pace", T.StringType())]))
+def _bad_ipv6(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
 
     def bad(v: str) -> bool:
         try:
@@ -28,8 +27,13 @@ def _bad_ipv6(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             return True
         return False
 
-    for lists in batches:
-        yield pd.Series([None if x is None else [v for v in x if bad(v)] for x in lists], dtype=object)
+    for lists, pace in batches:
+        yield pd.DataFrame({"bad": pd.Series([None if x is None else [v for v in x if bad(v)] for x in lists], dtype=object), "pace": pace})
+
+
+def bad_ipv6(values: Column) -> Column:
+    """Of each list of values with a colon, those that are no IPv6 address."""
+    return _bad_ipv6(values, X.pace())["bad"]
 
 
 def _text(v: Column) -> Column:

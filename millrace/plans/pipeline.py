@@ -123,7 +123,7 @@ def parse_events(raw: DataFrame, cfg: Config = Config(), registry: list[parsers.
     ident = identity.identify(F.col("_def"), F.col("_sig"), F.col("format_detected"), by_format("cef_device_vendor", "leef_vendor"), by_format("cef_device_product", "leef_product"), r1["tag"])
     if asked & {"validation_status", "validation_problems"}:
         df = parsers.fenced(df, "_six", checks.ipv6_values(F.col("_normalized")))
-        df = df.withColumn("_bad6", F.when(F.col("_six").isNotNull(), checks._bad_ipv6(F.col("_six"))))
+        df = df.withColumn("_bad6", F.when(F.col("_six").isNotNull(), checks.bad_ipv6(F.col("_six"))))
     else:
         df = df.withColumn("_bad6", F.lit(None).cast("array<string>"))
     missing = F.when(text == "", F.struct(F.lit("raw").alias("field"), F.lit("raw_message missing").alias("problem"), F.lit(None).cast("string").alias("value")))

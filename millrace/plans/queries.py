@@ -25,7 +25,7 @@ def _c(*parts: str | Column) -> Column:
 
 
 def _parsed(df: DataFrame, raw: Column, cfg: Config = CFG, columns: tuple[str, ...] | None = None) -> DataFrame:
-    return P.parse_events(spread(df.withColumn("raw_message", raw)), cfg, at=1_760_000_000.0, columns=columns)
+    return P.parse_events(spread(df).withColumn("raw_message", raw), cfg, at=1_760_000_000.0, columns=columns)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

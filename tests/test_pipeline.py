@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace import config
 from millrace.config import Config, Limits, Source
 from millrace.functions import text as X
-from millrace.operators import parsers, serialize
+from millrace.operators import checks, parsers, serialize
 from millrace.plans import pipeline as P
 from millrace.sources import framing, readers, sinks
 from millrace.streaming import jobs
@@ -414,3 +414,16 @@ def test_all_configured_sources_are_read(spark, tmp_path):
     columns = "source_id string, transport string, peer_ip string, file_path string, vendor string, product string, parser_hint string"
     spark.createDataFrame([(f"s{i:04}", "udp", f"10.0.{i // 250}.{i % 250}", None, None, None, None) for i in range(1001)], columns).write.parquet(str(tmp_path / "sources.parquet"))
     assert len(queries._sources(spark, str(tmp_path))) == 1001
+
+
+def test_python_answers_before_the_rows_end(spark):
+    """Rows wait in the JVM for what Python answers; were nothing read until the input ends, a whole partition would wait, in the end on disk."""
+    now = F.expr("reflect('java.lang.System', 'nanoTime')").cast("bigint")
+    df = spark.range(0, 250_000, 1, 1).select(now.alias("taken"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("parser"))
+    read = parsers.parse(df, "text", "parser", "r", Config(), parsers.REGISTRY).select("taken", "r", now.alias("back"))
+    first, last, lost = read.agg(F.min("back"), F.max("taken"), F.count("r")).first()
+    assert first < last and lost == 0
+    six = spark.range(0, 250_000, 1, 1).select(now.alias("taken"), F.when(F.col("id") == 7, F.array(F.lit("::1"), F.lit("no:6"))).alias("values"))
+    seen = six.select("taken", checks.bad_ipv6(F.col("values")).alias("bad"), now.alias("back"))
+    first, last, bad = seen.agg(F.min("back"), F.max("taken"), F.max("bad")).first()
+    assert first < last and bad == ["no:6"]
